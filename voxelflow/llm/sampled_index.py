@@ -1,0 +1,351 @@
+"""An index of sampled windows, in sorted levels that merge geometrically.
+
+Every run of W units (words or bytes) of a text is a window.  Each window has
+an anchor: the leftmost k-gram with the smallest hash inside it.  The anchor
+follows from the window's content, so equal windows have equal anchors at equal
+places, and about one unit in (W - k + 2) / 2 is an anchor.  The windows that
+share an anchor occurrence are consecutive; together they are one *entry*:
+
+    key    64-bit fingerprint of the anchor's k-gram
+    sig    64-bit fingerprint, by another base, of all text its windows cover
+    doc_id the document
+    at     start of the first window, number of windows and level, packed
+
+Entries equal in key and sig cover equal text (128 bits together), so all their
+windows are equal.  Windows can only be equal between entries of one key; where
+a key has entries of several sigs, one entry of each is opened later and its
+windows are compared one by one.  No window is lost, and only the rows of
+repeated keys cost more than a sampled entry.
+
+Batches of ascending doc_id are added one after the other.  A batch's sorted
+entries are merge-scanned with the levels so far; as in a binary counter, the
+levels below the first free one melt into the batch's own level in the same
+scan.  Equal entries of one block meet before the shuffle, so a passage in a
+third of all documents sends one entry from each block.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Roller, merged, mixed, text_blocks, workspace
+
+NULL_ID = -(1 << 63)
+#: ``at`` holds start, number of windows (12 bits) and level (5 bits; LEVEL_NEW: not in a level yet).
+N_BITS, LEVEL_BITS = 12, 5
+LEVEL_NEW = 31
+KEY, SIG = Roller(101), Roller(202)
+
+
+def packed(start, n, level=LEVEL_NEW):
+    return (start << (N_BITS + LEVEL_BITS)) | (n << LEVEL_BITS) | level
+
+
+def start_of(at):
+    return at >> (N_BITS + LEVEL_BITS)
+
+
+def windows_of(at):
+    return (at >> LEVEL_BITS) & ((1 << N_BITS) - 1)
+
+
+def level_of(at):
+    return at & ((1 << LEVEL_BITS) - 1)
+
+
+def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
+    """The least of each w consecutive values."""
+    size = 1
+    while size * 2 <= w:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[: len(x) - (w - size)], x[w - size :]) if size < w else x
+
+
+class Entries:
+    """Entries of a block: ``units`` of all rows in a line, ``bounds`` their n + 1 offsets."""
+
+    def __init__(self, units: np.ndarray, bounds: np.ndarray, window: int, gram: int):
+        n, w = len(units), window - gram + 1
+        none = np.zeros(0, np.int64)
+        self.row = self.start = self.n = self.anchor = none
+        self.key = self.sig = np.zeros(0, np.uint64)
+        self.sums = SIG.prefixes(mixed(units ^ np.uint64(0x5851F42D4C957F2D)))
+        if n < window:
+            return
+        sums = KEY.prefixes(units)
+        first = np.arange(n - gram + 1)
+        grams = KEY.ranges(sums, first, first + gram)
+        order = (grams & np.uint64(0xFFFFFFFF00000000)) | first.astype(np.uint64)
+        anchor = (sliding_least(order, w) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        starts = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
+        if not len(starts):
+            return
+        anchor = anchor[starts]
+        new = np.r_[True, (anchor[1:] != anchor[:-1]) | (np.diff(starts) != 1)]
+        at = np.flatnonzero(new)
+        self.n = np.diff(np.r_[at, len(starts)])
+        begin = starts[at]
+        self.row, self.anchor = row[begin], anchor[at]
+        self.start = begin - bounds[self.row]
+        self.key = grams[self.anchor]
+        self.sig = SIG.ranges(self.sums, begin, begin + self.n + window - 1)
+
+
+class Kind:
+    """What a scan hands on, by partition of its table."""
+
+    MARK, DETAIL, RUN = "mark", "detail", "run"
+
+
+def _table(kind: str, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    n = len(columns["doc_id"])
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), *(pa.array(np.ascontiguousarray(v).view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64)) for v in columns.values())], names=["kind", *columns])
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.int64)
+
+
+def first_in_block(key: np.ndarray, sig: np.ndarray, doc: np.ndarray, start: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal entries of a block, the first by (doc, start) to send on, and those already known to repeat.
+
+    ``both``: the first one repeats too, since another equal one exists.  Rows
+    at one place of one doc_id are one entry.
+    """
+    order = np.lexsort((start, doc, sig, key))
+    k, s, d, a = key[order], sig[order], doc[order], start[order]
+    same = np.r_[False, (k[1:] == k[:-1]) & (s[1:] == s[:-1])]
+    twin = same & np.r_[False, (d[1:] == d[:-1]) & (a[1:] == a[:-1])]
+    order, same = order[~twin], same[~twin]
+    repeat = same.copy()
+    if both:
+        repeat[:-1] |= same[1:]
+    return order[~same], order[repeat]
+
+
+class Scan:
+    """One pass over entries sorted by key, sig, doc_id and at, in Arrow batches.
+
+    ``both`` marks every one of equal entries, else all but the first.
+    ``detail`` hands on an entry of each sig of a key with several.  ``merge``:
+    levels under it, and new entries, make up the run at level ``merge``; None
+    makes no run.  The state between batches is one row.
+    """
+
+    def __init__(self, both: bool, detail: bool, merge: int | None, lead: bool):
+        self.both, self.detail, self.merge, self.lead = both, detail, merge, lead
+
+    def __call__(self, batches):
+        names = (["lead"] if self.lead else []) + ["key", "sig", "doc_id", "at"]
+        last = None  # the last row
+        last_marked = several = False
+        pending = None  # of the last key's only sig so far: its first row
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = {x: batch.column(i).to_numpy() for i, x in enumerate(names)}
+            before = {x: np.r_[last[x] if last is not None else np.int64(0), v[:-1]] for x, v in c.items()}
+            new_key = c["key"] != before["key"]
+            new = new_key | (c["sig"] != before["sig"])
+            twin = ~new & (c["doc_id"] == before["doc_id"]) & (start_of(c["at"]) == start_of(before["at"]))
+            if last is None:
+                new_key[0] = new[0] = True
+                twin[0] = False
+            # marks
+            again = ~new & ~twin
+            mark = again.copy()
+            extra = None
+            if self.both:
+                i = np.flatnonzero(again)
+                j = i - 1  # its predecessor may be a twin of a marked row, which is the same place
+                mark[j[j >= 0]] = True
+                if again[0] and not last_marked:
+                    extra = last
+            old = level_of(c["at"]) != LEVEL_NEW
+            if not self.both:
+                mark &= ~old
+            if extra is not None:
+                yield _table(Kind.MARK, {x: np.array([v]) for x, v in extra.items()})
+            if mark.any():
+                yield _table(Kind.MARK, {x: v[mark] for x, v in c.items()})
+            # one entry of each sig, of keys with several
+            if self.detail:
+                key_no = np.cumsum(new_key)
+                sigs = np.bincount(key_no, weights=new, minlength=key_no[-1] + 1).astype(int)
+                if last is not None:
+                    sigs[0] += 2 if several else 1
+                rep = new & (sigs[key_no] > 1)
+                if pending is not None and sigs[0] > 1:
+                    yield _table(Kind.DETAIL, {x: np.array([v]) for x, v in pending.items()})
+                    pending = None
+                if rep.any():
+                    yield _table(Kind.DETAIL, {x: v[rep] for x, v in c.items()})
+                several = sigs[-1] > 1
+                if several:
+                    pending = None
+                elif new_key.any():
+                    i = np.flatnonzero(new_key)[-1]
+                    pending = {x: v[i] for x, v in c.items()}
+            if self.merge is not None:
+                run = new & (~old | (level_of(c["at"]) < self.merge))
+                if run.any():
+                    kept = {x: v[run] for x, v in c.items()}
+                    kept["at"] = (kept["at"] >> LEVEL_BITS << LEVEL_BITS) | self.merge
+                    yield _table(Kind.RUN, kept)
+            last = {x: v[-1] for x, v in c.items()}
+            last_marked = bool(mark[-1])
+
+
+#: (units, bounds, leads): 64-bit units of a block of texts, their offsets, and for byte texts what sorts suffixes.
+Reader = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, Callable | None]]
+
+
+def marked_runs(docs: DataFrame, reader: Reader, window: int, gram: int, both: bool, batches: int, lead: bool, name: str):
+    """(workspace, table of doc_id, start, length): units of windows that repeat.
+
+    ``docs`` has doc_id and text.  With ``both``, each of equal windows counts,
+    else all but the one that starts first.
+    """
+    ws = workspace(docs.sparkSession, name)
+    columns = (["lead"] if lead else []) + ["key", "sig", "doc_id", "at"]
+    schema = ", ".join(f"{x} long" for x in columns)
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def entries(parts):
+        for block in text_blocks(parts, 1 << 20):
+            units, bounds, leads = reader(block.column(1))
+            e = Entries(units, bounds, window, gram)
+            if not len(e.row):
+                continue
+            doc = block.column(0).to_numpy()[e.row]
+            first, repeat = first_in_block(e.key, e.sig, doc, e.start, both)
+            c = {"lead": leads(e.anchor)} if lead else {}
+            c |= {"key": _signed(e.key), "sig": _signed(e.sig), "doc_id": doc, "at": packed(e.start, e.n)}
+            yield _table(Kind.RUN, {x: v[first] for x, v in c.items()})
+            if len(repeat):
+                yield _table(Kind.MARK, _joined({x: v[repeat] for x, v in c.items()}))
+
+    def opened(parts):
+        """The windows of detail entries, one by one."""
+        for block in text_blocks(parts, 1 << 20):
+            units, bounds, _ = reader(block.column(1))
+            doc = block.column(0).to_numpy()
+            sums = SIG.prefixes(mixed(units ^ np.uint64(0x5851F42D4C957F2D)))
+            key, row, start = [], [], []
+            for i, found in enumerate(structs(block.column(2), "key", "at")):
+                pairs = np.unique(np.stack([found[0], found[1] >> LEVEL_BITS], axis=1), axis=0)
+                n = pairs[:, 1] & ((1 << N_BITS) - 1)
+                begin = np.repeat(pairs[:, 1] >> N_BITS, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                fits = begin + window <= bounds[i + 1] - bounds[i]
+                key.append(np.repeat(pairs[:, 0], n)[fits])
+                start.append(begin[fits])
+                row.append(np.full(fits.sum(), i))
+            key, row, start = map(np.concatenate, (key, row, start))
+            if not len(key):
+                continue
+            sig = _signed(SIG.ranges(sums, bounds[row] + start, bounds[row] + start + window))
+            first, repeat = first_in_block(key, sig, doc[row], start, both)
+            c = {"lead": key} if lead else {}
+            c |= {"key": key, "sig": sig, "doc_id": doc[row], "at": packed(start, np.ones(len(start), np.int64))}
+            yield _table(Kind.RUN, {x: v[first] for x, v in c.items()})
+            if len(repeat):
+                yield _table(Kind.MARK, _joined({x: v[repeat] for x, v in c.items()}))
+
+    def scanned(rows: DataFrame, scan: Scan, by: list[str], table: str) -> DataFrame:
+        """Entries and direct marks of ``rows``, scanned and written by kind."""
+        sort = [x for x in columns if x != "lead" or scan.lead]
+        passed = rows.select("kind", *columns)
+
+        def go(parts):
+            held: list = []
+
+            def only_entries():
+                for p in parts:
+                    kind = p.column(0).to_numpy(zero_copy_only=False)
+                    is_mark = kind == Kind.MARK
+                    if is_mark.any():
+                        held.append(p.filter(pa.array(is_mark)))
+                    p = p.filter(pa.array(~is_mark))
+                    yield pa.RecordBatch.from_arrays([p.column(i + 1) for i in range(len(columns))], names=columns)
+
+            for out in scan(only_entries()):
+                yield from held
+                held.clear()
+                yield out
+            yield from held
+
+        # marks ride along by their place, so that they spread evenly
+        salt = F.when(F.col("kind") == Kind.MARK, F.col("at")).otherwise(F.lit(0))
+        dealt = passed.repartition(*by, salt).sortWithinPartitions(*sort)
+        out = dealt.mapInArrow(go, f"kind string, {schema}")
+        out.write.option("compression", "zstd").partitionBy("kind").parquet(f"{ws.root}/{table}")
+        return docs.sparkSession.read.schema(f"{schema}, kind string").parquet(f"{ws.root}/{table}")
+
+    bounds = docs.where(F.col("doc_id") > NULL_ID).select(F.percentile_approx("doc_id", [(i + 1) / batches for i in range(batches - 1)], 1000).alias("p")).first()["p"] if batches > 1 else None
+    bounds = sorted(set(bounds or []))
+    edges = [None, *bounds, None]
+    steps: list[DataFrame] = []
+    levels: dict[int, int] = {}  # level: the step that holds it
+    for b, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        part = docs
+        if low is not None:
+            part = part.where(F.col("doc_id") > low)
+        if high is not None:
+            part = part.where(F.col("doc_id") <= high)
+        rows = part.mapInArrow(entries, f"kind string, {schema}")
+        merge = (~b & (b + 1)).bit_length() - 1  # the lowest free level
+        for k in levels.values():
+            rows = rows.unionByName(steps[k].where(F.col("kind") == Kind.RUN).select("kind", *columns))
+        steps.append(scanned(rows, Scan(both, True, merge, lead), ["key"], f"step{b}"))
+        for level in [x for x in levels if x < merge]:
+            ws.drop(f"step{levels.pop(level)}/kind={Kind.RUN}")
+        levels[merge] = b
+    for k in levels.values():  # a lasting index would stay for the next batch
+        ws.drop(f"step{k}/kind={Kind.RUN}")
+    union = steps[0]
+    for s in steps[1:]:
+        union = union.unionByName(s)
+    detail = union.where(F.col("kind") == Kind.DETAIL).groupBy("doc_id").agg(F.collect_list(F.struct("key", "at")).alias("found"))
+    windows = docs.join(detail, "doc_id").select("doc_id", "text", "found").mapInArrow(opened, f"kind string, {schema}")
+    last = scanned(windows, Scan(both, False, None, lead), ["key", "sig"], "windows")
+    marks = union.where(F.col("kind") == Kind.MARK).unionByName(last.where(F.col("kind") == Kind.MARK))
+    at = F.col("at")
+    marks = marks.select("doc_id", F.shiftright(at, N_BITS + LEVEL_BITS).alias("start"), (F.shiftright(at, LEVEL_BITS).bitwiseAND((1 << N_BITS) - 1) + window - 1).alias("length"))
+    return ws, docs, marks
+
+
+def _joined(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Marks of a block, entries that follow each other in a document joined up to what ``at`` can hold."""
+    start, n = start_of(c["at"]), windows_of(c["at"])
+    order = np.lexsort((start, c["doc_id"]))
+    d, s, e = c["doc_id"][order], start[order], (start + n)[order]
+    run = np.r_[True, (d[1:] != d[:-1]) | (s[1:] != e[:-1])]
+    run_no = np.cumsum(run)
+    length = e - s[run][run_no - 1]
+    cut = np.r_[True, (length[1:] // 2048 != length[:-1] // 2048) | run[1:]]
+    i = np.flatnonzero(cut)
+    stop = e[np.r_[i[1:], len(e)] - 1]
+    out = {x: v[order][i] for x, v in c.items()}
+    out["at"] = packed(s[i], stop - s[i])
+    return out
+
+
+def structs(column: pa.Array, *fields: str) -> list[list[np.ndarray]]:
+    """For each row of a column of lists of structs, the named fields as arrays; a null is empty."""
+    inner = column.flatten()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    cuts = np.cumsum(sizes)[:-1]
+    return list(map(list, zip(*(np.split(inner.field(x).to_numpy(zero_copy_only=False), cuts) for x in fields), strict=True)))
+
+
+def covered(start: np.ndarray, length: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of the pieces [start, start + length), inside n units."""
+    return merged(np.minimum(start, n), np.minimum(start + length, n))
