@@ -18,7 +18,7 @@ def finite_number(text: Column) -> Column:
 
 def number_list(text: Column) -> Column:
     """A semicolon list as doubles; blanks are passed over, what is no number is null."""
-    parts = F.filter(F.transform(F.split(text, ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ";"), lambda p: F.trim(p)), lambda p: p != "")
     return F.transform(parts, lambda p: p.try_cast("double"))
 
 

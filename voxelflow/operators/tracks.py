@@ -101,7 +101,11 @@ def smoothed(points: DataFrame, sigma: float, columns: tuple[str, ...] = ("x", "
     near = p.withColumn("near", F.collect_list(F.when(ok, F.struct("point_idx", *columns))).over(w))
     weight = lambda n: F.exp(-F.pow((n["point_idx"] - F.col("point_idx")).cast("double"), 2) / (2 * sigma * sigma))
     total = F.aggregate("near", F.lit(0.0), lambda a, n: a + weight(n))
-    means = {c: F.when(total > 0, F.aggregate("near", F.lit(0.0), lambda a, n, c=c: a + weight(n) * n[c]) / total).otherwise(F.col(c)).alias(c) for c in columns}
+
+    def mean(c: str) -> Column:
+        return F.when(total > 0, F.aggregate("near", F.lit(0.0), lambda a, n: a + weight(n) * n[c]) / total).otherwise(F.col(c)).alias(c)
+
+    means = {c: mean(c) for c in columns}
     return near.select(*(means.get(c, F.col(c)) for c in p.columns))
 
 
