@@ -197,6 +197,14 @@ def bounded_collect(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that a table doesn't have yet, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id's decimal text, mod 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

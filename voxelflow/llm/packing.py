@@ -60,8 +60,6 @@ class WordTokenizer:
 
     def _learn(self, words: set[bytes]) -> None:
         known = self.known
-        if len(known) + len(words) > CACHE_WORDS:
-            known.clear()
         whole, split, parts = [], [], set()
         for w in words:
             core = w.rstrip(TRAILING)
@@ -94,9 +92,10 @@ class WordTokenizer:
             return np.frombuffer(b"".join(map(self.known.__getitem__, words)), self.kind)
         except KeyError:
             missing = set(words).difference(self.known)
+            if len(self.known) + len(missing) > CACHE_WORDS:
+                self.known.clear()
+                missing = set(words)
             self._learn(missing)
-            if any(w not in self.known for w in words):  # the cache was full and began anew
-                self._learn(set(words).difference(self.known))
             return np.frombuffer(b"".join(map(self.known.__getitem__, words)), self.kind)
 
 

@@ -88,7 +88,7 @@ class Model:
     mean: float
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        v = (np.sqrt(counts) * self.idf) @ self.base
+        v = (np.sqrt(counts, dtype=np.float64) * self.idf) @ self.base
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def scores(self, counts: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
@@ -104,12 +104,12 @@ def fit(texts: list[str], labels: list[int], dimensions: int = DIMENSIONS) -> Mo
     if not texts:
         return None
     counts = np.concatenate([term_counts(*buffer_of(pa.array(texts[a : a + 256], pa.string()))) for a in range(0, len(texts), 256)])
-    idf = np.log((1 + len(texts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + np.float32(0.2)
-    weighted = np.sqrt(counts) * idf
+    idf = np.log((1 + len(texts)) / (1 + (counts > 0).sum(0))) + 0.2
+    weighted = np.sqrt(counts) * idf.astype(np.float32)
     value, vector = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-    base = vector[:, np.argsort(-value)[: min(dimensions, len(texts))]].astype(np.float32)
-    y = np.array(labels, np.float32)
-    model = Model(idf, base, np.zeros((0, base.shape[1]), np.float32), y, float(y.mean()))
+    base = np.ascontiguousarray(vector[:, np.argsort(-value)[: min(dimensions, len(texts))]])
+    y = np.array(labels, np.float64)
+    model = Model(idf, base, np.zeros((0, base.shape[1])), y, float(y.mean()))  # float64: equal texts score alike in any batch
     model.vectors = model.latent(counts)
     return model
 

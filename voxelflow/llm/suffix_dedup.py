@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer_of, read_table, text_blocks
+from .common import buffer_of, fresh, read_table, text_blocks
 from .sampled_index import KEY, NULL_ID, covered, marked_runs, structs
 
 LENGTH = 200
@@ -85,8 +85,9 @@ def drop_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch
     A text of which nothing is left stays as an empty text; a null stays null.
     """
     _, found = _found(docs, length, gram, batches)
-    found = found.withColumnRenamed("doc_id", "_id").withColumnRenamed("found", "_found")
-    joined = docs.join(found, F.coalesce(docs["doc_id"], F.lit(NULL_ID)) == found["_id"], "left").drop("_id")
+    key, runs = fresh(docs, "found_id"), fresh(docs, "found_runs")
+    found = found.select(F.col("doc_id").alias(key), F.col("found").alias(runs))
+    joined = docs.join(found, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col(key), "left").drop(key)
     at = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -97,7 +98,7 @@ def drop_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch
                 if text is not None and len(start):
                     text = b"".join(x for x in kept_parts(text.encode(), start, length)[0]).decode(errors="ignore")
                 texts.append(text)
-            columns = list(block.columns[:-1])
+            columns = list(block.columns[:-1])  # the last column has the runs found
             columns[at] = pa.array(texts, block.schema.field(at).type)
             if chars is not None:
                 old = columns[chars]
