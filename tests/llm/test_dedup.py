@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 
-from voxelflow.llm import simhash, substring_dedup, suffix_dedup
+from voxelflow.llm import simhash, similar_pairs, substring_dedup, suffix_dedup
 
 
 def pieces(rows):
@@ -166,12 +166,83 @@ def test_simhash_against_brute_force(spark, table, odd_rows):
     assert len({c for _, _, c in want}) < len({f for _, f, _ in want}), "the fixture has links between different fingerprints"
 
 
+def shingle_set(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def alike(a, b):
+    x, y = shingle_set(a), shingle_set(b)
+    return bool(x) and len(x & y) >= 0.8 * len(x | y) - 1e-9
+
+
+def edited_rows(groups=25, copies=5):
+    """Groups of a text and copies with a few words changed, and texts that share only a passage."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randint(0, 5000)}"
+    rows, doc_id, passage = [], 0, [word() for _ in range(80)]
+    for _ in range(groups):
+        base = [word() for _ in range(rng.randint(60, 400))]
+        for c in range(copies):
+            text = list(base)
+            for _ in range(c and rng.randint(1, max(1, len(base) // 60))):
+                text[rng.randrange(len(text))] = word()
+            rows.append((doc_id, " ".join(text)))
+            doc_id += 1
+        rows.append((doc_id, " ".join(passage + [word() for _ in range(60)])))
+        doc_id += 1
+    rng.shuffle(rows)
+    return rows
+
+
+def test_similar_texts_against_brute_force(spark, table, odd_rows):
+    rows = edited_rows() + [(d if d is None else d + 1000, t) for d, t, *_ in odd_rows]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(rows), similar=True).where("doc_id is not null").collect()}
+    texts = {d: t for d, t in rows if d is not None}
+    up = {d: d for d in texts}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    by_fp = brute_components(rows)
+    for d, _, c in by_fp:
+        if d is not None:
+            up[root(d)] = root(c)
+    links = 0
+    ids = sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if alike(texts[a], texts[b]):
+                links += texts[a] != texts[b]
+                up[root(a)] = root(b)
+    least = {}
+    for d in ids:
+        least[root(d)] = min(least.get(root(d), d), d)
+    assert links > 30
+    assert got == {d: least[root(d)] for d in ids}
+
+
+def test_nearest_links_hold_over_blocks(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(similar_pairs, "SIDE", 7)
+    rng = np.random.default_rng(3)
+    wide = rng.integers(0, 1 << 64, (2, 40), dtype=np.uint64)
+    wide[:, 20:] = wide[:, :20] ^ np.uint64(5)
+    got = set(map(tuple, similar_pairs.nearest(wide, 31).T.tolist()))
+    d = np.bitwise_count(wide[:, :, None] ^ wide[:, None, :]).astype(int).sum(0)
+    assert {(i, i + 20) for i in range(20)} <= got
+    assert all(d[a, b] <= 31 for a, b in got)
+
+
 def test_one_document_of_each_component_stays(spark, table):
-    rows = near_rows() + [(7, "x"), (8, "x"), (None, "x"), (7, "x")]
+    rows = edited_rows(6, 4) + [(907, "x"), (908, "x"), (None, "x"), (907, "x"), (909, None), (910, "")]
     kept = [r.doc_id for r in simhash.drop_near_duplicates(table(rows)).collect()]
-    want = {c for _, _, c in brute_components(rows)}
+    want = {r.component_id for r in simhash.near_duplicates(table(rows), similar=True).collect()}
     assert set(kept) == want | {None}
-    assert kept.count(7) == 2
+    assert kept.count(907) == 2 and 908 not in kept and 909 in kept and 910 not in kept
 
 
 def test_radius_holds_over_random_fingerprints(spark):

@@ -12,6 +12,9 @@ numpy blocks.  A task hands on a spanning forest of the links it finds, never
 all of them, so large groups stay linear.  Components come from alternating
 large-star and small-star steps over distinct fingerprints.
 
+``drop_near_duplicates`` also links documents whose five-word shingles agree to
+0.8 or more, which lie beyond so small a radius (see ``similar_pairs``).
+
 Defined results: null text is empty; rows without words share fingerprint zero
 and link like any others; a repeated row gets the same values; null ids count
 as no smallest id (a component of null ids alone has null); no rows give none.
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, text_blocks, workspace
+from .similar_pairs import sketches, similar_links
 
 RADIUS = 2
 SHINGLE = 3
@@ -59,7 +63,7 @@ def bit_majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def _fingerprints(batches):
+def _fingerprints(batches, wide: bool = False):
     for block in text_blocks(batches, 1 << 19):
         hashes = [fingerprint_words((t or "").encode().lower().split()) for t in block.column(1).to_pylist()]
         sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
@@ -67,12 +71,17 @@ def _fingerprints(batches):
         full = sizes > 0
         if full.any():
             out[full] = bit_majority(np.concatenate(hashes), np.r_[0, np.cumsum(sizes[full])[:-1]])
-        yield pa.RecordBatch.from_arrays([block.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+        found = {"doc_id": block.column(0), "fp": pa.array(out.view(np.int64))}
+        if wide:
+            words, tiles = sketches(block.column(1), bit_majority)
+            found |= {"w0": pa.array(words[0].view(np.int64)), "w1": pa.array(words[1].view(np.int64)), "tiles": pa.array(tiles, pa.list_(pa.int64()))}
+        yield pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, wide: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; with ``wide`` also what ``similar_links`` compares."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(lambda parts: _fingerprints(parts, wide), "doc_id long, fp long" + ", w0 long, w1 long, tiles array<long>" * wide)
 
 
 def _steps(radius: int) -> list[tuple[int, ...]]:
@@ -204,12 +213,19 @@ def components(links: DataFrame, ws) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable), one row for each row of ``docs``."""
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, similar: bool = False) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable), one row for each row of ``docs``.
+
+    ``similar``: documents also link where their shingles agree, at any distance.
+    """
     ws = workspace(docs.sparkSession, "simhash")
-    fps = ws.write(fingerprints(docs), "fingerprints")
-    classes = ws.write(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = components(links_within(classes, radius), ws)
+    fps = ws.write(fingerprints(docs, similar), "fingerprints")
+    kept = [F.min_by(x, F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias(x) for x in ("w0", "w1", "tiles") if similar]
+    classes = ws.write(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *kept), "classes")
+    links = links_within(classes, radius)
+    if similar:
+        links = links.unionByName(similar_links(classes, docs, ws))
+    roots = components(links, ws)
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = ws.write(rooted.join(smallest, "root").select("fp", "component_id"), "components")
@@ -217,11 +233,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest doc_id.
+    """``docs`` with one document of each component of similar ones, that of the smallest doc_id.
 
     Rows that repeat a kept doc_id stay with it; rows without a doc_id stay.
     """
-    found = near_duplicates(docs, radius)
+    found = near_duplicates(docs, radius, similar=True)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
