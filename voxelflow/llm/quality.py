@@ -100,17 +100,30 @@ class Model:
         return np.where(counts.any(1), score, self.mean)
 
 
+def _right_vectors(x: np.ndarray, k: int) -> np.ndarray:
+    """The first right singular vectors by subspace iteration; beside ``x`` only thin matrices are held."""
+    thin = min(k + 16, *x.shape)
+    q = np.linalg.qr(np.random.default_rng(5).standard_normal((x.shape[1], thin), np.float32))[0]
+    for _ in range(12):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    _, _, small = np.linalg.svd((x @ q).astype(np.float64), full_matrices=False)
+    return np.ascontiguousarray(q.astype(np.float64) @ small[:k].T)
+
+
 def fit(texts: list[str], labels: list[int], dimensions: int = DIMENSIONS) -> Model | None:
     if not texts:
         return None
-    counts = np.concatenate([term_counts(*buffer_of(pa.array(texts[a : a + 256], pa.string()))) for a in range(0, len(texts), 256)])
-    idf = np.log((1 + len(texts)) / (1 + (counts > 0).sum(0))) + 0.2
-    weighted = np.sqrt(counts) * idf.astype(np.float32)
-    value, vector = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-    base = np.ascontiguousarray(vector[:, np.argsort(-value)[: min(dimensions, len(texts))]])
+    counts = np.zeros((len(texts), TERMS), np.float32)
+    for a in range(0, len(texts), 256):
+        counts[a : a + 256] = term_counts(*buffer_of(pa.array(texts[a : a + 256], pa.string())))
+    idf = np.log((1 + len(texts)) / (1 + np.count_nonzero(counts, axis=0))) + 0.2
+    weighted = np.sqrt(counts)
+    weighted *= idf.astype(np.float32)
+    base = _right_vectors(weighted, min(dimensions, len(texts)))
+    del weighted
     y = np.array(labels, np.float64)
     model = Model(idf, base, np.zeros((0, base.shape[1])), y, float(y.mean()))  # float64: equal texts score alike in any batch
-    model.vectors = model.latent(counts)
+    model.vectors = np.concatenate([model.latent(counts[a : a + 256]) for a in range(0, len(texts), 256)])
     return model
 
 
