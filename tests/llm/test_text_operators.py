@@ -154,3 +154,7 @@ def test_quality_of_odd_rows(spark, table, odd_rows):
     assert quality.train(docs, labels.limit(0)) is None
     assert {r.score for r in quality.score_quality(docs, None).collect()} == {0.5}
     assert quality.score_quality(table([]), model).collect() == []
+
+
+def test_numerals_are_no_letters():
+    assert [language_id.has_letter(x) for x in ("", "12 ² ½ Ⅷ _", "² é", "ا", "語")] == [False, False, True, True, True]

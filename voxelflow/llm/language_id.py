@@ -36,6 +36,12 @@ SAMPLE_CHARS = 12_000
 RIDGE = 0.05
 LETTER = re.compile(r"[^\W\d_]")
 
+
+def has_letter(text: str) -> bool:
+    """Some numerals, such as superscripts, match the pattern but are no letters."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 #: Byte to symbol: a to z are 1 to 26, bytes beyond ASCII 27 to 154, all else 0.
 SYMBOL = np.zeros(256, np.int64)
 SYMBOL[0x61:0x7B] = np.arange(1, 27)
@@ -92,7 +98,7 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     names = sorted(set(labels))
     if not names:
         return None
-    by = {x: [t for t, y in zip(texts, labels, strict=True) if y == x and LETTER.search(t)] for x in names}
+    by = {x: [t for t, y in zip(texts, labels, strict=True) if y == x and has_letter(t)] for x in names}
     names = [x for x in names if by[x]]
     if not names:
         return None
@@ -164,7 +170,7 @@ def _scored(shared):
                     e = np.exp(4 * (v - v.max(1, keepdims=True)))
                     sure = 1 / e.sum(1)
                 ascii_letter = np.add.reduceat(np.r_[(SYMBOL[raw] > 0) & (SYMBOL[raw] < 27), False], np.minimum(offsets[:-1], len(raw))) * (np.diff(offsets) > 0)
-                letter = [bool(n) or bool(t.as_py() and LETTER.search(t.as_py())) for n, t in zip(ascii_letter.tolist(), texts, strict=True)]
+                letter = [bool(n) or has_letter(t.as_py() or "") for n, t in zip(ascii_letter.tolist(), texts, strict=True)]
                 lang = [names[i] if ok else "und" for i, ok in zip(best.tolist(), letter, strict=True)]
                 sure = np.where(letter, np.round(sure, 6), 0.0) if names != ["und"] else np.zeros(len(lang))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(lang, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
