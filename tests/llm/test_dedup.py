@@ -224,6 +224,21 @@ def test_similar_texts_against_brute_force(spark, table, odd_rows):
     assert got == {d: least[root(d)] for d in ids}
 
 
+def test_texts_of_one_fingerprint_link_each_for_itself(spark, table):
+    """The repeated start fixes the fingerprint of all but the last of each three; only the second is like the last."""
+    rng = random.Random(2)
+    tail = lambda: " ".join(f"t{rng.randint(0, 9999)}" for _ in range(300))
+    a, b, c = tail(), tail(), tail()
+    head = "x y z " * 1000
+    rows = [(1, head + a), (2, head + b), (3, b), (None, head + c), (4, c)]
+    assert len({brute_fingerprint(t) for _, t in rows}) == 3
+    assert alike(rows[1][1], b) and not alike(rows[0][1], b)
+    got = sorted((str(r.doc_id), r.component_id) for r in simhash.near_duplicates(table(rows), similar=True).collect())
+    assert got == [("1", 1), ("2", 1), ("3", 1), ("4", 1), ("None", 1)]
+    alone = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(table([(None, head + c), (8, c)]), similar=True).collect()}
+    assert alone == {(None, 8), (8, 8)}
+
+
 def test_nearest_links_hold_over_blocks(monkeypatch):
     import numpy as np
 

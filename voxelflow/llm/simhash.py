@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, text_blocks, workspace
-from .similar_pairs import sketches, similar_links
+from .similar_pairs import shared_tiles, similar_links, sketches, text_classes, text_hashes
 
 RADIUS = 2
 SHINGLE = 3
@@ -73,15 +73,17 @@ def _fingerprints(batches, wide: bool = False):
             out[full] = bit_majority(np.concatenate(hashes), np.r_[0, np.cumsum(sizes[full])[:-1]])
         found = {"doc_id": block.column(0), "fp": pa.array(out.view(np.int64))}
         if wide:
-            words, tiles = sketches(block.column(1), bit_majority)
-            found |= {"w0": pa.array(words[0].view(np.int64)), "w1": pa.array(words[1].view(np.int64)), "tiles": pa.array(tiles, pa.list_(pa.int64()))}
+            words, tiles, n = sketches(block.column(1), bit_majority)
+            found |= {"h0": block.column(2), "h1": block.column(3), "n": pa.array(n, pa.int64()), "w0": pa.array(words[0].view(np.int64)), "w1": pa.array(words[1].view(np.int64)), "tiles": pa.array(tiles, pa.list_(pa.int64()))}
         yield pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
 
 
 def fingerprints(docs: DataFrame, wide: bool = False) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long; with ``wide`` also what ``similar_links`` compares."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(lambda parts: _fingerprints(parts, wide), "doc_id long, fp long" + ", w0 long, w1 long, tiles array<long>" * wide)
+    if wide:
+        source = source.select("*", *text_hashes(F.coalesce("text", F.lit(""))))
+    return source.mapInArrow(lambda parts: _fingerprints(parts, wide), "doc_id long, fp long" + ", h0 long, h1 long, n long, w0 long, w1 long, tiles array<long>" * wide)
 
 
 def _steps(radius: int) -> list[tuple[int, ...]]:
@@ -220,11 +222,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, similar: bool = False
     """
     ws = workspace(docs.sparkSession, "simhash")
     fps = ws.write(fingerprints(docs, similar), "fingerprints")
-    kept = [F.min_by(x, F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias(x) for x in ("w0", "w1", "tiles") if similar]
-    classes = ws.write(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *kept), "classes")
+    classes = ws.write(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     links = links_within(classes, radius)
     if similar:
-        links = links.unionByName(similar_links(classes, docs, ws))
+        met, texts = shared_tiles(ws.write(text_classes(fps), "text_classes"), docs, ws)
+        links = links.unionByName(similar_links(met, texts, ws))
     roots = components(links, ws)
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))

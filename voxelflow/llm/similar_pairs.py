@@ -9,7 +9,9 @@ a probability of 0.9998.  Inside a tile, 128-bit SimHashes are compared by
 exclusive-or and bit counts, block by block, all with all; each document hands
 on its nearest neighbour, its nearest earlier one and its first one within the
 radius, so that the links of a tile are linear in its size.  Every link is then
-verified by the exact Jaccard similarity of the shingle sets.
+verified by the exact Jaccard similarity of the shingle sets.  Members of a tile
+are distinct texts, whatever their ids and fingerprints; links are handed on
+between fingerprints, as equal ones have met before.
 
 Words stand between ASCII white space, A-Z lower-cased; a text of fewer words
 is one shingle, one without words has no tile.
@@ -52,8 +54,8 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tupl
     return h, np.searchsorted(row, np.arange(len(words) + 1))
 
 
-def sketches(text: pa.Array, majority) -> tuple[np.ndarray, list]:
-    """Two 64-bit words of each row's wide SimHash, and its tiles (none without words)."""
+def sketches(text: pa.Array, majority) -> tuple[np.ndarray, list, np.ndarray]:
+    """Two 64-bit words of each row's wide SimHash, its tiles (none without words) and its number of shingles."""
     h, bounds = shingle_sets(*buffer_of(text))
     full = np.flatnonzero(np.diff(bounds))
     wide = np.zeros((2, len(bounds) - 1), np.uint64)
@@ -68,7 +70,7 @@ def sketches(text: pa.Array, majority) -> tuple[np.ndarray, list]:
             band = mixed(band * np.uint64(0x9E3779B97F4A7C15) + least[:, i])
         for r, t in zip(full.tolist(), band.T.copy().view(np.int64), strict=True):
             tiles[r] = t
-    return wide, tiles
+    return wide, tiles, np.diff(bounds)
 
 
 def nearest(wide: np.ndarray, radius: int) -> np.ndarray:
@@ -156,19 +158,34 @@ def _verified(similarity: float):
     return verify
 
 
-def similar_links(classes: DataFrame, docs: DataFrame, ws, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """Verified links (u, v) between fingerprints.
+def text_hashes(text) -> tuple:
+    """128 bits that stand for a text, as two longs."""
+    return F.xxhash64(text).alias("h0"), F.xxhash64(F.lit(77), text).alias("h1")
 
-    ``classes`` has fp, first_id, w0, w1 and tiles; ``docs`` the texts of the
-    first ids.  A hot tile costs one block comparison of its distinct
-    fingerprints; equal fingerprints have met before.
-    """
-    tiled = classes.select(F.explode("tiles").alias("tile"), "fp", "w0", "w1", "first_id")
-    dealt = tiled.repartition("tile").sortWithinPartitions("tile", F.col("first_id").asc_nulls_last(), "fp").drop("first_id")
+
+def text_classes(fps: DataFrame) -> DataFrame:
+    """A row for each distinct text, numbered by ``tid``; write it once, as the numbers follow the run."""
+    same = [F.first(x).alias(x) for x in ("fp", "w0", "w1", "n", "tiles")]  # all follow from the text
+    return fps.groupBy("h0", "h1").agg(F.min("doc_id").alias("first_id"), *same).withColumn("tid", F.monotonically_increasing_id())
+
+
+def shared_tiles(classes: DataFrame, docs: DataFrame, ws) -> tuple[DataFrame, DataFrame]:
+    """Members of the tiles where distinct texts meet, and a text for each ``tid`` among them."""
+    tiled = classes.select(F.explode("tiles").alias("tile"), "tid", "fp", "w0", "w1", "n")
+    several = tiled.groupBy("tile").count().where("count > 1").select("tile")
+    met = ws.write(tiled.join(several, "tile"), "met")
+    known = lambda x: F.coalesce(x, F.lit(-(1 << 63)))
+    ids = classes.join(met.select("tid").distinct(), "tid").select("tid", "fp", "h0", "h1", known(F.col("first_id")).alias("first_id"))
+    source = docs.select(known(F.col("doc_id").cast("long")).alias("first_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    source = source.select("first_id", "text", *text_hashes(F.col("text")))
+    texts = source.join(ids, ["first_id", "h0", "h1"]).groupBy("tid", "fp").agg(F.min("text").alias("text"))
+    return met, ws.write(texts, "texts")
+
+
+def similar_links(met: DataFrame, texts: DataFrame, ws, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """Verified links (u, v) between the fingerprints of near texts, linear in the size of each tile."""
+    dealt = met.select("tile", "tid", "w0", "w1").repartition("tile").sortWithinPartitions("tile", "tid")
     links = ws.write(dealt.mapInArrow(_compared(radius), "u long, v long").where("u <> v").distinct(), "near")
-    ends = links.select(F.col("u").alias("fp")).unionAll(links.select("v")).distinct()
-    ids = classes.select("fp", "first_id").join(ends, "fp")
-    source = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = ws.write(source.join(ids, "first_id").groupBy("fp").agg(F.min("text").alias("text")), "texts")
-    pairs = links.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
-    return pairs.select("u", "v", "a", "b").mapInArrow(_verified(similarity), "u long, v long")
+    one, two = (texts.select(F.col("tid").alias(t), F.col("fp").alias(f), F.col("text").alias(x)) for t, f, x in (("u", "fu", "a"), ("v", "fv", "b")))
+    pairs = links.join(one, "u").join(two, "v")
+    return pairs.select("fu", "fv", "a", "b").mapInArrow(_verified(similarity), "u long, v long")
