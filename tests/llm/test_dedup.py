@@ -239,6 +239,30 @@ def test_texts_of_one_fingerprint_link_each_for_itself(spark, table):
     assert alone == {(None, 8), (8, 8)}
 
 
+def templated_rows(seed, crowd=150, words=1500):
+    """Many edits of one text at a similarity just under 0.8 to each other, and one more text that only number 75 is like."""
+    rng = random.Random(seed)
+    base = [f"b{rng.randint(0, 99999)}" for _ in range(words)]
+    spots = lambda n: rng.sample(range(0, words, 6), n)
+    edits = [{i: f"n{d}.{i}" for i in spots(21)} for d in range(crowd)]
+    partner = dict(list(edits[75].items())[:6]) | {i: f"p{i}" for i in spots(18)}
+    return [(d, " ".join(e.get(i, w) for i, w in enumerate(base))) for d, e in enumerate([*edits, partner])]
+
+
+@pytest.mark.parametrize("cell", [1 << 19, 20_000])
+def test_a_pair_in_a_crowd_below_the_threshold(spark, table, monkeypatch, cell):
+    monkeypatch.setattr(similar_pairs, "CELL", cell)
+    rows = templated_rows(1)
+    sets = [shingle_set(t) for _, t in rows]
+    near = {(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert near == {(75, 150)}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(rows), similar=True).collect()}
+    want = {d: c for d, _, c in brute_components(rows)}
+    pair = {want[75], want[150]}
+    assert len(pair) == 2, "the radius does not join them"
+    assert got == {d: min(pair) if c in pair else c for d, c in want.items()}
+
+
 def test_nearest_links_hold_over_blocks(monkeypatch):
     import numpy as np
 

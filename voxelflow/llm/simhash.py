@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, text_blocks, workspace
-from .similar_pairs import shared_tiles, similar_links, sketches, text_classes, text_hashes
+from .similar_pairs import Forest, remaining_links, shared_tiles, similar_links, sketches, text_classes, text_hashes
 
 RADIUS = 2
 SHINGLE = 3
@@ -115,27 +115,6 @@ def _dealt(radius: int):
     return deal
 
 
-class Forest:
-    """Union-find over the fingerprints of a tile, by their numbers."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def link(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
 def _blocks(own: np.ndarray, guests: np.ndarray, radius: int):
     """Links between own fingerprints, and from guests to own ones; numbers: own first."""
     every = np.concatenate([own, guests])
@@ -228,6 +207,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, similar: bool = False
         met, texts = shared_tiles(ws.write(text_classes(fps), "text_classes"), docs, ws)
         links = links.unionByName(similar_links(met, texts, ws))
     roots = components(links, ws)
+    if similar:
+        left = remaining_links(met, texts, roots, ws)
+        if left.limit(1).count():
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(left), workspace(docs.sparkSession, "remaining"))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = ws.write(rooted.join(smallest, "root").select("fp", "component_id"), "components")

@@ -9,7 +9,10 @@ a probability of 0.9998.  Inside a tile, 128-bit SimHashes are compared by
 exclusive-or and bit counts, block by block, all with all; each document hands
 on its nearest neighbour, its nearest earlier one and its first one within the
 radius, so that the links of a tile are linear in its size.  Every link is then
-verified by the exact Jaccard similarity of the shingle sets.  Members of a tile
+verified by the exact Jaccard similarity of the shingle sets.  These links join
+nearly all that is alike.  Where a tile still has texts of several components,
+all its pairs are compared exactly (``remaining_links``), so that no pair that
+meets in a tile is left out.  Members of a tile
 are distinct texts, whatever their ids and fingerprints; links are handed on
 between fingerprints, as equal ones have met before.
 
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, Roller, buffer_of, mixed, word_hashes, words_of
+from .common import LOWER, SPACE, Roller, buffer_of, mixed, text_blocks, word_hashes, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -32,6 +35,8 @@ BANDS, ROWS = 12, 3
 #: Of 128 bits; the mean distance at a similarity of 0.8 is 19, its standard deviation 4.
 RADIUS = 31
 SIDE = 1024
+#: Shingles of one side of a cell, in which all pairs are compared exactly; larger tiles make several cells.
+CELL = 1 << 19
 ROLLER = Roller(31)
 _SEEDS = np.random.default_rng(77).integers(0, 1 << 64, BANDS * ROWS + BANDS + 2, dtype=np.uint64) | np.uint64(1)
 PERMUTE, BAND_SALT, WIDE_SALT = _SEEDS[: BANDS * ROWS], _SEEDS[BANDS * ROWS : -2], _SEEDS[-2:]
@@ -189,3 +194,95 @@ def similar_links(met: DataFrame, texts: DataFrame, ws, similarity: float = SIMI
     one, two = (texts.select(F.col("tid").alias(t), F.col("fp").alias(f), F.col("text").alias(x)) for t, f, x in (("u", "fu", "a"), ("v", "fv", "b")))
     pairs = links.join(one, "u").join(two, "v")
     return pairs.select("fu", "fv", "a", "b").mapInArrow(_verified(similarity), "u long, v long")
+
+
+class Forest:
+    """Union-find over the fingerprints of a tile, by their numbers."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def link(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
+
+
+def exact_links(h: np.ndarray, bounds: np.ndarray, roots: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that span the components of roots; all sets of ``left`` are compared with all of ``right``."""
+    sizes = np.diff(bounds)
+    m = len(sizes)
+    _, code, count = np.unique(h, return_inverse=True, return_counts=True)
+    holders = np.repeat(np.arange(m), sizes)[np.argsort(code, kind="stable")]
+    first = np.cumsum(count) - count
+    names, number = np.unique(roots, return_inverse=True)
+    forest, out = Forest(len(names)), []
+    for a in np.flatnonzero(left).tolist():
+        c = code[bounds[a] : bounds[a + 1]]
+        c = c[count[c] > 1]
+        n = count[c]
+        at = np.repeat(first[c], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        both = np.bincount(holders[at], minlength=m)
+        near = right & (both >= similarity * (sizes[a] + sizes - both) - 1e-9) & (number != number[a])
+        for b in np.flatnonzero(near).tolist():
+            if forest.link(int(number[a]), int(number[b])):
+                out.append((int(roots[a]), int(roots[b])))
+    return out
+
+
+def _compared_exactly(similarity: float):
+    def compare(batches):
+        """Cells come sorted, over any number of batches."""
+        key, sets, sizes, sides, roots = None, [], [], [], []
+
+        def links():
+            bounds, side = np.r_[0, np.cumsum(np.concatenate(sizes))], np.concatenate(sides)
+            one, two = key[1:]
+            found = exact_links(np.concatenate(sets), bounds, np.concatenate(roots), side == one, side == two, similarity)
+            u, v = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            for block in text_blocks([batch]):
+                columns = [block.column(i).to_numpy() for i in range(5)]
+                h, bounds = shingle_sets(*buffer_of(block.column(5)))
+                cell = np.stack(columns[:3])
+                cuts = np.r_[0, np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1, block.num_rows]
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    if (now := tuple(cell[:, a].tolist())) != key:
+                        if key is not None:
+                            yield links()
+                        key, sets, sizes, sides, roots = now, [], [], [], []
+                    sets.append(h[bounds[a] : bounds[b]])
+                    sizes.append(np.diff(bounds[a : b + 1]))
+                    sides.append(columns[3][a:b])
+                    roots.append(columns[4][a:b])
+        if key is not None:
+            yield links()
+
+    return compare
+
+
+def remaining_links(met: DataFrame, texts: DataFrame, roots: DataFrame, ws, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) between the ``roots`` of fingerprints: every pair of texts of a tile with several roots is verified.
+
+    The members of a large tile are dealt to groups of about CELL shingles, and
+    each pair of groups is a cell, so that no task holds more than two groups.
+    """
+    rooted = met.join(roots, met["fp"] == roots["node"], "left").select("tile", "tid", "n", F.coalesce("root", "fp").alias("root"))
+    mixed = rooted.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.sum("n") / CELL).cast("int").alias("groups")).where("low <> high")
+    members = rooted.join(mixed.select("tile", "groups"), "tile").withColumn("side", F.expr("int(pmod(xxhash64(tid), groups))"))
+    cells = members.select("tile", "tid", "root", "side", F.explode(F.expr("sequence(0, groups - 1)")).alias("other"))
+    cells = cells.select("tile", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "root", "tid")
+    cells = cells.join(texts.select("tid", "text"), "tid").select("tile", "one", "two", "side", "root", "text")
+    dealt = cells.repartition("tile", "one", "two").sortWithinPartitions("tile", "one", "two")
+    return ws.write(dealt.mapInArrow(_compared_exactly(similarity), "u long, v long").distinct(), "remaining")
