@@ -93,6 +93,23 @@ def test_null_ids_are_one_document(spark, table, odd_rows):
     assert suffix_dedup.repeated_strings(table(odd_rows)).count() == len(odd_rows)
 
 
+def test_rows_without_id_are_cut_each_for_itself(spark, table):
+    """Rows without id, and texts of one id, neither pass on their cuts nor count as one place."""
+    rng = random.Random(8)
+    prose = lambda: " ".join(f"p{rng.randint(0, 99999)}" for _ in range(90))
+    copy, twice, clean, other, same = prose(), prose(), prose(), prose(), prose()
+    rows = [(None, copy), (None, copy), (None, twice + " " + twice), (None, clean), (5, same), (5, other), (5, other), (6, same)]
+    strings = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.repeated_strings(table(rows)).collect()), key=str)
+    gone = lambda t: (len(t), len(t))
+    want = [(None, *gone(copy)), (None, *gone(copy)), (None, 2 * len(twice) + 1), (None, len(clean), 0), (5, *gone(same)), (5, len(other), 0), (5, len(other), 0), (6, *gone(same))]
+    want[2] = (None, 2 * len(twice) + 1, 2 * len(twice))
+    assert strings == sorted(want, key=str)
+    kept = sorted(r.text for r in suffix_dedup.drop_repeated(table(rows)).collect())
+    assert kept == sorted(["", "", " ", clean, "", other, other, ""])
+    words = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeated_windows(table(rows)).collect()), key=str)
+    assert words == sorted([(None, 90, 0), (None, 90, 90), (None, 180, 90), (None, 90, 0), (5, 90, 0), (5, 90, 0), (5, 90, 0), (6, 90, 90)], key=str)
+
+
 def test_cut_texts_keep_their_columns(spark, table, odd_rows):
     docs = table(odd_rows)
     out = suffix_dedup.drop_repeated(docs)

@@ -59,6 +59,13 @@ def test_containment_against_brute_force(spark, table, odd_rows, benchmark_rows)
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted((d or -1) for d, *_ in docs if d not in hit)
 
 
+def test_only_the_row_that_is_hit_goes(spark, table):
+    item = " ".join(f"q{i}" for i in range(12))
+    rows = [(None, "so " + item), (None, "clean text without id"), (3, item), (3, "clean text of a shared id")]
+    kept = decontamination.decontaminate(table(rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r.text for r in kept.collect()) == ["clean text of a shared id", "clean text without id"]
+
+
 def test_items_in_blocks(spark, table, benchmark_rows, monkeypatch):
     docs = [(i, t) for i, t in benchmark_rows if t]
     items = spark.createDataFrame(benchmark_rows, "item_id long, text string")

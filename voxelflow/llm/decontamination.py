@@ -148,6 +148,16 @@ class SketchIndex:
                 yield row, j, found
 
 
+def item_indexes(spark: SparkSession, items: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> Iterator:
+    """Broadcast indexes of the items, in blocks of at most BLOCK_ITEMS."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    blocks = max(1, math.ceil(items.count() / (BLOCK_ITEMS // 2)))
+    for b in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        rows = [tuple(r) for r in bounded_collect(part, BLOCK_ITEMS, "items of a block")]
+        yield spark.sparkContext.broadcast(SketchIndex(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), threshold, k))
+
+
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """Pairs (doc_id, item_id) whose containment of the item's shingles is ``threshold`` or more.
 
@@ -155,15 +165,9 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     to the tasks in blocks of at most BLOCK_ITEMS; each block is one pass over
     the documents, without a shuffle.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, math.ceil(items.count() / (BLOCK_ITEMS // 2)))
     out = None
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        rows = [tuple(r) for r in bounded_collect(part, BLOCK_ITEMS, "items of a block")]
-        index = spark.sparkContext.broadcast(SketchIndex(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), threshold, k))
+    for index in item_indexes(docs.sparkSession, items, threshold, k):
 
         def find(batches, index=index):
             ix = index.value
@@ -184,12 +188,17 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without those that contain a benchmark item, other columns kept.
+    """``docs`` without the rows that contain a benchmark item, whatever their ids; other columns kept, no shuffle."""
+    at, kept = docs.columns.index("text"), docs
+    for index in item_indexes(docs.sparkSession, items):
 
-    A document whose id is null is kept only if no document without id is hit.
-    """
-    hits = contained_items(docs, items).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_hit")).distinct()
-    return docs.join(hits, F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == hits["_hit"], "left_anti")
+        def clean(batches, index=index):
+            for block in text_blocks(batches):
+                hit = {row for row, _, _ in index.value.search(*buffer_of(block.column(at).cast(pa.string())))}
+                yield block.filter(pa.array([i not in hit for i in range(block.num_rows)], pa.bool_()))
+
+        kept = kept.mapInArrow(clean, docs.schema)
+    return kept
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

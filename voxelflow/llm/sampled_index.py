@@ -8,7 +8,7 @@ share an anchor occurrence are consecutive; together they are one *entry*:
 
     key    64-bit fingerprint of the anchor's k-gram
     sig    64-bit fingerprint, by another base, of all text its windows cover
-    doc_id the document
+    doc_id the document; with sub, which tells rows without id and texts of one id apart
     at     start of the first window, number of windows and level, packed
 
 Entries equal in key and sig cover equal text (128 bits together), so all their
@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, merged, mixed, text_blocks, workspace
+from .common import Roller, fresh, merged, mixed, text_blocks, workspace
 
 NULL_ID = -(1 << 63)
 #: ``at`` holds start, number of windows (12 bits) and level (5 bits; LEVEL_NEW: not in a level yet).
@@ -114,16 +114,16 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def first_in_block(key: np.ndarray, sig: np.ndarray, doc: np.ndarray, start: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal entries of a block, the first by (doc, start) to send on, and those already known to repeat.
+def first_in_block(key: np.ndarray, sig: np.ndarray, doc: np.ndarray, sub: np.ndarray, start: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal entries of a block, the first by (doc, sub, start) to send on, and those already known to repeat.
 
     ``both``: the first one repeats too, since another equal one exists.  Rows
-    at one place of one doc_id are one entry.
+    at one place of one doc_id and sub are one entry.
     """
-    order = np.lexsort((start, doc, sig, key))
-    k, s, d, a = key[order], sig[order], doc[order], start[order]
+    order = np.lexsort((start, sub, doc, sig, key))
+    k, s, d, u, a = key[order], sig[order], doc[order], sub[order], start[order]
     same = np.r_[False, (k[1:] == k[:-1]) & (s[1:] == s[:-1])]
-    twin = same & np.r_[False, (d[1:] == d[:-1]) & (a[1:] == a[:-1])]
+    twin = same & np.r_[False, (d[1:] == d[:-1]) & (u[1:] == u[:-1]) & (a[1:] == a[:-1])]
     order, same = order[~twin], same[~twin]
     repeat = same.copy()
     if both:
@@ -132,7 +132,7 @@ def first_in_block(key: np.ndarray, sig: np.ndarray, doc: np.ndarray, start: np.
 
 
 class Scan:
-    """One pass over entries sorted by key, sig, doc_id and at, in Arrow batches.
+    """One pass over entries sorted by key, sig, doc_id, sub and at, in Arrow batches.
 
     ``both`` marks every one of equal entries, else all but the first.
     ``detail`` hands on an entry of each sig of a key with several.  ``merge``:
@@ -144,7 +144,7 @@ class Scan:
         self.both, self.detail, self.merge, self.lead = both, detail, merge, lead
 
     def __call__(self, batches):
-        names = (["lead"] if self.lead else []) + ["key", "sig", "doc_id", "at"]
+        names = (["lead"] if self.lead else []) + ["key", "sig", "doc_id", "sub", "at"]
         last = None  # the last row
         last_marked = several = False
         pending = None  # of the last key's only sig so far: its first row
@@ -155,7 +155,7 @@ class Scan:
             before = {x: np.r_[last[x] if last is not None else np.int64(0), v[:-1]] for x, v in c.items()}
             new_key = c["key"] != before["key"]
             new = new_key | (c["sig"] != before["sig"])
-            twin = ~new & (c["doc_id"] == before["doc_id"]) & (start_of(c["at"]) == start_of(before["at"]))
+            twin = ~new & (c["doc_id"] == before["doc_id"]) & (c["sub"] == before["sub"]) & (start_of(c["at"]) == start_of(before["at"]))
             if last is None:
                 new_key[0] = new[0] = True
                 twin[0] = False
@@ -208,27 +208,48 @@ class Scan:
 Reader = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, Callable | None]]
 
 
-def marked_runs(docs: DataFrame, reader: Reader, window: int, gram: int, both: bool, batches: int, lead: bool, name: str):
-    """(workspace, table of doc_id, start, length): units of windows that repeat.
+def told_apart(docs: DataFrame, ws, key: str, sub: str) -> DataFrame:
+    """``docs`` with a key for each document: its id and 0.
+
+    Rows without id get a positive ``sub`` each, and rows whose id has several
+    texts a negative one by text; only these rows are written.  Repeated rows
+    of one id and text share their key.
+    """
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    number = F.col("doc_id").cast("long")
+    known = docs.where(number.isNotNull())
+    hashed = known.select(number.alias(key), text.alias("_h")).groupBy(key).agg(F.min("_h").alias("a"), F.max("_h").alias("b"))
+    several = ws.write(hashed.where("a <> b").select(key), "several")
+    clear = known.withColumn(key, number).join(several, key, "left_anti").withColumn(sub, F.lit(0).cast("long"))
+    mixed_up = known.withColumn(key, number).join(several, key, "left_semi").withColumn(sub, text.bitwiseOR(F.lit(-(1 << 63))))
+    nameless = docs.where(number.isNull()).withColumn(key, F.lit(NULL_ID)).withColumn(sub, F.monotonically_increasing_id() + 1)
+    apart = ws.write(mixed_up.unionByName(nameless), "apart")
+    return clear.unionByName(apart)
+
+
+def marked_runs(docs: DataFrame, reader: Reader, window: int, gram: int, both: bool, batches: int, lead: bool, name: str, runs: str = "found") -> DataFrame:
+    """``docs`` with a last column ``runs`` of (start, length): units of windows that repeat; null where none do.
 
     ``docs`` has doc_id and text.  With ``both``, each of equal windows counts,
     else all but the one that starts first.
     """
     ws = workspace(docs.sparkSession, name)
-    columns = (["lead"] if lead else []) + ["key", "sig", "doc_id", "at"]
+    columns = (["lead"] if lead else []) + ["key", "sig", "doc_id", "sub", "at"]
     schema = ", ".join(f"{x} long" for x in columns)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = fresh(docs, "row_key"), fresh(docs, "row_sub")
+    whole = told_apart(docs, ws, *names)
+    docs = whole.select(F.col(names[0]).alias("doc_id"), F.col(names[1]).alias("sub"), F.col("text").cast("string").alias("text"))
 
     def entries(parts):
         for block in text_blocks(parts, 1 << 20):
-            units, bounds, leads = reader(block.column(1))
+            units, bounds, leads = reader(block.column(2))
             e = Entries(units, bounds, window, gram)
             if not len(e.row):
                 continue
-            doc = block.column(0).to_numpy()[e.row]
-            first, repeat = first_in_block(e.key, e.sig, doc, e.start, both)
+            doc, sub = block.column(0).to_numpy()[e.row], block.column(1).to_numpy()[e.row]
+            first, repeat = first_in_block(e.key, e.sig, doc, sub, e.start, both)
             c = {"lead": leads(e.anchor)} if lead else {}
-            c |= {"key": _signed(e.key), "sig": _signed(e.sig), "doc_id": doc, "at": packed(e.start, e.n)}
+            c |= {"key": _signed(e.key), "sig": _signed(e.sig), "doc_id": doc, "sub": sub, "at": packed(e.start, e.n)}
             yield _table(Kind.RUN, {x: v[first] for x, v in c.items()})
             if len(repeat):
                 yield _table(Kind.MARK, _joined({x: v[repeat] for x, v in c.items()}))
@@ -236,11 +257,11 @@ def marked_runs(docs: DataFrame, reader: Reader, window: int, gram: int, both: b
     def opened(parts):
         """The windows of detail entries, one by one."""
         for block in text_blocks(parts, 1 << 20):
-            units, bounds, _ = reader(block.column(1))
-            doc = block.column(0).to_numpy()
+            units, bounds, _ = reader(block.column(2))
+            doc, sub = block.column(0).to_numpy(), block.column(1).to_numpy()
             sums = SIG.prefixes(mixed(units ^ np.uint64(0x5851F42D4C957F2D)))
             key, row, start = [], [], []
-            for i, found in enumerate(structs(block.column(2), "key", "at")):
+            for i, found in enumerate(structs(block.column(3), "key", "at")):
                 pairs = np.unique(np.stack([found[0], found[1] >> LEVEL_BITS], axis=1), axis=0)
                 n = pairs[:, 1] & ((1 << N_BITS) - 1)
                 begin = np.repeat(pairs[:, 1] >> N_BITS, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -252,9 +273,9 @@ def marked_runs(docs: DataFrame, reader: Reader, window: int, gram: int, both: b
             if not len(key):
                 continue
             sig = _signed(SIG.ranges(sums, bounds[row] + start, bounds[row] + start + window))
-            first, repeat = first_in_block(key, sig, doc[row], start, both)
+            first, repeat = first_in_block(key, sig, doc[row], sub[row], start, both)
             c = {"lead": key} if lead else {}
-            c |= {"key": key, "sig": sig, "doc_id": doc[row], "at": packed(start, np.ones(len(start), np.int64))}
+            c |= {"key": key, "sig": sig, "doc_id": doc[row], "sub": sub[row], "at": packed(start, np.ones(len(start), np.int64))}
             yield _table(Kind.RUN, {x: v[first] for x, v in c.items()})
             if len(repeat):
                 yield _table(Kind.MARK, _joined({x: v[repeat] for x, v in c.items()}))
@@ -313,21 +334,22 @@ def marked_runs(docs: DataFrame, reader: Reader, window: int, gram: int, both: b
     union = steps[0]
     for s in steps[1:]:
         union = union.unionByName(s)
-    detail = union.where(F.col("kind") == Kind.DETAIL).groupBy("doc_id").agg(F.collect_list(F.struct("key", "at")).alias("found"))
-    windows = docs.join(detail, "doc_id").select("doc_id", "text", "found").mapInArrow(opened, f"kind string, {schema}")
+    detail = union.where(F.col("kind") == Kind.DETAIL).groupBy("doc_id", "sub").agg(F.collect_list(F.struct("key", "at")).alias("found"))
+    windows = docs.join(detail, ["doc_id", "sub"]).select("doc_id", "sub", "text", "found").mapInArrow(opened, f"kind string, {schema}")
     last = scanned(windows, Scan(both, False, None, lead), ["key", "sig"], "windows")
     marks = union.where(F.col("kind") == Kind.MARK).unionByName(last.where(F.col("kind") == Kind.MARK))
     at = F.col("at")
-    marks = marks.select("doc_id", F.shiftright(at, N_BITS + LEVEL_BITS).alias("start"), (F.shiftright(at, LEVEL_BITS).bitwiseAND((1 << N_BITS) - 1) + window - 1).alias("length"))
-    return ws, docs, marks
+    marks = marks.select("doc_id", "sub", F.shiftright(at, N_BITS + LEVEL_BITS).alias("start"), (F.shiftright(at, LEVEL_BITS).bitwiseAND((1 << N_BITS) - 1) + window - 1).alias("length"))
+    found = marks.groupBy(F.col("doc_id").alias(names[0]), F.col("sub").alias(names[1])).agg(F.collect_list(F.struct("start", "length")).alias(runs))
+    return whole.join(found, list(names), "left").drop(*names)
 
 
 def _joined(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Marks of a block, entries that follow each other in a document joined up to what ``at`` can hold."""
     start, n = start_of(c["at"]), windows_of(c["at"])
-    order = np.lexsort((start, c["doc_id"]))
-    d, s, e = c["doc_id"][order], start[order], (start + n)[order]
-    run = np.r_[True, (d[1:] != d[:-1]) | (s[1:] != e[:-1])]
+    order = np.lexsort((start, c["sub"], c["doc_id"]))
+    d, u, s, e = c["doc_id"][order], c["sub"][order], start[order], (start + n)[order]
+    run = np.r_[True, (d[1:] != d[:-1]) | (u[1:] != u[:-1]) | (s[1:] != e[:-1])]
     run_no = np.cumsum(run)
     length = e - s[run][run_no - 1]
     cut = np.r_[True, (length[1:] // 2048 != length[:-1] // 2048) | run[1:]]

@@ -10,8 +10,9 @@ the first of equal entries kept (see ``sampled_index``).  Two independent 64-bit
 fingerprints have to agree; windows next to a difference are verified one by one.
 
 Defined results: null text has no words; documents under 20 words keep all;
-rows of one doc_id are one document, so a repeated row is not a repetition and
-gets the same result; all null ids are one document, before all others; no
+rows of one doc_id and text are one document, so a repeated row is not a
+repetition and gets the same result; each row without id is a document of its
+own, before all others; texts of one doc_id come in the order of their hash; no
 rows give no rows; other columns are ignored, and kept by ``drop_repeated``.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, buffer_of, read_table, text_blocks, word_hashes, words_of
-from .sampled_index import KEY, NULL_ID, covered, marked_runs, structs
+from .sampled_index import KEY, covered, marked_runs, structs
 
 WINDOW = 20
 GRAM = 8
@@ -59,10 +60,9 @@ def _kept(batches, texts: bool = True):
 
 def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text (null unless ``texts``) for each row of ``docs``."""
-    _, source, marks = marked_runs(docs, word_units, window, gram, False, batches, False, "windows")
-    found = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("found"))
-    out = source.join(found, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(lambda parts: _kept(parts, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") > NULL_ID, F.col("doc_id")))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = marked_runs(source, word_units, window, gram, False, batches, False, "windows")
+    return out.mapInArrow(lambda parts: _kept(parts, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

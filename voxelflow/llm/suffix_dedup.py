@@ -12,8 +12,8 @@ all strings around the anchor by a second fingerprint; where only a part of
 them agrees, the strings are compared one by one.
 
 Defined results: null text is empty; texts under 200 bytes keep all; rows of
-one doc_id are one document, so a repeated row is not a repetition and gets the
-same result; all null ids are one document; no rows give no rows; a character
+one doc_id and text are one document, so a repeated row is not a repetition and
+gets the same result; each row without id is a document of its own; no rows give no rows; a character
 cut in part is dropped by ``drop_repeated``, which keeps the other columns.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buffer_of, fresh, read_table, text_blocks
-from .sampled_index import KEY, NULL_ID, covered, marked_runs, structs
+from .sampled_index import KEY, covered, marked_runs, structs
 
 LENGTH = 200
 GRAM = 80
@@ -67,16 +67,11 @@ def _digests(batches):
         yield pa.RecordBatch.from_arrays([block.column(0), *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _found(docs: DataFrame, length: int, gram: int, batches: int):
-    _, source, marks = marked_runs(docs, byte_units, length, gram, True, batches, True, "suffixes")
-    return source, marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("found"))
-
-
 def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``."""
-    source, found = _found(docs, length, gram, batches)
-    out = source.join(found, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") > NULL_ID, F.col("doc_id")))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = marked_runs(source, byte_units, length, gram, True, batches, True, "suffixes")
+    return out.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def drop_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -84,10 +79,7 @@ def drop_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch
 
     A text of which nothing is left stays as an empty text; a null stays null.
     """
-    _, found = _found(docs, length, gram, batches)
-    key, runs = fresh(docs, "found_id"), fresh(docs, "found_runs")
-    found = found.select(F.col("doc_id").alias(key), F.col("found").alias(runs))
-    joined = docs.join(found, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col(key), "left").drop(key)
+    joined = marked_runs(docs, byte_units, length, gram, True, batches, True, "suffixes", fresh(docs, "found_runs"))
     at = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
