@@ -142,6 +142,11 @@ def test_languages_without_training_rows(spark, table):
     assert [r.lang_pred for r in language_id.identify(table([(1, "abc")]), None).collect()] == ["und"]
 
 
+def test_documents_without_any_language_stay(spark, table):
+    docs = table([(1, "abc", None), (2, "12 ?", None), (3, None, None), (4, "é", None)])
+    assert sorted(r.doc_id for r in language_id.keep_identified(docs, language_id.train(docs)).collect()) == [1, 4]
+
+
 def test_quality_of_held_out_documents(spark):
     d = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.quality for r in read_table(spark, d, "labels").collect()}

@@ -186,13 +186,20 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` without the rows whose language is undetermined, columns as they are."""
+    """``docs`` without the rows whose language is undetermined, columns as they are.
+
+    Without a model only texts that are null or have no letter go.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
     score = _scored(shared)
 
     def keep(batches):
+        model = shared.value
         for block in text_blocks(batches):
+            if model is None:
+                yield block.filter(pa.array([has_letter(t or "") for t in block.column(at).cast(pa.string()).to_pylist()], pa.bool_()))
+                continue
             n = block.num_rows
             told = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), block.column(at).cast(pa.string()), pa.array(np.zeros(n, bool))], names=["doc_id", "text", "held_out"])
             lang = [x for part in score([told]) for x in part.column(2).to_pylist()]
