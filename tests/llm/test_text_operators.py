@@ -168,5 +168,15 @@ def test_quality_of_odd_rows(spark, table, odd_rows):
     assert quality.score_quality(table([]), model).collect() == []
 
 
+def test_fits_read_whole_texts(spark, table):
+    """What tells the labels apart lies after 25,000 characters."""
+    head = "the same clean words " * 1200
+    tail = ("zażółć gęślą jaźń ", "QX!! 77 ## ")
+    docs = table([(d, head + tail[d % 2] * 4000, f"l{d % 2}") for d in range(24)])
+    labels = spark.createDataFrame([(d, d % 2) for d in range(24)], "doc_id long, quality int")
+    assert all(r.lang_pred == f"l{r.doc_id % 2}" for r in language_id.identify(docs, language_id.train(docs)).collect())
+    assert all((r.score > 0.7) == (r.doc_id % 2 == 1) for r in quality.score_quality(docs, quality.train(docs, labels)).collect())
+
+
 def test_numerals_are_no_letters():
     assert [language_id.has_letter(x) for x in ("", "12 ² ½ Ⅷ _", "² é", "ا", "語")] == [False, False, True, True, True]

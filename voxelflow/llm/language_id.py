@@ -30,9 +30,8 @@ from .common import LOWER, bounded_collect, buffer_of, held_out, read_table, tex
 
 ORDERS = (1, 2, 3)
 LANDMARKS = 160
-#: Labelled texts in the fit at most, and characters of text that the collected sample may have in total.
+#: Labelled texts in the fit at most.
 SAMPLE = 2_000
-SAMPLE_CHARS = 12_000
 RIDGE = 0.05
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -82,8 +81,9 @@ class Model:
 
     def kernel(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Rows x landmarks, by one matrix product."""
-        rows, codes = grams(raw, offsets)
-        n = len(offsets) - 1
+        return self.kernel_of(*grams(raw, offsets), len(offsets) - 1)
+
+    def kernel_of(self, rows: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
         seen = np.zeros((n, self.presence.shape[0] + 1), np.float32)
         seen[rows, self.column[codes]] = 1.0
         both = seen[:, :-1] @ self.presence
@@ -94,31 +94,34 @@ class Model:
         return self.kernel(raw, offsets) @ self.weights + self.bias
 
 
-def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+
+
+def fit(texts: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     names = sorted(set(labels))
     if not names:
         return None
-    by = {x: [t for t, y in zip(texts, labels, strict=True) if y == x and has_letter(t)] for x in names}
+    by = {x: [t for t, y in zip(texts, labels, strict=True) if y == x] for x in names}
     names = [x for x in names if by[x]]
     if not names:
         return None
     each = max(1, landmarks // len(names))
     marks = [t for x in names for t in by[x][:each]]
-    raw, offsets = buffer_of(pa.array(marks, pa.string()))
-    rows, codes = grams(raw, offsets)
+    rows, codes = flat(marks)
     known = np.unique(codes)
     column = np.full(RADIX + RADIX**2 + RADIX**3, -1, np.int32)
     column[known] = np.arange(len(known))
     presence = np.zeros((len(known), len(marks)), np.float32)
     presence[column[codes], rows] = 1.0
     model = Model(names, column, presence, presence.sum(0), np.zeros((len(marks), len(names)), np.float32), np.zeros(len(names), np.float32))
-    own = model.kernel(raw, offsets).astype(np.float64)
+    own = model.kernel_of(rows, codes, len(marks)).astype(np.float64)
     value, vector = np.linalg.eigh((own + own.T) / 2)
     use = value > 1e-6 * value.max()
     nystrom = vector[:, use] / np.sqrt(value[use])
     every = [(t, i) for i, x in enumerate(names) for t in by[x]]
-    parts = [buffer_of(pa.array([t for t, _ in every[a : a + 128]], pa.string())) for a in range(0, len(every), 128)]
-    features = np.concatenate([model.kernel(*p) for p in parts]).astype(np.float64) @ nystrom
+    parts = [[t for t, _ in every[a : a + 128]] for a in range(0, len(every), 128)]
+    features = np.concatenate([model.kernel_of(*flat(p), len(p)) for p in parts]).astype(np.float64) @ nystrom
     target = np.eye(len(names))[[i for _, i in every]] * 2 - 1
     weight = np.sqrt(1.0 / np.bincount([i for _, i in every], minlength=len(names)))[[i for _, i in every]][:, None]
     mean, goal = (features * weight**2).sum(0) / (weight**2).sum(), (target * weight**2).sum(0) / (weight**2).sum()
@@ -130,28 +133,48 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     return model
 
 
-def training_rows(labelled: DataFrame, key: str, sample: int, chars: int) -> list:
+def training_rows(labelled: DataFrame, key: str, sample: int, vectors) -> list:
     """Bounded, the same at every run: about sample / n rows of each value of ``key``, by the hash of doc_id.
 
-    Long training texts are cut to ``chars`` here, which bounds the model's
-    input; texts to be scored are never cut.
+    ``vectors`` makes bytes of each whole text in the tasks; only these are collected.
     """
     spread = Window.partitionBy(key, "_part").orderBy("_at", "doc_id")
-    cut = labelled.select("doc_id", key, F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id").alias("_at"))
     values = bounded_collect(labelled.select(key).distinct(), 1000, f"values of {key}")
     each = max(1, sample // max(1, len(values)))
-    ids = cut.select("doc_id", key, "_at").withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))).withColumn("_n", F.row_number().over(spread)).where(F.col("_n") <= each)
+    ids = labelled.select("doc_id", key, F.xxhash64("doc_id").alias("_at")).withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))).withColumn("_n", F.row_number().over(spread)).where(F.col("_n") <= each)
     ids = ids.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_at", "doc_id"))).where(F.col("_r") <= each)
-    rows = labelled.select("doc_id", key, F.substring("text", 1, chars).alias("text")).join(F.broadcast(ids.select("doc_id", key, "_at")), ["doc_id", key])
-    return sorted(bounded_collect(rows.dropDuplicates(["doc_id", key]), sample + 1000, "training rows"), key=lambda r: (r["_at"], r["doc_id"]))
+    rows = labelled.select("doc_id", key, "text").join(F.broadcast(ids.select("doc_id", key, "_at")), ["doc_id", key]).select("doc_id", key, "_at", "text")
+
+    def reduced(batches):
+        for block in text_blocks(batches, 1 << 19):
+            for a in range(0, block.num_rows, 256):
+                part = block.slice(a, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(vectors(part.column(3)), pa.binary())], names=["doc_id", key, "_at", "vector"])
+
+    out = rows.mapInArrow(reduced, f"doc_id long, {key} {dict(rows.dtypes)[key]}, _at long, vector binary")
+    return sorted(bounded_collect(out.dropDuplicates(["doc_id", key]), sample + 1000, "training rows"), key=lambda r: (r["_at"], r["doc_id"]))
+
+
+def gram_sets(text: pa.Array) -> list[bytes | None]:
+    """The distinct grams of each text; None where it has no letter."""
+    raw, offsets = buffer_of(text)
+    rows, codes = grams(raw, offsets)
+    both = np.unique(rows * len_codes() + codes)
+    cuts = np.searchsorted(both, np.arange(len(text) + 1) * len_codes())
+    codes = (both % len_codes()).astype(np.int32)
+    return [codes[a:b].tobytes() if has_letter(t or "") else None for t, a, b in zip(text.to_pylist(), cuts[:-1], cuts[1:], strict=True)]
+
+
+def len_codes() -> int:
+    return RADIX + RADIX**2 + RADIX**3
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learns from doc_id, text and lang of the documents that aren't held out."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    rows = training_rows(known, "lang", sample, SAMPLE_CHARS)
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    rows = [r for r in training_rows(known, "lang", sample, gram_sets) if r["vector"] is not None]
+    return fit([np.frombuffer(r["vector"], np.int32) for r in rows], [r["lang"] for r in rows])
 
 
 def _scored(shared):

@@ -30,7 +30,6 @@ TERMS = 4096
 DIMENSIONS = 64
 NEIGHBOURS = 15
 SAMPLE = 4_000
-SAMPLE_CHARS = 20_000
 THRESHOLD = 0.7
 
 #: Bytes to shapes: white space 1, line feed 2, small letters 3, capitals 4, digits 5, beyond ASCII 6, other ASCII 7 and up.
@@ -110,12 +109,12 @@ def _right_vectors(x: np.ndarray, k: int) -> np.ndarray:
     return np.ascontiguousarray(q.astype(np.float64) @ small[:k].T)
 
 
-def fit(texts: list[str], labels: list[int], dimensions: int = DIMENSIONS) -> Model | None:
+def fit(texts: list[bytes], labels: list[int], dimensions: int = DIMENSIONS) -> Model | None:
     if not texts:
         return None
     counts = np.zeros((len(texts), TERMS), np.float32)
-    for a in range(0, len(texts), 256):
-        counts[a : a + 256] = term_counts(*buffer_of(pa.array(texts[a : a + 256], pa.string())))
+    for i, x in enumerate(texts):
+        counts[i] = np.frombuffer(x, np.float32)
     idf = np.log((1 + len(texts)) / (1 + np.count_nonzero(counts, axis=0))) + 0.2
     weighted = np.sqrt(counts)
     weighted *= idf.astype(np.float32)
@@ -135,9 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     # the labelled ids are thinned before any text moves: about twice the sample by hash, then the exact cut in training_rows
     share = min(1.0, 4.0 * sample / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS), F.lit("")).alias("text"))
-    rows = training_rows(texts.join(F.broadcast(known), "doc_id"), "quality", sample, SAMPLE_CHARS)
-    return fit([r["text"] for r in rows], [r["quality"] for r in rows])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = training_rows(texts.join(F.broadcast(known), "doc_id"), "quality", sample, lambda text: [x.tobytes() for x in term_counts(*buffer_of(text))])
+    return fit([r["vector"] for r in rows], [r["quality"] for r in rows])
 
 
 def _scored(shared):
