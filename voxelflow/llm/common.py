@@ -7,8 +7,8 @@ Every kernel works on whole texts.  A null text is the empty text throughout.
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
-import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,24 +25,45 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where tables between jobs go: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    A session on one machine that has neither gets a local folder; on a cluster
+    executors could not read each other's, so there it is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.gettempdir() + "/checkpoints"
+
+
 class Workspace:
     """Tables in the folder that the cluster shares.
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session that
-    has none (a test on one machine) gets a local folder.  Tables are written
-    once and read back, so a lost executor costs a re-read, not a recomputation
-    of the lineage.  What is left goes when the session's Python ends.
+    Tables are written once and read back, so a lost executor costs a re-read,
+    not a recomputation of the lineage.  The folder goes when the session's
+    Python ends, or its JVM, whichever is first.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            import tempfile
-
-            root = "file://" + tempfile.gettempdir() + "/checkpoints"
-        self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-        _OPEN.add(self)
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.tables: list[str] = []  # of the catalogue
+        self._count = 0
+        system, path = self._at()
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+
+    def _at(self, name: str = ""):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def name(self, prefix: str) -> str:
+        """A table name not given before."""
+        self._count += 1
+        return f"{prefix}{self._count}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
@@ -53,13 +74,14 @@ class Workspace:
 
     def drop(self, name: str = "") -> None:
         """Deletes a table that nothing reads any more, or the whole folder."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path.getFileSystem(conf).delete(path, True)
+        if not name:
+            for table in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            self.tables.clear()
+        system, path = self._at(name)
+        system.delete(path, True)
 
 
-_OPEN: weakref.WeakSet = weakref.WeakSet()
 _KEPT: list[Workspace] = []
 
 
@@ -74,7 +96,7 @@ def _clean() -> None:
     for w in _KEPT:
         try:
             w.drop()
-        except Exception:  # the session has ended before; its folder is its owner's
+        except Exception:  # the session has ended before, and its JVM has deleted the folder
             pass
 
 

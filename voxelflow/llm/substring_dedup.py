@@ -4,10 +4,13 @@ Words are runs of characters other than ASCII white space.  A window is 20
 consecutive words of one document; a word goes when a window that covers it
 also starts earlier, in a document of smaller id or earlier in the same one.
 
-Batches of ascending doc_id are fingerprinted, and merge-joined in sorted order
-with immutable runs of the batches before; equal-sized runs are compacted, with
-the first of equal entries kept (see ``sampled_index``).  Two independent 64-bit
-fingerprints have to agree; windows next to a difference are verified one by one.
+Each batch of documents is fingerprinted, dealt by the hash of the fingerprint,
+and merge-joined with the sorted immutable runs of the batches before, where
+they lie (see ``levels``); then the batch's own run is compacted with runs of
+its size.  Windows are fingerprinted by their anchors' entries (see
+``anchors``); a match is verified by a second fingerprint of another base over
+all words covered, and windows next to a difference are compared one by one.
+``FingerprintRuns.add_batch`` takes a further batch.
 
 Defined results: null text has no words; documents under 20 words keep all;
 rows of one doc_id and text are one document, so a repeated row is not a
@@ -18,6 +21,7 @@ rows give no rows; other columns are ignored, and kept by ``drop_repeated``.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -26,17 +30,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, buffer_of, read_table, text_blocks, word_hashes, words_of
-from .sampled_index import KEY, covered, marked_runs, structs
+from .anchors import BLOCK, KEY, PLACES_SQL, SPAN, Entries, block_rows, covered, packed, signed, structs
+from .levels import Index, marked_runs
 
 WINDOW = 20
 GRAM = 8
 BATCHES = 4
 
 
-def word_units(text: pa.Array):
+def word_spans(text: pa.Array, window: int = WINDOW, most: int = SPAN):
+    """Hashes of the words of all rows; a long text alone comes in spans that overlap by a window less one word."""
     raw, offsets = buffer_of(text)
-    starts, ends, first = words_of(raw, offsets, SPACE)
-    return word_hashes(KEY, raw, starts, ends), first, None
+    if len(text) != 1 or len(raw) <= most:
+        starts, ends, first = words_of(raw, offsets, SPACE)
+        yield word_hashes(KEY, raw, starts, ends), first, 0, None
+        return
+    at = base = 0
+    size = most
+    while True:
+        stop = min(at + size, len(raw))
+        while stop < len(raw) and not SPACE[raw[stop]]:
+            stop += 1
+        part = raw[at:stop]
+        starts, ends, first = words_of(part, np.array([0, len(part)]), SPACE)
+        if stop < len(raw) and len(starts) < 2 * window:  # huge words
+            size *= 2
+            continue
+        yield word_hashes(KEY, part, starts, ends), first, base, None
+        if stop == len(raw):
+            return
+        base += len(starts) - window + 1
+        at += int(starts[len(starts) - window + 1])
+        size = most
+
+
+class FingerprintRuns(Index):
+    """Runs of ``key``, the fingerprint of an anchor's words, and ``sig``, that of all words of its windows."""
+
+    KEYS = [("key", "long")]
+    both = False
+
+    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, buckets: int | None = None):
+        super().__init__(spark, "windows", functools.partial(word_spans, window=window), window, gram, buckets)
+
+    def entries(self, docs: DataFrame) -> DataFrame:
+        spans, window, gram = self.spans, self.window, self.gram
+
+        def make(parts):
+            for block in text_blocks(parts, BLOCK):
+                born, doc, sub = (block.column(i).to_numpy() for i in range(3))
+                for units, bounds, base, _ in spans(block.column(3)):
+                    e = Entries(units, bounds, window, gram)
+                    if len(e.row):
+                        key = signed(e.key)
+                        yield block_rows({"key": lambda first, key=key: pa.array(key[first])}, key, signed(e.sig), [born[e.row], doc[e.row], sub[e.row], packed(e.start + base, e.n)])
+
+        return docs.mapInArrow(make, f"key long, sig long, born int, doc_id long, sub long, at long, {PLACES_SQL}")
+
+    def detail_key(self):
+        return F.col("key")
 
 
 def _kept(batches, texts: bool = True):
@@ -61,7 +113,7 @@ def _kept(batches, texts: bool = True):
 def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text (null unless ``texts``) for each row of ``docs``."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = marked_runs(source, word_units, window, gram, False, batches, False, "windows")
+    out = marked_runs(FingerprintRuns(docs.sparkSession, window, gram), source, batches)
     return out.mapInArrow(lambda parts: _kept(parts, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
