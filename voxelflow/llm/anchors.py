@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import Roller, merged, mixed, text_blocks
 
 NULL_ID = -(1 << 63)
-#: ``at`` holds the start of the first window and the number of windows (12 bits).
-N_BITS = 12
+#: ``at`` holds the start of the first window, how far behind it the anchor lies, and the number of windows (8 bits each).
+N_BITS = 8
+START = 2 * N_BITS
 KEY, SIG = Roller(101), Roller(202)
 BLOCK, SPAN = 1 << 20, 4 << 20
 PLACE = ["born", "doc_id", "sub", "at"]
@@ -38,8 +39,8 @@ PLACES_SQL = "more array<struct<born:int,doc_id:long,sub:long,at:long>>"
 Spans = Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray | None]]]
 
 
-def packed(start, n):
-    return (start << N_BITS) | n
+def packed(start, n, ahead=0):
+    return (start << START) | (ahead << N_BITS) | n
 
 
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -56,12 +57,12 @@ def window_sums(units: np.ndarray) -> np.ndarray:
 
 
 class Entries:
-    """Entries of a block: row, start and number n of windows, anchor, ``key`` of its gram and ``sig`` of all that is covered."""
+    """Entries of a block: row, start and number n of windows, anchor (``ahead`` of the start), ``key`` of its gram and ``sig`` of all that is covered."""
 
     def __init__(self, units: np.ndarray, bounds: np.ndarray, window: int, gram: int):
         n, w = len(units), window - gram + 1
         none = np.zeros(0, np.int64)
-        self.row = self.start = self.n = self.anchor = none
+        self.row = self.start = self.ahead = self.n = self.anchor = none
         self.key = self.sig = np.zeros(0, np.uint64)
         if n < window:
             return
@@ -80,7 +81,7 @@ class Entries:
         self.n = np.diff(np.r_[at, len(starts)])
         begin = starts[at]
         self.row, self.anchor = row[begin], anchor[at]
-        self.start = begin - bounds[self.row]
+        self.start, self.ahead = begin - bounds[self.row], self.anchor - begin
         self.key = grams[self.anchor]
         self.sig = SIG.ranges(window_sums(units), begin, begin + self.n + window - 1)
 
@@ -132,29 +133,45 @@ def told_apart(docs: DataFrame, ws, key: str, sub: str) -> DataFrame:
     return clear.unionByName(apart)
 
 
-def opened_windows(spans: Spans, window: int):
-    """Single windows of entries: rows of (born, doc_id, sub, text, found) to key, sig, place and more."""
+def opened_bands(spans: Spans, window: int, band: int):
+    """Entries opened into bands: rows of (born, doc_id, sub, text, found) to key, sig, place, more and windows.
+
+    A band has the windows that begin ``band`` * i and up to ``band`` - 1 units more before the anchor.  All of them
+    hold a core of window - band + 1 units, whose fingerprint is the key; sig is that of all that the band covers, and
+    ``windows`` has those of its windows.  Equal windows lie in bands of equal keys.
+    """
 
     def opened(parts):
         for block in text_blocks(parts, BLOCK):
-            found = structs(block.column(4), "key", "at")
+            found = [np.unique(x[0]) for x in structs(block.column(4), "at")]
             places = [block.column(i).to_numpy() for i in range(3)]
             for units, bounds, base, _ in spans(block.column(3)):
+                at = np.concatenate(found)
+                row = np.repeat(np.arange(len(found)), list(map(len, found)))
+                begin, ahead, n = (at >> START) - base, at >> N_BITS & ((1 << N_BITS) - 1), at & ((1 << N_BITS) - 1)
+                fits = (begin >= 0) & (begin + n + window - 1 <= np.diff(bounds)[row])
+                row, begin, ahead, n = row[fits], begin[fits], ahead[fits], n[fits]
+                if not len(row):
+                    continue
+                high, low = ahead // band, (ahead - n + 1) // band  # bands of the first and the last window
+                many = high - low + 1
+                e = np.repeat(np.arange(len(row)), many)
+                no = high[e] - (np.arange(len(e)) - np.repeat(np.cumsum(many) - many, many))
+                anchor = (bounds[row] + begin + ahead)[e]
+                first = np.maximum(anchor - no * band - band + 1, anchor - ahead[e])
+                count = np.minimum(anchor - no * band, anchor - ahead[e] + n[e] - 1) - first + 1
                 sums = window_sums(units)
-                key, row, start = [], [], []
-                for i, (keys, ats) in enumerate(found):
-                    begin, n = (ats >> N_BITS) - base, ats & ((1 << N_BITS) - 1)
-                    fits = (begin >= 0) & (begin + n + window - 1 <= bounds[i + 1] - bounds[i])
-                    keys, begin, n = keys[fits], begin[fits], n[fits]
-                    key.append(np.repeat(keys, n))
-                    start.append(np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                    row.append(np.full(n.sum(), i))
-                key, row, start = map(np.concatenate, (key, row, start))
-                if len(key):
-                    at = bounds[row] + start
-                    sig = signed(SIG.ranges(sums, at, at + window))
-                    place = [*(p[row] for p in places), packed(start + base, np.ones(len(start), np.int64))]
-                    yield block_rows({"key": lambda first, key=key: pa.array(key[first])}, key, sig, place)
+                core = anchor - no * band
+                key = signed(mixed(SIG.ranges(sums, core, core + window - band + 1) + no.astype(np.uint64)))
+                sig = signed(SIG.ranges(sums, first, first + count + window - 1))
+                offsets = np.r_[0, np.cumsum(count)]
+                each = np.repeat(first - offsets[:-1], count) + np.arange(offsets[-1])
+                inner = signed(SIG.ranges(sums, each, each + window))
+                windows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(inner))
+                row = row[e]
+                place = [*(p[row] for p in places), packed(first - bounds[row] + base, count)]
+                keys = {"key": lambda f, key=key: pa.array(key[f]), "windows": lambda f, windows=windows: windows.take(pa.array(f))}
+                yield block_rows(keys, key, sig, place)
 
     return opened
 

@@ -7,6 +7,7 @@ Every kernel works on whole texts.  A null text is the empty text throughout.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,6 +26,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table that is written needs no shuffle files any more.
+FREE_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's settings with others for a while."""
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Where tables between jobs go: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
@@ -66,7 +84,8 @@ class Workspace:
         return f"{prefix}{self._count}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        with settings(self.spark, FREE_SHUFFLES):
+            df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:

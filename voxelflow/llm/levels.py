@@ -9,22 +9,22 @@ one of the next, bucket by bucket.
 
 An entry equal in its key columns and ``sig`` to an earlier one covers equal
 windows.  Windows can only be equal between entries of one key; where a key has
-entries of several sigs, one entry of each is opened and its windows are
-compared one by one (``settle``).  Buckets and run sizes only steer the plan:
+entries of several sigs, one entry of each is opened: first into bands of
+windows that have all but a few units in common, which are held against each
+other in the same way, and only then into single windows (``settle``).  Buckets and run sizes only steer the plan:
 a plan that cannot use them shuffles, and gives the same result.
 """
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .anchors import N_BITS, PLACE, PLACES_SQL, Spans, opened_windows, told_apart
-from .common import fresh, workspace
+from .anchors import N_BITS, PLACE, PLACES_SQL, START, Spans, opened_bands, told_apart
+from .common import FREE_SHUFFLES, fresh, settings, workspace
 
 #: Join on more columns than the bucket column, in the order that the files have, whenever a table is bucketed.
 AS_BUCKETED = {
@@ -34,16 +34,8 @@ AS_BUCKETED = {
 }
 
 
-@contextlib.contextmanager
 def as_bucketed(spark: SparkSession):
-    before = {k: spark.conf.get(k) for k in AS_BUCKETED}
-    try:
-        for k, v in AS_BUCKETED.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    return settings(spark, AS_BUCKETED)
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -60,8 +52,12 @@ class Index:
     #: Name and type of the key columns; the first is the bucket column.
     KEYS: list[tuple[str, str]]
     both: bool
+    #: Windows of a band.
+    band: int
 
     def __init__(self, spark: SparkSession, name: str, spans: Spans, window: int, gram: int, buckets: int | None = None):
+        if window - gram + 1 >= 1 << N_BITS:
+            raise ValueError(f"a gram must have at least {window - (1 << N_BITS) + 2} units")
         self.spark, self.spans, self.window, self.gram = spark, spans, window, gram
         self.ws = workspace(spark, name)
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -76,17 +72,13 @@ class Index:
         """The key columns, sig, place and more, for rows of born, doc_id, sub and text."""
         raise NotImplementedError
 
-    def detail_key(self):
-        """A long that stands for the key columns where windows are opened."""
-        raise NotImplementedError
-
     def table(self, level: int) -> DataFrame:
         return self.spark.table(self.runs[level])
 
     def store(self, df: DataFrame) -> str:
         """A bucketed and sorted table in the shared folder, one file a bucket."""
         name = f"run_{uuid.uuid4().hex}"
-        with as_bucketed(self.spark):
+        with settings(self.spark, AS_BUCKETED | FREE_SHUFFLES):
             df.write.format("parquet").option("path", f"{self.ws.root}/{name}").option("compression", "zstd").bucketBy(self.buckets, self.keys[0]).sortBy(*self.group).saveAsTable(name)
         self.ws.tables.append(name)
         return name
@@ -95,7 +87,7 @@ class Index:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.ws.drop(name)
 
-    def told(self, rows: DataFrame, runs: dict[int, str], group: list[str]) -> DataFrame:
+    def told(self, rows: DataFrame, runs: dict[int, str], group: list[str], kept: tuple = ()) -> DataFrame:
         """Entries with ``marked``: a repetition; ``new``: the first of all; ``rep``: the entry of a run that they repeat."""
         order = Window.partitionBy(*group).orderBy(*PLACE)
         place = F.struct(*PLACE)
@@ -110,7 +102,7 @@ class Index:
         if self.both:
             marked = marked | (F.size("more") > 0) | F.coalesce(F.col("after") != place, F.lit(False))
         first = F.col("row") == 1
-        return rows.select(*group, *PLACE, "more", marked.alias("marked"), (first & rep.isNull()).alias("new"), F.when(first, rep).alias("rep"))
+        return rows.select(*group, *PLACE, *kept, "more", marked.alias("marked"), (first & rep.isNull()).alias("new"), F.when(first, rep).alias("rep"))
 
     def marked(self, told: DataFrame) -> list[DataFrame]:
         """Places that repeat."""
@@ -124,16 +116,18 @@ class Index:
     def add(self, docs: DataFrame, keep: bool = True) -> None:
         """A batch of (born, doc_id, sub, text); without ``keep`` it is compared, and not put into the index."""
         self.texts.append(docs)
-        told = self.spark.table(self.store(self.batch_plan(docs)))
-        self.marks += self.marked(told)
+        name = self.store(self.batch_plan(docs))
+        told = self.spark.table(name)
+        self.marks.append(self.ws.write(union(self.marked(told)), self.ws.name("marks")))
         new = told.where("new").select(*self.group, *PLACE)
-        counts = new.groupBy(*self.keys).agg(F.count("*").alias("sigs"))
-        opened = [new.join(counts.where("sigs > 1"), self.keys, "left_semi")]
+        known = new.groupBy(*self.keys).agg((F.count("*") > 1).alias("several"))
         for level in self.runs:
-            opened.append(new.join(self.table(level), self.keys, "left_semi"))
-            opened.append(self.table(level).join(counts, self.keys, "left_semi"))
+            known = known.join(self.table(level).select(*self.keys).distinct().withColumn(f"in{level}", F.lit(True)), self.keys, "left")
+        several = functools.reduce(lambda a, b: a | b, [F.col(f"in{level}").isNotNull() for level in self.runs], F.col("several"))
+        opened = [new.join(known.where(several), self.keys, "left_semi")]
+        opened += [self.table(level).join(new, self.keys, "left_semi") for level in self.runs]
         with as_bucketed(self.spark):
-            self.details.append(self.ws.write(union([part.select(self.detail_key().alias("key"), *PLACE) for part in opened]), self.ws.name("details")))
+            self.details.append(self.ws.write(union([part.select(*PLACE) for part in opened]), self.ws.name("details")))
         if keep:
             level = next(i for i in range(64) if i not in self.runs)
             run, melted = None, [i for i in sorted(self.runs) if i < level]
@@ -144,6 +138,7 @@ class Index:
                     if name:
                         self.forget(name)
             self.runs[level] = run or self.store(new)
+        self.forget(name)
 
     def melted(self, one: DataFrame, two: DataFrame) -> DataFrame:
         """Two runs as one.  They have no entry in common: a full join merges them, bucket by bucket, in order."""
@@ -152,14 +147,19 @@ class Index:
 
     def settle(self) -> DataFrame:
         """born, doc_id, sub and ``found``, a list of (start, length), of what repeats since the last call."""
-        detail = union(self.details).distinct().groupBy("born", "doc_id", "sub").agg(F.collect_list(F.struct("key", "at")).alias("found"))
+        detail = union(self.details).groupBy("born", "doc_id", "sub").agg(F.collect_list(F.struct("at")).alias("found"))
         texts = union(self.texts).join(detail, ["born", "doc_id", "sub"]).select("born", "doc_id", "sub", "text", "found")
-        windows = texts.mapInArrow(opened_windows(self.spans, self.window), f"key long, sig long, born int, doc_id long, sub long, at long, {PLACES_SQL}")
-        told = self.ws.write(self.told(windows, {}, ["key", "sig"]), self.ws.name("windows"))
-        marks = self.marks + self.marked(told)
+        pair = ["key", "sig"]
+        bands = texts.mapInArrow(opened_bands(self.spans, self.window, self.band), f"key long, windows array<long>, sig long, born int, doc_id long, sub long, at long, {PLACES_SQL}")
+        told = self.ws.write(self.told(bands, {}, pair, ("windows",)), self.ws.name("bands"))
+        new = told.where("new")
+        several = new.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        single = new.join(several, "key", "left_semi").select("key", F.posexplode("windows").alias("i", "sig"), *PLACE, F.expr("slice(more, 1, 0)").alias("more"))
+        single = single.withColumn("at", F.shiftleft(F.shiftright("at", START) + F.col("i"), START) + 1).drop("i")
+        marks = [*self.marks, *self.marked(told), *self.marked(self.ws.write(self.told(single, {}, pair), self.ws.name("windows")))]
         self.marks, self.details = [], []
         at = F.col("at")
-        runs = F.struct(F.shiftright(at, N_BITS).alias("start"), (at.bitwiseAND((1 << N_BITS) - 1) + self.window - 1).alias("length"))
+        runs = F.struct(F.shiftright(at, START).alias("start"), (at.bitwiseAND((1 << N_BITS) - 1) + self.window - 1).alias("length"))
         return union(marks).groupBy("born", "doc_id", "sub").agg(F.collect_list(runs).alias("found"))
 
     def add_batch(self, docs: DataFrame) -> DataFrame:

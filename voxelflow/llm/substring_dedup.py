@@ -69,6 +69,7 @@ class FingerprintRuns(Index):
 
     KEYS = [("key", "long")]
     both = False
+    band = 4
 
     def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, buckets: int | None = None):
         super().__init__(spark, "windows", functools.partial(word_spans, window=window), window, gram, buckets)
@@ -83,12 +84,10 @@ class FingerprintRuns(Index):
                     e = Entries(units, bounds, window, gram)
                     if len(e.row):
                         key = signed(e.key)
-                        yield block_rows({"key": lambda first, key=key: pa.array(key[first])}, key, signed(e.sig), [born[e.row], doc[e.row], sub[e.row], packed(e.start + base, e.n)])
+                        yield block_rows({"key": lambda first, key=key: pa.array(key[first])}, key, signed(e.sig), [born[e.row], doc[e.row], sub[e.row], packed(e.start + base, e.n, e.ahead)])
 
         return docs.mapInArrow(make, f"key long, sig long, born int, doc_id long, sub long, at long, {PLACES_SQL}")
 
-    def detail_key(self):
-        return F.col("key")
 
 
 def _kept(batches, texts: bool = True):

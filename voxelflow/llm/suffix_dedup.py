@@ -77,6 +77,7 @@ class SuffixArrays(Index):
 
     KEYS = [("shard", "int"), ("suffix", "binary")]
     both = True
+    band = 16
     SAMPLED = 16
 
     def __init__(self, spark: SparkSession, window: int = LENGTH, gram: int = GRAM, buckets: int | None = None):
@@ -123,12 +124,10 @@ class SuffixArrays(Index):
                         "shard": lambda first, raw=raw, e=e: pa.array(numbers[np.searchsorted(splitters, leads(raw, e.anchor[first]), "left")]),
                         "suffix": lambda first, raw=raw, e=e: prefix_column(raw, e.anchor[first], gram),
                     }
-                    yield block_rows(keys, signed(e.key), signed(e.sig), [born[e.row], doc[e.row], sub[e.row], packed(e.start + base, e.n)])
+                    yield block_rows(keys, signed(e.key), signed(e.sig), [born[e.row], doc[e.row], sub[e.row], packed(e.start + base, e.n, e.ahead)])
 
         return docs.mapInArrow(make, f"shard int, suffix binary, sig long, born int, doc_id long, sub long, at long, {PLACES_SQL}")
 
-    def detail_key(self):
-        return F.xxhash64("suffix")
 
 
 def kept_parts(text: bytes, start: np.ndarray, length: np.ndarray) -> tuple[list[bytes], int]:
