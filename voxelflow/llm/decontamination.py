@@ -4,8 +4,9 @@ An item of n distinct shingles lies in a document when at least t * n of them
 do, wherever they stand.  Each item is represented by its bottom-m MinHash
 sketch, the m smallest of its shingle hashes.  Of any m = n - ceil(t * n) + 1
 shingles, a document that reaches the threshold holds one or more, so items
-are partitioned by size and each partition's m follows from its largest n:
-the search loses no pair, however long the document is.  Candidates are then
+are partitioned by size, each partition's m follows from its largest n, and a
+document is held against the items of those partitions alone whose sketches it
+meets: the search loses no pair, however long the document is.  Candidates are then
 verified by exact containment of shingle texts.
 
 Words: A-Z lower-cased, runs of letters, digits and characters beyond ASCII.
@@ -13,7 +14,7 @@ Shingles: five words; a shorter item is one shingle of all its words, sought as
 that run of words.
 
 Defined results: a null or empty text matches nothing; an item without words is
-never found; equal items (ties) are reported each; a repeated document row is
+never found; equal items (ties) are sought once and reported each, however many; a repeated document row is
 reported each time; null ids pass through; no rows give no rows; other columns
 of either table are ignored.
 """
@@ -32,10 +33,11 @@ from .common import LOWER, NON_WORD, Roller, bounded_collect, buffer_of, read_ta
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Items that one pass over the documents searches for; more are taken in blocks of this many.
+#: Distinct items that one pass over the documents searches for, and their bytes; more are taken in several blocks.
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 32 << 20
 
-SCHEMA = "doc_id long, item_id long, n_shingles int, n_found int, containment double"
+SCHEMA = "doc_id long, _h0 long, _h1 long, n_shingles int, n_found int, containment double"
 
 
 def _shingle_texts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> list[bytes]:
@@ -44,57 +46,60 @@ def _shingle_texts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int
     return [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
 
 
-class SketchIndex:
-    """The sketches of one block of items, sorted by hash, in size partitions.
+class Partition:
+    """Items of about one size: their pooled sketches, and all their hashes with the items that own them."""
 
-    Items of n shingles with ceil(log2(n)) in common form a partition.
-    """
+    def __init__(self, items: list[tuple[int, np.ndarray]], threshold: float):
+        most = max(len(h) for _, h in items)
+        m = most - math.ceil(threshold * most - 1e-9) + 1
+        self.sketch = np.unique(np.concatenate([h[: max(m, len(h) - math.ceil(threshold * len(h) - 1e-9) + 1)] for _, h in items]))
+        every = np.concatenate([h for _, h in items])
+        owner = np.repeat([j for j, _ in items], [len(h) for _, h in items])
+        order = np.argsort(every, kind="stable")
+        self.every, self.owner = every[order], owner[order]
+        self.low = np.zeros(1 << 20, bool)  # most absent hashes miss by their first 20 bits
+        self.low[(self.sketch >> np.uint64(44)).astype(np.int64)] = True
+
+    def met(self, high: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Where hashes are in a sketch."""
+        near = np.flatnonzero(self.low[high])
+        return near[self.sketch[np.minimum(np.searchsorted(self.sketch, h[near]), len(self.sketch) - 1)] == h[near]]
+
+
+def owners_of(every: np.ndarray, owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in ``h``, the owners of equal hashes: places and owners, in line."""
+    low, high = np.searchsorted(every, h, "left"), np.searchsorted(every, h, "right")
+    n = high - low
+    return np.repeat(np.arange(len(h)), n), owner[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
+
+class SketchIndex:
+    """One block of distinct items, in partitions by size: ceil(log2(n)) of n shingles in common."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], threshold: float, k: int):
+    def __init__(self, items: list[tuple[tuple, str | None]], threshold: float, k: int):
         self.threshold, self.k = threshold, k
         self.roller = Roller(11)
-        ids, texts, need, hashes, owners = [], [], [], [], []
-        short: dict[int, list[tuple[int, bytes]]] = {}
+        ids, texts, words, need = [], [], [], []
+        short: dict[int, list[tuple[np.uint64, int]]] = {}
         sized: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item_id, text in items:
             raw, at = buffer_of(pa.array([text or ""], pa.string()))
             starts, ends, _ = words_of(raw, at, NON_WORD)
             if not len(starts):
                 continue
-            j = len(ids)
-            size = min(k, len(starts))
-            found = _shingle_texts(raw, starts, ends, size)
+            j, size = len(ids), min(k, len(starts))
             ids.append(item_id)
-            texts.append(frozenset(found))
+            words.append(size)
+            texts.append(frozenset(_shingle_texts(raw, starts, ends, size)))
             hs = np.unique(self.hashes(raw, starts, ends, size))
             need.append(math.ceil(threshold * len(texts[-1]) - 1e-9))
             if size < k:
-                short.setdefault(size, []).append((j, hs[0]))
+                short.setdefault(size, []).append((hs[0], j))
             else:
                 sized.setdefault(math.ceil(math.log2(max(1, len(hs)))), []).append((j, hs))
-                hashes.append(hs)
-                owners.append(np.full(len(hs), j, np.int32))
-        self.ids, self.texts, self.need = ids, texts, np.array(need, np.int64)
-        self.short = {n: (np.array([h for _, h in v], np.uint64), [j for j, _ in v]) for n, v in short.items()}
-        sketch: list[np.ndarray] = []
-        for size in sorted(sized):
-            largest = max(len(h) for _, h in sized[size])
-            for _, h in sized[size]:
-                m = max(len(h) - math.ceil(threshold * len(h) - 1e-9), 0) + 1
-                sketch.append(h[: min(len(h), max(m, largest - math.ceil(threshold * largest - 1e-9) + 1))])
-        self.sketch = np.unique(np.concatenate(sketch)) if sketch else np.zeros(0, np.uint64)
-        every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        owner = np.concatenate(owners) if owners else np.zeros(0, np.int32)
-        order = np.argsort(every, kind="stable")
-        self.every, self.owner = every[order], owner[order]
-        self.low = self._low(self.sketch)
-
-    @staticmethod
-    def _low(sketch: np.ndarray) -> np.ndarray:
-        """A table of 2^20 bits that most absent hashes miss."""
-        seen = np.zeros(1 << 20, bool)
-        seen[(sketch >> np.uint64(44)).astype(np.int64)] = True
-        return seen
+        self.ids, self.texts, self.words, self.need = ids, texts, words, np.array(need, np.int64)
+        self.short = {n: tuple(np.array(x) for x in zip(*sorted(v), strict=True)) for n, v in short.items()}
+        self.partitions = [Partition(sized[n], threshold) for n in sorted(sized)]
 
     def hashes(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
         sums = self.roller.prefixes(word_hashes(self.roller, LOWER[raw], starts, ends))
@@ -107,7 +112,6 @@ class SketchIndex:
         n = len(starts)
         row_of = np.searchsorted(offsets, starts, "right") - 1
         sums = self.roller.prefixes(word_hashes(self.roller, LOWER[raw], starts, ends))
-        rows: set[int] = set()
         pairs: set[tuple[int, int]] = set()
         for size in {self.k, *self.short}:
             if n < size:
@@ -115,56 +119,60 @@ class SketchIndex:
             first = np.arange(n - size + 1)
             first = first[row_of[first] == row_of[first + size - 1]]
             h = self.roller.ranges(sums, first, first + size)
-            if size == self.k and len(self.sketch):
-                near = np.flatnonzero(self.low[(h >> np.uint64(44)).astype(np.int64)])
-                hit = near[self.sketch[np.minimum(np.searchsorted(self.sketch, h[near]), len(self.sketch) - 1)] == h[near]]
-                rows.update(row_of[first[hit]].tolist())
             if size in self.short:
-                wanted, owners = self.short[size]
-                for x in np.flatnonzero(np.isin(h, wanted)).tolist():
-                    pairs.update((int(row_of[first[x]]), j) for w, j in zip(wanted, owners, strict=True) if w == h[x])
-        for row in sorted(rows):
-            a, b = first_word[row], first_word[row + 1]
-            if b - a < self.k:
-                continue
-            at = np.arange(a, b - self.k + 1)
-            h = np.unique(self.roller.ranges(sums, at, at + self.k))
-            lo, hi = np.searchsorted(self.every, h, "left"), np.searchsorted(self.every, h, "right")
-            there = lo < hi
-            if there.any():
-                lo, hi = lo[there], hi[there]
-                owner = np.concatenate([self.owner[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])
-                which, count = np.unique(owner, return_counts=True)
-                pairs.update((row, j) for j in which[count >= self.need[which]].tolist())
-        texts: dict[tuple[int, int], set[bytes]] = {}
-        for row, j in sorted(pairs):
-            a, b = first_word[row], first_word[row + 1]
-            size = self.k if self.texts[j] and next(iter(self.texts[j])).count(b" ") == self.k - 1 else next(iter(self.texts[j])).count(b" ") + 1
-            if (row, size) not in texts:
-                base = offsets[row]
-                texts = {(row, size): set(_shingle_texts(raw[base : offsets[row + 1]], starts[a:b] - base, ends[a:b] - base, size))}
-            found = len(self.texts[j] & texts[row, size])
+                place, owner = owners_of(*self.short[size], h)
+                pairs.update(zip(row_of[first[place]].tolist(), owner.tolist(), strict=True))
+            elif size == self.k:
+                high = (h >> np.uint64(44)).astype(np.int64)
+                for part in self.partitions:
+                    for row in np.unique(row_of[first[part.met(high, h)]]).tolist():
+                        at = np.arange(first_word[row], first_word[row + 1] - self.k + 1)
+                        _, owner = owners_of(part.every, part.owner, np.unique(self.roller.ranges(sums, at, at + self.k)))
+                        which, count = np.unique(owner, return_counts=True)
+                        pairs.update((row, j) for j in which[count >= self.need[which]].tolist())
+        key, seen = None, set()
+        for row, size, j in sorted((row, self.words[j], j) for row, j in pairs):
+            if key != (row, size):
+                key, a, b, base = (row, size), first_word[row], first_word[row + 1], offsets[row]
+                seen = set(_shingle_texts(raw[base : offsets[row + 1]], starts[a:b] - base, ends[a:b] - base, size))
+            found = len(self.texts[j] & seen)
             if found >= self.need[j]:
                 yield row, j, found
 
 
+#: 128 bits that stand for an item's text.
+ITEM_KEY = ("_h0", "_h1")
+
+
+def keyed(items: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return items.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"), F.xxhash64(text).alias(ITEM_KEY[0]), F.xxhash64(F.lit(77), text).alias(ITEM_KEY[1]))
+
+
 def item_indexes(spark: SparkSession, items: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> Iterator:
-    """Broadcast indexes of the items, in blocks of at most BLOCK_ITEMS."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, math.ceil(items.count() / (BLOCK_ITEMS // 2)))
+    """Broadcast indexes of the distinct items, in blocks of at most BLOCK_ITEMS texts and BLOCK_BYTES (or one longer text)."""
+    distinct = items.select(*ITEM_KEY, "text").dropDuplicates(list(ITEM_KEY))
+    blocks = 1
+    while True:
+        number = F.pmod(F.xxhash64(*ITEM_KEY), F.lit(blocks))
+        size = distinct.groupBy(number.alias("b")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+        most = size.agg(F.max("n").alias("n"), F.max(F.when(F.col("n") > 1, F.col("bytes"))).alias("bytes")).first()
+        if (most["n"] or 0) <= BLOCK_ITEMS and (most["bytes"] or 0) <= BLOCK_BYTES:
+            break
+        blocks *= 2
     for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        rows = [tuple(r) for r in bounded_collect(part, BLOCK_ITEMS, "items of a block")]
-        yield spark.sparkContext.broadcast(SketchIndex(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), threshold, k))
+        rows = bounded_collect(distinct.where(number == b), BLOCK_ITEMS, "items of a block")
+        yield spark.sparkContext.broadcast(SketchIndex(sorted(((r[0], r[1]), r["text"]) for r in rows), threshold, k))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """Pairs (doc_id, item_id) whose containment of the item's shingles is ``threshold`` or more.
 
-    ``docs`` has doc_id and text, ``items`` has item_id and text.  The items go
-    to the tasks in blocks of at most BLOCK_ITEMS; each block is one pass over
-    the documents, without a shuffle.
+    ``docs`` has doc_id and text, ``items`` has item_id and text.  Distinct
+    items go to the tasks in blocks; each block is one pass over the documents,
+    without a shuffle.  What is found joins the ids of equal items.
     """
+    items = keyed(items)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for index in item_indexes(docs.sparkSession, items, threshold, k):
@@ -177,20 +185,19 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
                 if found:
                     row, item, n = zip(*found, strict=True)
                     size = np.array([len(ix.texts[j]) for j in item], np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [block.column(0).take(pa.array(row)), pa.array([ix.ids[j] for j in item], pa.int64()), pa.array(size), pa.array(n, pa.int32()), pa.array(np.array(n) / size)],
-                        names=["doc_id", "item_id", "n_shingles", "n_found", "containment"],
-                    )
+                    keys = [pa.array([ix.ids[j][i] for j in item], pa.int64()) for i in range(2)]
+                    yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(row)), *keys, pa.array(size), pa.array(n, pa.int32()), pa.array(np.array(n) / size)], names=["doc_id", *ITEM_KEY, "n_shingles", "n_found", "containment"])
 
         part = source.mapInArrow(find, SCHEMA)
         out = part if out is None else out.unionAll(part)
-    return out
+    ids = items.select("item_id", *ITEM_KEY)
+    return out.join(ids, list(ITEM_KEY)).select("doc_id", "item_id", "n_shingles", "n_found", "containment")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the rows that contain a benchmark item, whatever their ids; other columns kept, no shuffle."""
     at, kept = docs.columns.index("text"), docs
-    for index in item_indexes(docs.sparkSession, items):
+    for index in item_indexes(docs.sparkSession, keyed(items)):
 
         def clean(batches, index=index):
             for block in text_blocks(batches):
