@@ -9,8 +9,8 @@ kernel ridge regression in it gives each language a value.  Batches of texts
 are scored by matrix products.
 
 The model is fitted on a sample of at most ``sample`` labelled texts, spread
-evenly over the languages by the hash of their ids; prediction reads the text
-alone.  Defined results: ``und`` with score 0 where the text is null or has no
+evenly over the ``LABELS`` most frequent languages by the hash of their ids;
+prediction reads the text alone.  Defined results: ``und`` with score 0 where the text is null or has no
 letter; any length is read whole; repeated rows get equal values; null labels
 aren't learned from; without a labelled text everything is ``und``; other
 columns are ignored by the classifier and kept by the filter.
@@ -18,12 +18,13 @@ columns are ignored by the classifier and kept by the filter.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, bounded_collect, buffer_of, held_out, read_table, text_blocks
@@ -32,6 +33,10 @@ ORDERS = (1, 2, 3)
 LANDMARKS = 160
 #: Labelled texts in the fit at most.
 SAMPLE = 2_000
+#: Values of the label that are learned at most, the most frequent ones.
+LABELS = 500
+#: The filter rejects a text of EVIDENCE bytes or more of which the landmarks of no language know this share of the n-grams.
+COVERAGE, EVIDENCE = 0.7, 40
 RIDGE = 0.05
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -79,6 +84,11 @@ class Model:
     weights: np.ndarray  # landmarks x labels, with the Nyström map folded in
     bias: np.ndarray
 
+    @property
+    def step(self) -> int:
+        """Texts of a product, so that it holds some 32 MB whatever the scripts."""
+        return int(np.clip((1 << 23) // (len(self.presence) + 1), 8, 256))
+
     def kernel(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Rows x landmarks, by one matrix product."""
         return self.kernel_of(*grams(raw, offsets), len(offsets) - 1)
@@ -90,6 +100,12 @@ class Model:
         own = np.maximum(seen[:, :-1].sum(1), 1.0)
         return both / np.sqrt(own[:, None] * self.norms[None, :])
 
+    def coverage(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The share of each text's n-grams that some landmark has."""
+        rows, codes = grams(raw, offsets)
+        n = len(offsets) - 1
+        return np.bincount(rows, weights=self.column[codes] >= 0, minlength=n) / np.maximum(np.bincount(rows, minlength=n), 1)
+
     def values(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return self.kernel(raw, offsets) @ self.weights + self.bias
 
@@ -120,7 +136,7 @@ def fit(texts: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS,
     use = value > 1e-6 * value.max()
     nystrom = vector[:, use] / np.sqrt(value[use])
     every = [(t, i) for i, x in enumerate(names) for t in by[x]]
-    parts = [[t for t, _ in every[a : a + 128]] for a in range(0, len(every), 128)]
+    parts = [[t for t, _ in every[a : a + model.step]] for a in range(0, len(every), model.step)]
     features = np.concatenate([model.kernel_of(*flat(p), len(p)) for p in parts]).astype(np.float64) @ nystrom
     target = np.eye(len(names))[[i for _, i in every]] * 2 - 1
     weight = np.sqrt(1.0 / np.bincount([i for _, i in every], minlength=len(names)))[[i for _, i in every]][:, None]
@@ -134,16 +150,24 @@ def fit(texts: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS,
 
 
 def training_rows(labelled: DataFrame, key: str, sample: int, vectors) -> list:
-    """Bounded, the same at every run: about sample / n rows of each value of ``key``, by the hash of doc_id.
+    """Bounded, the same at every run: at most sample / n documents of each of the n most frequent values of ``key``.
 
+    ``n`` is LABELS at most.  The least hashes of doc_id win: a threshold from the numbers of distinct ids thins
+    them in the tasks, and the few beyond are cut here.  An id counts once; of several texts, the one of least hash.
     ``vectors`` makes bytes of each whole text in the tasks; only these are collected.
     """
-    spread = Window.partitionBy(key, "_part").orderBy("_at", "doc_id")
-    values = bounded_collect(labelled.select(key).distinct(), 1000, f"values of {key}")
-    each = max(1, sample // max(1, len(values)))
-    ids = labelled.select("doc_id", key, F.xxhash64("doc_id").alias("_at")).withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))).withColumn("_n", F.row_number().over(spread)).where(F.col("_n") <= each)
-    ids = ids.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_at", "doc_id"))).where(F.col("_r") <= each)
-    rows = labelled.select("doc_id", key, "text").join(F.broadcast(ids.select("doc_id", key, "_at")), ["doc_id", key]).select("doc_id", key, "_at", "text")
+    counted = labelled.select("doc_id", key).distinct().groupBy(key).agg(F.count("*").alias("_n"))
+    values = counted.orderBy(F.desc("_n"), key).limit(min(LABELS, sample)).collect()
+    if not values:
+        return []
+    each = sample // len(values)
+    most = each + 4 * math.isqrt(each) + 4  # nearly surely ``each`` at least
+    shares = [(r[key], min(1 << 30, -(-(most << 30) // r["_n"]))) for r in values]
+    kind = dict(labelled.dtypes)[key]
+    share = F.broadcast(labelled.sparkSession.createDataFrame(shares, f"{key} {kind}, _share long"))
+    hashed = labelled.select("doc_id", key, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("_at"), F.xxhash64("text").alias("_text")).join(share, key).where(F.col("_at") < F.col("_share"))
+    ids = hashed.groupBy("doc_id", key, "_at").agg(F.min("_text").alias("_text"))
+    rows = labelled.select("doc_id", key, F.xxhash64("text").alias("_text"), "text").join(F.broadcast(ids), ["doc_id", key, "_text"]).select("doc_id", key, "_at", "text")
 
     def reduced(batches):
         for block in text_blocks(batches, 1 << 19):
@@ -151,8 +175,10 @@ def training_rows(labelled: DataFrame, key: str, sample: int, vectors) -> list:
                 part = block.slice(a, 256)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(vectors(part.column(3)), pa.binary())], names=["doc_id", key, "_at", "vector"])
 
-    out = rows.mapInArrow(reduced, f"doc_id long, {key} {dict(rows.dtypes)[key]}, _at long, vector binary")
-    return sorted(bounded_collect(out.dropDuplicates(["doc_id", key]), sample + 1000, "training rows"), key=lambda r: (r["_at"], r["doc_id"]))
+    out = rows.mapInArrow(reduced, f"doc_id long, {key} {kind}, _at long, vector binary").dropDuplicates(["doc_id", key])
+    found = sorted(bounded_collect(out, 2 * most * len(values) + 1000, "training rows"), key=lambda r: (r["_at"], r["doc_id"]))
+    by = {v[key]: [r for r in found if r[key] == v[key]][:each] for v in values}
+    return sorted((r for rows in by.values() for r in rows), key=lambda r: (r["_at"], r["doc_id"]))
 
 
 def gram_sets(text: pa.Array) -> list[bytes | None]:
@@ -177,56 +203,64 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return fit([np.frombuffer(r["vector"], np.int32) for r in rows], [r["lang"] for r in rows])
 
 
-def _scored(shared):
-    def score(batches):
-        model = shared.value
-        for block in text_blocks(batches, 1 << 19):
-            for a in range(0, block.num_rows, 256):
-                part = block.slice(a, 256)
-                texts = part.column(1)
-                raw, offsets = buffer_of(texts)
-                if model is None:
-                    best, sure, names = np.zeros(part.num_rows, int), np.zeros(part.num_rows), ["und"]
-                else:
-                    v = model.values(raw, offsets).astype(np.float64)
-                    best, names = v.argmax(1), model.labels
-                    e = np.exp(4 * (v - v.max(1, keepdims=True)))
-                    sure = 1 / e.sum(1)
-                ascii_letter = np.add.reduceat(np.r_[(SYMBOL[raw] > 0) & (SYMBOL[raw] < 27), False], np.minimum(offsets[:-1], len(raw))) * (np.diff(offsets) > 0)
-                letter = [bool(n) or has_letter(t.as_py() or "") for n, t in zip(ascii_letter.tolist(), texts, strict=True)]
-                lang = [names[i] if ok else "und" for i, ok in zip(best.tolist(), letter, strict=True)]
-                sure = np.where(letter, np.round(sure, 6), 0.0) if names != ["und"] else np.zeros(len(lang))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(lang, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
-    return score
+def _judged(model: Model | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bool], list[str]]:
+    """For each text the best label's number, the values, whether there is a letter, and the labels."""
+    raw, offsets = buffer_of(texts)
+    values = np.zeros((len(texts), 1)) if model is None else model.values(raw, offsets).astype(np.float64)
+    ascii_letter = np.add.reduceat(np.r_[(SYMBOL[raw] > 0) & (SYMBOL[raw] < 27), False], np.minimum(offsets[:-1], len(raw))) * (np.diff(offsets) > 0)
+    letter = [bool(n) or has_letter(t.as_py() or "") for n, t in zip(ascii_letter.tolist(), texts, strict=True)]
+    return values.argmax(1), values, letter, ["und"] if model is None else model.labels
+
+
+def _steps(batches, model: Model | None):
+    for block in text_blocks(batches, 1 << 19):
+        step = 256 if model is None else model.step
+        for a in range(0, block.num_rows, step):
+            yield block.slice(a, step)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of ``docs``; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches):
+        model = shared.value
+        for part in _steps(batches, model):
+            best, v, letter, names = _judged(model, part.column(1))
+            e = np.exp(4 * (v - v.max(1, keepdims=True)))
+            lang = [names[i] if ok else "und" for i, ok in zip(best.tolist(), letter, strict=True)]
+            sure = np.where(letter, np.round(1 / e.sum(1), 6), 0.0) if model is not None else np.zeros(len(lang))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(lang, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
-    return source.mapInArrow(_scored(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    return source.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` without the rows whose language is undetermined, columns as they are.
+def keep_identified(docs: DataFrame, model: Model | None, languages: set[str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+    """``docs`` without the rows that are rejected, columns as they are.
 
-    Without a model only texts that are null or have no letter go.
+    A row is rejected where its text is null or has no letter; where it is like
+    no language that is learned, that is, it has EVIDENCE bytes or more and less
+    than ``coverage`` of its n-grams are in any landmark, as in noise and in
+    other languages; and where the language predicted
+    isn't one of ``languages`` (None: all that are learned).  Without a model
+    nothing is known of languages, so only texts without letters go.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    score = _scored(shared)
 
     def keep(batches):
         model = shared.value
-        for block in text_blocks(batches):
-            if model is None:
-                yield block.filter(pa.array([has_letter(t or "") for t in block.column(at).cast(pa.string()).to_pylist()], pa.bool_()))
-                continue
-            n = block.num_rows
-            told = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), block.column(at).cast(pa.string()), pa.array(np.zeros(n, bool))], names=["doc_id", "text", "held_out"])
-            lang = [x for part in score([told]) for x in part.column(2).to_pylist()]
-            yield block.filter(pa.array([x != "und" for x in lang], pa.bool_()))
+        for part in _steps(batches, model):
+            text = part.column(at).cast(pa.string())
+            best, _, letter, names = _judged(model, text)
+            stay = np.array(letter, bool)
+            if model is not None:
+                size = np.diff(buffer_of(text)[1])
+                stay &= (model.coverage(*buffer_of(text)) >= coverage) | (size < EVIDENCE)
+                if languages is not None:
+                    stay &= np.array([names[i] in languages for i in best.tolist()], bool)
+            yield part.filter(pa.array(stay))
 
     return docs.mapInArrow(keep, docs.schema)
 

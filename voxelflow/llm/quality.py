@@ -93,9 +93,11 @@ class Model:
     def scores(self, counts: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
         near = self.latent(counts) @ self.vectors.T
         k = min(neighbours, near.shape[1])
-        at = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.tile(np.arange(k), (len(near), 1))
-        weight = np.maximum(np.take_along_axis(near, at, 1), 0) ** 8 + 1e-9
-        score = (weight * self.labels[at]).sum(1) / weight.sum(1)
+        least = np.partition(near, -k, axis=1)[:, -k][:, None]
+        above, tied = near > least, near == least  # of those tied at the end, the first of the sample count
+        used = above | tied & (np.cumsum(tied, axis=1) <= k - above.sum(1, keepdims=True))
+        weight = np.where(used, np.maximum(near, 0) ** 8 + 1e-9, 0)
+        score = weight @ self.labels / weight.sum(1)
         return np.where(counts.any(1), score, self.mean)
 
 
@@ -131,9 +133,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    # the labelled ids are thinned before any text moves: about twice the sample by hash, then the exact cut in training_rows
-    share = min(1.0, 4.0 * sample / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    # the labelled ids are thinned before any text moves: four samples of each label by hash, then the exact cut in training_rows
+    counts = known.groupBy("quality").count().collect()  # two rows at most
+    share = F.lit(0)
+    for r in counts:
+        share = F.when(F.col("quality") == r["quality"], F.lit(min(1 << 20, -(-(4 * sample << 20) // r["count"])))).otherwise(share)
+    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < share)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = training_rows(texts.join(F.broadcast(known), "doc_id"), "quality", sample, lambda text: [x.tobytes() for x in term_counts(*buffer_of(text))])
     return fit([r["vector"] for r in rows], [r["quality"] for r in rows])
