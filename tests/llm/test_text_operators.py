@@ -3,10 +3,12 @@ import random
 import re
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from voxelflow.llm import decontamination, language_id, license_scan, quality
-from voxelflow.llm.common import read_table
+from voxelflow.llm.common import buffer_of, read_table
 
 
 def shingles(text, k=5):
@@ -74,6 +76,19 @@ def test_items_in_blocks(spark, table, benchmark_rows, monkeypatch):
     assert sorted(map(tuple, decontamination.contained_items(table(docs), items).collect()), key=str) == whole
 
 
+def test_many_equal_items(spark, table, monkeypatch):
+    """Equal items are one text in a block, and all reported."""
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 4)
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 200)
+    text = "six words that are the same"
+    rows = [(i, text) for i in range(50)] + [(90 + i, f"{text} but {i} more " * 3) for i in range(9)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    docs = [(1, "so " + text + " again"), (2, rows[-1][1]), (3, "clean")]
+    got = decontamination.contained_items(table(docs), items).collect()
+    assert sorted(((r.doc_id, r.item_id, r.n_shingles, r.n_found) for r in got), key=str) == brute_contained(docs, rows)
+    assert [r.doc_id for r in decontamination.decontaminate(table(docs), items).collect()] == [3]
+
+
 def test_containment_of_empty_tables(spark, table, benchmark_rows):
     items = spark.createDataFrame(benchmark_rows, "item_id long, text string")
     assert decontamination.contained_items(table([]), items).collect() == []
@@ -108,6 +123,37 @@ def test_licenses_of_repeated_rows_and_null_ids(spark, table, odd_rows):
     assert (by[1].n_words, by[1].first_word, by[1].labels, by[1].score) == (0, None, "", 0.0)
 
 
+def test_templates_are_found_over_line_ends(spark, table):
+    """Each template, wrapped behind comment marks, in the middle of prose."""
+    rows = []
+    for k, text in enumerate(license_scan.TEMPLATES.values()):
+        lines, line = [], "#"
+        for w in ("so it was said " + text + " and the rest of the file follows").split():
+            if len(line) + len(w) > 40:
+                lines.append(line)
+                line = "#"
+            line += " " + w.capitalize()
+        rows.append((k, "\n".join([*lines, line])))
+    rows.append((100, "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License"))
+    by = {r.doc_id: r.labels.split(",") for r in license_scan.scan(table(rows)).collect()}
+    for k, label in enumerate(license_scan.TEMPLATES):
+        assert label in by[k], label
+    assert by[100] == ["gpl", "gpl-notice"]
+    got, want = licenses(spark, table(rows))
+    assert got == want
+
+
+def test_scattered_words_are_no_license(spark, table):
+    rng = random.Random(6)
+    spread = [w for t in license_scan.TEMPLATES.values() for w in t.split()]
+    rng.shuffle(spread)
+    filler = lambda: " ".join(f"f{rng.randint(0, 999)}" for _ in range(15))
+    rows = [(1, "Released under the Apache License"), (2, "he sat under the tree and the driving license was later released by the office"), (3, " ".join(w + " " + filler() for w in spread))]
+    assert [(r.labels, r.score) for r in license_scan.scan(table(rows)).collect()] == [("", 0.0)] * 3
+    got, want = licenses(spark, table(rows))
+    assert got == want
+
+
 def test_license_query_is_native(spark, sf_dir):
     plan = license_scan.op2_license_scan(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -137,6 +183,68 @@ def test_languages_of_odd_rows(spark, table, odd_rows):
     assert {r.doc_id for r in kept.collect()} == {d for d, *_ in rows} - und
 
 
+def test_kernel_against_sets(odd_rows):
+    """The presence kernel is the number of common n-grams over the geometric mean of their own."""
+    texts = [t for _, t in odd_rows if t and language_id.has_letter(t)][:12]
+    vectors = [np.frombuffer(v, np.int32) for v in language_id.gram_sets(pa.array(texts))]
+    model = language_id.fit(vectors, ["a", "b"] * 6, landmarks=6)
+
+    def spectrum(text):
+        symbols, out = [], set()
+        for b in text.encode().lower():
+            x = chr(b) if chr(b) in "abcdefghijklmnopqrstuvwxyz" else b if b > 127 else " "
+            if x != " " or not symbols or symbols[-1] != " ":
+                symbols.append(x)
+        for n in (1, 2, 3):
+            out |= {(n, *symbols[i : i + n]) for i in range(len(symbols) - n + 1)}
+        return out
+
+    sets = [spectrum(t) for t in texts]
+    marks = [s for i, s in enumerate(sets) if i % 2 == 0][:3] + [s for i, s in enumerate(sets) if i % 2][:3]
+    known = set().union(*marks)
+    got = model.kernel(*buffer_of(pa.array(texts)))
+    want = [[len(s & m) / math.sqrt(max(1, len(s & known)) * len(m)) for m in marks] for s in sets]
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_votes_against_a_full_sort():
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-2, 3, (60, 3)).astype(float)
+    vectors[np.linalg.norm(vectors, axis=1) == 0] = 1
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)  # many ties
+    model = quality.Model(np.ones(8), rng.standard_normal((8, 3)), vectors, rng.integers(0, 2, 60).astype(float), 0.5)
+    counts = rng.random((20, 8)).astype(np.float32)
+    near = model.latent(counts) @ vectors.T
+    for row, score in zip(near, model.scores(counts, 7), strict=True):
+        best = sorted(range(60), key=lambda j: (-row[j], j))[:7]
+        w = [max(row[j], 0) ** 8 + 1e-9 for j in best]
+        assert abs(score - sum(a * model.labels[j] for a, j in zip(w, best, strict=True)) / sum(w)) < 1e-9
+
+
+def test_copies_of_an_id_do_not_crowd_the_sample(spark, table):
+    rows = [(1, "copies of the one document", "en")] * 400 + [(d, f"text {d} of others", "en" if d % 2 else "de") for d in range(10, 310)]
+    known = table(rows).select("doc_id", "text", "lang").where("doc_id is not null")
+    got = language_id.training_rows(known, "lang", 80, language_id.gram_sets)
+    assert len({r["doc_id"] for r in got}) == len(got)
+    by = {x: sum(r["lang"] == x for r in got) for x in ("en", "de")}
+    assert by == {"en": 40, "de": 40}
+
+
+def test_more_labels_than_are_learned(spark, table, monkeypatch):
+    monkeypatch.setattr(language_id, "LABELS", 5)
+    docs = table([(d, f"some text {d}", f"l{d % 9}" if d > 40 else "often") for d in range(90)])
+    model = language_id.train(docs)
+    assert len(model.labels) == 5 and "often" in model.labels
+
+
+def test_texts_like_no_language_go(spark, table):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    model = language_id.train(docs)
+    junk = [(1, "xqzj9 kkvv qwrtp zzxq jjqk vbnmz qqq xkcd zxcvb " * 5), (2, "ѫѭѯѱ ѳѵѷѹ ѻѽѿ " * 4), (3, "0123 4567"), (4, "ok")]
+    assert [r.doc_id for r in language_id.keep_identified(table(junk), model).collect()] == [4]
+    assert language_id.keep_identified(docs, model, languages={"de"}).where("lang = 'en'").count() < docs.where("lang = 'en'").count() * 0.05
+
+
 def test_languages_without_training_rows(spark, table):
     assert language_id.train(table([])) is None
     assert [r.lang_pred for r in language_id.identify(table([(1, "abc")]), None).collect()] == ["und"]

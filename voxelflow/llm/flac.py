@@ -3,7 +3,8 @@
 Encoding: frames of 1024 samples; for each, the cheapest of a constant, fixed
 predictors of order 0 to 2, a quantized linear predictor of order 4, or verbatim
 samples; residuals are Rice coded.  The stream has a seek table with a point
-for every frame.  Decoding checks the header's CRC-8 and the frame's CRC-16,
+for every frame.  Streams are read back as PCM blocks with their sample
+offsets, and digests and features are folded from these blocks.  Decoding checks the header's CRC-8 and the frame's CRC-16,
 unfolds Rice codes and runs the predictors, and hands out PCM blocks with their
 sample offsets.  All frames of a batch advance together, one numpy step for the
 n-th sample of each, so that no Python runs for single samples.
@@ -11,7 +12,8 @@ n-th sample of each, so that no Python runs for single samples.
 Byte b is stored as the signed sample b - 128.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; payloads
-of any length; equal texts give equal streams wherever they lie; a stream
+up to MOST_SAMPLES, as many as one seek table can point into (954 MB; a longer
+one raises, before it is encoded); equal texts give equal streams wherever they lie; a stream
 whose checksum or frame number is wrong raises ``FlacError``; no rows give no
 rows; other columns are ignored.
 """
@@ -33,6 +35,8 @@ BLOCK = 1024
 RATE = 16_000
 LPC_ORDER, LPC_BITS = 4, 10
 UNIT = 64
+#: Samples of as many blocks as a seek table has points at most.
+MOST_SAMPLES = ((1 << 24) - 1) // 18 * BLOCK
 FIXED = {1: (1,), 2: (2, -1), 3: (3, -3, 1), 4: (4, -6, 4, -1)}
 
 
@@ -247,7 +251,7 @@ def encode(payload: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         points["sample"], points["at"], points["n"] = number[a:b] * BLOCK, begin, n[a:b]
         table = points.tobytes()
         if len(table) >= 1 << 24:
-            raise FlacError("too long for one seek table")
+            raise FlacError("too long for one seek table")  # payload_of has seen to it
         blocks = b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table
         streams.append(b"fLaC" + blocks + data[at[a] : at[b - 1] + frame_bytes[b - 1]].tobytes())
     return streams
@@ -418,6 +422,8 @@ def decode(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 def payload_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """UTF-8 with zero bytes up to a positive multiple of 64; padded and plain sizes."""
     raw = [(t or "").encode() for t in texts]
+    if max(map(len, raw), default=0) > MOST_SAMPLES:
+        raise FlacError(f"a payload has more than {MOST_SAMPLES} samples")
     plain = np.array([len(b) for b in raw], np.int64)
     sizes = np.maximum(-(-plain // UNIT), 1) * UNIT
     padded = b"".join(b + bytes(int(s) - len(b)) for b, s in zip(raw, sizes, strict=True))
@@ -441,16 +447,24 @@ def _media_blocks(batches):
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """A row for each stored frame: doc_id, block, sample_offset, n_samples, pcm (unsigned 8-bit)."""
+    """A row for each stored frame: doc_id, block, sample_offset, n_samples, pcm (unsigned 8-bit).
+
+    The blocks of a stream stand together, in order.  Its first block also has
+    n_bytes (of the plain text), media_bytes and media_sha256.
+    """
 
     def read(batches):
         for block, streams in _media_blocks(batches):
             pcm, stream, sample, n = decode(streams)
             ends = np.cumsum(n)
             parts = [pcm[e - k : e].tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(stream)), pa.array(sample // BLOCK, pa.int32()), pa.array(sample), pa.array(n), pa.array(parts, pa.binary())], names=["doc_id", "block", "sample_offset", "n_samples", "pcm"])
+            first = pa.array(np.where(sample == 0, stream, -1), pa.int64(), mask=sample > 0)
+            sizes, digests = pa.array([len(s) for s in streams], pa.int64()), pa.array([hashlib.sha256(s).hexdigest() for s in streams])
+            columns = {"doc_id": block.column(0).take(pa.array(stream)), "block": pa.array(sample // BLOCK, pa.int32()), "sample_offset": pa.array(sample), "n_samples": pa.array(n), "pcm": pa.array(parts, pa.binary())}
+            columns |= {"n_bytes": block.column(1).take(first), "media_bytes": sizes.take(first), "media_sha256": digests.take(first)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, "doc_id long, block int, sample_offset long, n_samples long, pcm binary")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, "doc_id long, block int, sample_offset long, n_samples long, pcm binary, n_bytes long, media_bytes long, media_sha256 string")
 
 
 def features(pcm: np.ndarray, ends: np.ndarray) -> list[str]:
@@ -468,29 +482,45 @@ def features(pcm: np.ndarray, ends: np.ndarray) -> list[str]:
     return [f"peak={p};ms={e * 100 // k};cross={c}" for p, e, k, c in zip(peak.tolist(), energy.tolist(), n.tolist(), crossings.tolist(), strict=True)]
 
 
-def read_media(media: DataFrame) -> DataFrame:
-    """Digests and features of each stored stream, from its decoded samples."""
+def folded(blocks: DataFrame) -> DataFrame:
+    """Digests and features of each stream, from its PCM blocks as ``pcm_blocks`` hands them out; no shuffle.
 
-    def read(batches):
-        for block, streams in _media_blocks(batches):
-            pcm, stream, _, n = decode(streams)
-            ends = np.cumsum(np.bincount(stream, weights=n, minlength=len(streams)).astype(np.int64))
-            parts = [pcm[a:b].tobytes() for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    block.column(0),
-                    block.column(1),
-                    pa.array([len(p) for p in parts], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in parts]),
-                    pa.array([zlib.crc32(p[-UNIT:]) for p in parts], pa.int64()),
-                    pa.array([len(s) for s in streams], pa.int64()),
-                    pa.array([hashlib.sha256(s).hexdigest() for s in streams]),
-                    pa.array(features(pcm, ends)),
-                ],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    A stream's blocks may lie in several batches; what is open goes on in the next one.
+    """
+
+    def digests(heads: list[tuple], parts: list[bytes]) -> pa.RecordBatch:
+        doc, plain, size, digest = zip(*heads, strict=True)
+        sizes = np.array([len(p) for p in parts], np.int64)
+        told = features(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes))
+        columns = {"doc_id": pa.array(doc, pa.int64()), "n_bytes": pa.array(plain, pa.int64()), "payload_bytes": pa.array(sizes), "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in parts]), "tail_crc32": pa.array([zlib.crc32(p[-UNIT:]) for p in parts], pa.int64())}
+        columns |= {"media_bytes": pa.array(size, pa.int64()), "media_sha256": pa.array(digest, pa.string()), "feature": pa.array(told)}
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    def fold(batches):
+        head, pieces = None, []  # of the stream that is open
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(2).to_numpy() == 0)
+            pcm = batch.column(4).to_pylist()
+            cuts = [0, *starts.tolist(), batch.num_rows]
+            heads, parts = [], []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a < batch.num_rows and batch.column(2)[a].as_py() == 0 and a < b:
+                    if head is not None:
+                        heads.append(head)
+                        parts.append(b"".join(pieces))
+                    head, pieces = tuple(batch.column(i)[a].as_py() for i in (0, 5, 6, 7)), []
+                pieces += pcm[a:b]
+            if heads:
+                yield digests(heads, parts)
+        if head is not None:
+            yield digests([head], [b"".join(pieces)])
+
+    return blocks.mapInArrow(fold, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def read_media(media: DataFrame) -> DataFrame:
+    """Digests and features of each stored stream, from its decoded blocks."""
+    return folded(pcm_blocks(media))
 
 
 def op6_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
