@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from voxelflow.functions import text
 from voxelflow.operators import bricks, intensity, labels, regions, sampling, tracks
-from voxelflow.plans import policies
 
 ROI = "roi_order int, roi_name string, shape string, mode string, sx double, sy double, sz double, ex double, ey double, ez double"
 
@@ -159,13 +158,27 @@ def test_names(spark):
     assert r[1] > df.select(text.natural_key(F.lit("Scan9.tif"))).first()[0]
 
 
-def test_policies():
-    assert policies.choose_layout(1, 100, 10, 1, 1, 1) == "dense"
-    assert policies.choose_layout(48, 1 << 20, 1 << 16, 16, 2, 16) == "bricks"
-    assert policies.choose_layout(48, 1 << 20, 1 << 16, 16, 16, 16) == "dense"
-    assert policies.choose_scale({0: (1, 1, 1), 1: (2, 2, 2), 2: (4, 4, 4)}, 0.4) == 1
-    assert policies.choose_scale({0: (1, 1, 1), 1: (2, 2, 2)}, 6.0, playing=True) == 1
-    assert policies.chunk_shape((48, 96, 96), 1) == (16, 64, 64)
-    assert math.prod(policies.chunk_shape((48, 96, 96), 8)) * 8 <= 256 * 1024
-    assert policies.class_budgets(8) == (4, 3, 1)
-    assert [policies.next_timepoint(t, 5, (3, 1)) for t in range(5)] == [2, 2, 3, 1, 1]
+def test_infinity_lends_nothing(spark):
+    rows = [(1, 0, i, float(i), float("inf") if i == 2 else float(i), 0.0, 0.0, float("inf") if i == 4 else 1.0) for i in range(6)]
+    points = spark.createDataFrame(rows, "source_track_id long, segment_index int, row_idx long, time double, x double, y double, z double, amplitude double")
+    got = tracks.smoothed(points, 1.0).collect()
+    assert all(math.isfinite(r.x) and math.isfinite(r.amplitude) for r in got)
+    assert tracks.summary(points).first().amp_max == 1.0
+
+
+def test_opaque_rays(spark):
+    rows = [(0, z, 0, 0, 255 if z < 2 else 100) for z in range(3)]
+    r = sampling.project_absorbed(spark.createDataFrame(rows, "t int, z int, y int, x int, code int"), 0.0, 5000.0).first()
+    assert (r.color, r.alpha) == (1.0, 1.0)
+
+
+def test_region_numbers_beyond_2147(spark):
+    rois = spark.createDataFrame([(3000, "a", "line", "2d", 0.0, 0.0, 0.0, 3.0, 0.0, 0.0), (3001, "b", "line", "2d", 0.0, 0.0, 0.0, 1.0, 0.0, 0.0)], ROI)
+    got = {r.roi_order: (r.n_voxels, r.max) for r in regions.measure(volume(spark, range(4), 4), rois, (1, 1, 4)).collect()}
+    assert got == {3000: (4, 3.0), 3001: (2, 1.0)}
+
+
+def test_natural_order_of_long_numbers(spark):
+    names = ["f9", "f10", "f9999999999999", "f20240101123045", "F010b", "f10a"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").orderBy(text.natural_key(F.col("n"))).collect()
+    assert [r.n for r in got] == ["f9", "f10", "f10a", "F010b", "f9999999999999", "f20240101123045"]

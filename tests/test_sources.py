@@ -12,10 +12,10 @@ from voxelflow.streaming import run  # noqa: F401  imports without a session
 
 def test_track_csv_with_a_break(spark, tmp_path):
     f = tmp_path / "tracks.csv"
-    f.write_text("36, 1.0, 50.0, 305.779096, 326.565542, 38.697693, 0, 57\n\n36, 1.0, , , , , 0, 57\n36, 1.0, 13.0, 327.944334, 319.266013, 33.21774, -2, 57\n")
+    f.write_text("8, 2.0, 21.0, 4.25, 5.5, 6.75, 0, 3\n\n8, 2.0, , , , , 0, 3\n8, 2.0, 17.0, 1.5, 2.5, 3.5, -2, 3\n")
     rows = tracks_csv.read_tracks(spark, str(f))
     got = tracks.summary(tracks.segmented(rows)).orderBy("segment_index").collect()
-    assert [(r.track_id, r.parent_id, r.time_start, r.amp_min) for r in got] == [("track-set-1:36", None, 50.0, 0.0), ("track-set-1:36-1", "track-set-1:36", 13.0, 0.0)]
+    assert [(r.track_id, r.parent_id, r.time_start, r.amp_min) for r in got] == [("track-set-1:8", None, 21.0, 0.0), ("track-set-1:8-1", "track-set-1:8", 17.0, 0.0)]
 
 
 def test_track_csv_with_a_header(spark, tmp_path):
@@ -63,7 +63,8 @@ def test_regions_and_measurements(spark, tmp_path):
     got = storage.read_rois(spark, str(tmp_path / "r.json")).orderBy("roi_order").collect()
     assert [(r.id, r.name, r.shape, r.mode) for r in got] == [("r1", "r1", "ellipse", "3d"), ("r2", "two", "rectangle", "2d")]
     storage.write_measurements(spark.createDataFrame([('say "x"', 1.5)], "name string, mean double"), str(tmp_path / "m"))
-    body = next((tmp_path / "m").glob("part-*.csv")).read_text().splitlines()
+    (part,) = (tmp_path / "m").glob("part-*.csv")
+    body = part.read_text().splitlines()
     assert body == ['"name","mean"', '"say ""x""","1.5"']
 
 
@@ -77,3 +78,36 @@ def test_manifests(spark, tmp_path):
     assert [r.width for r in both.collect()] == [8]
     storage.write_manifest(both.drop("format"), str(tmp_path / "out"))
     assert storage.read_manifest(spark, str(tmp_path / "out")).first().width == 8
+
+
+def test_regions_are_saved(spark, tmp_path):
+    rows = [(k, f"r{k}", f"name {k}", "ellipse", "3d", "#0f0f0f", (0.0, 1.0, float(k)), (2.0, 3.0, 4.0)) for k in range(4)]
+    rois = spark.createDataFrame(rows, "roi_order int, id string, name string, shape string, mode string, color string, start struct<x:double,y:double,z:double>, `end` struct<x:double,y:double,z:double>")
+    storage.write_rois(rois.repartition(3), str(tmp_path / "rois"))
+    assert sorted(map(tuple, storage.read_rois(spark, str(tmp_path / "rois")).collect())) == sorted(map(tuple, rois.collect()))
+
+
+def test_tracks_masks_and_labels(spark, tmp_path):
+    points = spark.createDataFrame([(1, 0, 0.5, 1.25, 2.0, 3.0, 4.0)], "source_track_id long, segment_index int, time double, x double, y double, z double, amplitude double")
+    storage.write_tracks(points, str(tmp_path / "t"))
+    assert storage.read_tracks(spark, str(tmp_path / "t")).collect() == points.collect()
+    mask = spark.createDataFrame([("a", 0, 0, 0, x, x > 1) for x in range(4)], "layer_key string, scale int, z int, y int, x int, masked boolean")
+    storage.write_mask(mask, str(tmp_path / "m"))
+    assert sorted(r.x for r in spark.read.parquet(str(tmp_path / "m")).collect()) == [2, 3]
+    labels = spark.createDataFrame([(0, 0, 0, x, x % 3) for x in range(9)], "t int, z int, y int, x int, label long")
+    storage.write_labels(labels, str(tmp_path / "l"), (4, 4, 4))
+    assert spark.read.parquet(str(tmp_path / "l" / "voxels")).count() == 6
+    assert {(r.label, r.n_voxels) for r in spark.read.parquet(str(tmp_path / "l" / "labels")).collect()} == {(1, 3), (2, 3)}
+    assert spark.read.parquet(str(tmp_path / "l" / "directory")).count() == 3
+
+
+def test_tiff_channels_and_probe(spark, tmp_path):
+    stack = np.arange(4 * 2 * 3).reshape(4, 2, 3).astype("uint8")
+    (tmp_path / "c1.tif").write_bytes(tiff.encode(stack, "ImageJ=1\nimages=4\nchannels=2\nslices=2\nhyperstack=true"))
+    got = {(r.z, r.y, r.x, r.channel): r.value for r in tiff.channel_voxels_of(tiff.read_pages(spark, str(tmp_path))).collect()}
+    assert got == {(p // 2, y, x, p % 2): float(stack[p, y, x]) for p in range(4) for y in range(2) for x in range(3)}
+    r = tiff.probe(spark, str(tmp_path)).first()
+    assert (r.pages, r.width, r.height, r.data_type) == (4, 3, 2, "uint8")
+    (tmp_path / "d1.tif").write_bytes(tiff.encode(stack[:1, :1]))
+    with pytest.raises(Exception, match="another shape"):
+        tiff.voxels_of(tiff.read_pages(spark, str(tmp_path)), "single-3d-volume").collect()

@@ -48,10 +48,11 @@ def file_base(text: Column, fallback: str = "channel-export") -> Column:
     return F.when(t != "", t).otherwise(fallback)
 
 
-def natural_key(name: Column, width: int = 12) -> Column:
-    """Sorts like people do: case aside, runs of digits by their number."""
+def natural_key(name: Column) -> Column:
+    """Sorts like people do: case aside, runs of digits by their number, which its count of digits leads (up to 9,999)."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), width, "0")).otherwise(p)), "")
+    digits = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 4, "0"), digits(p))).otherwise(p)), "")
 
 
 def zero_based(timepoint: Column) -> Column:

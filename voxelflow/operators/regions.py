@@ -60,8 +60,8 @@ def line_points(rois: DataFrame) -> DataFrame:
 
 def line_profile(voxels: DataFrame, rois: DataFrame, dims: tuple[int, int, int], t: int = 0) -> DataFrame:
     """roi_order, step and the interpolated value along each line."""
-    points = line_points(rois).withColumn("point_id", F.col("roi_order") * 1_000_000 + F.col("step")).withColumn("t", F.lit(t))
-    return trilinear(voxels, points, dims).select(F.floor(F.col("point_id") / 1_000_000).cast("int").alias("roi_order"), F.pmod("point_id", F.lit(1_000_000)).alias("step"), "value")
+    points = line_points(rois).withColumn("point_id", F.shiftleft(F.col("roi_order").cast("long"), 32) + F.col("step")).withColumn("t", F.lit(t))
+    return trilinear(voxels, points, dims).select(F.shiftright("point_id", 32).cast("int").alias("roi_order"), F.col("point_id").bitwiseAND((1 << 32) - 1).alias("step"), "value")
 
 
 def measure(voxels: DataFrame, rois: DataFrame, dims: tuple[int, int, int], t: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import half_up
+from .intensity import windowed
 
 AXES = ("z", "y", "x")
 
@@ -70,6 +71,19 @@ def project_max(codes: DataFrame) -> DataFrame:
     return codes.groupBy("t", "y", "x").agg(F.max("code").alias("code"))
 
 
+def project_windowed(codes: DataFrame, low: float, high: float, invert: bool = False, top: int = 255) -> DataFrame:
+    """Maximum intensity along z through a contrast window; inverted after the maximum is taken."""
+    shown = windowed(F.col("code") / float(top), low, high)
+    most = F.max(shown)
+    return codes.groupBy("t", "y", "x").agg((1 - most if invert else most).alias("shown"))
+
+
+def project_surface(codes: DataFrame, low: float, high: float, threshold: float, invert: bool = False, top: int = 255) -> DataFrame:
+    """The first voxel along z whose windowed, and perhaps inverted, value is over a threshold: z and shown."""
+    shown = codes.select("t", "z", "y", "x", windowed(F.col("code") / float(top), low, high, invert).alias("shown"))
+    return shown.where(F.col("shown") > threshold).groupBy("t", "y", "x").agg(F.min("z").alias("z"), F.min_by("shown", "z").alias("shown"))
+
+
 def project_first_above(codes: DataFrame, threshold: int) -> DataFrame:
     """The first voxel along z over a threshold: y, x, depth and code."""
     return codes.where(F.col("code") > threshold).groupBy("t", "y", "x").agg(F.min("z").alias("z"), F.min_by("code", "z").alias("code"))
@@ -80,17 +94,19 @@ def absorption(value: Column, cut: float, density: float, step: float = 1.0) ->
     return 1 - F.exp(-sigma * step)
 
 
-def project_absorbed(codes: DataFrame, cut: float, density: float) -> DataFrame:
+def project_absorbed(codes: DataFrame, cut: float, density: float, opacity: float = 1.0) -> DataFrame:
     """Front-to-back compositing along z: colour and opacity of each ray.
 
     What reaches a voxel is the product of the transmittances before it; as a
-    running sum of logarithms it is an ordinary window over one ray.
+    running sum of logarithms it is an ordinary window over one ray.  Behind a
+    voxel that lets nothing through, nothing counts: its logarithm is minus infinity.
     """
     value = F.col("code") / 255.0
-    a = absorption(value, cut, density)
+    a = absorption(value, cut, density * opacity)
+    log = F.when(F.col("a") >= 1, F.lit(float("-inf"))).otherwise(F.log1p(-F.col("a")))
     w = Window.partitionBy("t", "y", "x").orderBy("z").rowsBetween(Window.unboundedPreceding, -1)
-    lit = codes.select("t", "z", "y", "x", value.alias("value"), a.alias("a")).withColumn("before", F.exp(F.coalesce(F.sum(F.log1p(-F.col("a"))).over(w), F.lit(0.0))))
-    return lit.groupBy("t", "y", "x").agg(F.sum(F.col("before") * F.col("a") * F.col("value")).alias("color"), (1 - F.exp(F.sum(F.log1p(-F.col("a"))))).alias("alpha"))
+    lit = codes.select("t", "z", "y", "x", value.alias("value"), a.alias("a")).withColumn("before", F.exp(F.coalesce(F.sum(log).over(w), F.lit(0.0))))
+    return lit.groupBy("t", "y", "x").agg(F.sum(F.col("before") * F.col("a") * F.col("value")).alias("color"), (1 - F.exp(F.sum(log))).alias("alpha"))
 
 
 def first_label(labels: DataFrame) -> DataFrame:

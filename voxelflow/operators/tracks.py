@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intensity import finite
+
 EPSILON = 1e-3
 
 
@@ -33,7 +35,7 @@ def summary(points: DataFrame, track_set: str = "track-set-1") -> DataFrame:
     Ids and offsets need one order over all segments, which a window without
     partitions gives; it sees a row for each segment, never points.
     """
-    amplitude = F.when(~F.isnan("amplitude"), F.col("amplitude"))
+    amplitude = finite(F.col("amplitude"))
     per = points.groupBy("source_track_id", "segment_index").agg(
         F.min("row_idx").alias("first_row"), F.count("*").alias("point_count"), F.min("time").alias("time_start"), F.max("time").alias("time_end"), F.min(amplitude).alias("amp_min"), F.max(amplitude).alias("amp_max")
     )
@@ -97,7 +99,9 @@ def smoothed(points: DataFrame, sigma: float, columns: tuple[str, ...] = ("x", "
 
     radius = max(1, math.ceil(3 * sigma))
     w = Window.partitionBy("source_track_id", "segment_index").orderBy("point_idx").rowsBetween(-radius, radius)
-    ok = ~(F.isnan("x") | F.isnan("y") | F.isnan("z") | F.isnan("amplitude"))
+    ok = F.lit(True)
+    for c in ("x", "y", "z", "amplitude"):
+        ok = ok & finite(F.col(c)).isNotNull()
     near = p.withColumn("near", F.collect_list(F.when(ok, F.struct("point_idx", *columns))).over(w))
     weight = lambda n: F.exp(-F.pow((n["point_idx"] - F.col("point_idx")).cast("double"), 2) / (2 * sigma * sigma))
     total = F.aggregate("near", F.lit(0.0), lambda a, n: a + weight(n))

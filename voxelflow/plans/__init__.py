@@ -1 +1 @@
-"""Registered queries with their SQL, layout policies and validation rules."""
+"""Registered queries with their SQL and validation rules."""

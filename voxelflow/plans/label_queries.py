@@ -151,3 +151,17 @@ def largest_label(spark, d):
 def label_page_slots(spark, d):
     used = label_voxels(spark, d).groupBy("t", *bricks.brick_of(SIZE)).agg(F.count("*").alias("n_occupied"))
     return bricks.page_table(used, LABEL_DIMS, SIZE)
+
+
+@query("has_label", f"{LAB} SELECT n_nationkey AS label, EXISTS (SELECT 1 FROM lab WHERE label = n_nationkey * 3) AS found FROM nation")
+def has_label(spark, d):
+    """Whether there is any voxel of a label, for a list of labels."""
+    wanted = table(spark, d, "nation").select(F.col("n_nationkey").alias("label"), (F.col("n_nationkey") * 3).cast("long").alias("key"))
+    there = label_voxels(spark, d).select(F.col("label").alias("key")).distinct().withColumn("there", F.lit(True))
+    return wanted.join(there, "key", "left").select("label", F.coalesce("there", F.lit(False)).alias("found"))
+
+
+@query("strict_labels", "SELECT l_orderkey, l_linenumber, (l_orderkey * 7 + l_linenumber)::BIGINT AS label FROM lineitem")
+def strict_labels(spark, d):
+    rows = table(spark, d, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", labels.strict_label((F.col("l_orderkey") * 7 + F.col("l_linenumber")).cast("double")).alias("label"))

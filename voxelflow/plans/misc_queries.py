@@ -1,4 +1,4 @@
-"""Queries for scalar functions, catalogues, validation and layout choices."""
+"""Queries for scalar functions, catalogues and validation."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scales, text
 from ..sources.adapters import table
-from . import policies, validation
+from . import validation
 from .registry import query, r6
 
 
@@ -338,39 +338,25 @@ def timepoint_violations(spark, d):
     return validation.equal_timepoints(table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("timepoints")))
 
 
-# layout choices
+@query("scale_levels", "SELECT DISTINCT o_orderpriority[1]::INT - 1 AS scale FROM orders ORDER BY 1")
+def scale_levels(spark, d):
+    """The distinct scale levels in use, in order."""
+    return table(spark, d, "orders").select((F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("scale")).distinct().orderBy("scale")
 
 
-@query("layout_choices")
-def layout_choices(spark, d):
-    """Dense or bricks for a range of fill ratios: a report of a plain function."""
-    rows = [(n, policies.choose_layout(48, 96 * 96 * 48, 16 * 64 * 64, 16, n, 12)) for n in range(13)]
-    return spark.createDataFrame(rows, "occupied int, layout string")
-
-
-@query("scale_choices")
-def scale_choices(spark, d):
-    factors = {k: (2**k,) * 3 for k in range(6)}
-    rows = [(p / 20, policies.choose_scale(factors, p / 20), policies.choose_scale(factors, p / 20, fast=True), policies.choose_scale(factors, p / 20, playing=True)) for p in range(1, 31)]
-    return spark.createDataFrame(rows, "pixels double, scale int, fast_scale int, playing_scale int")
-
-
-@query("chunk_plans")
-def chunk_plans(spark, d):
-    rows = []
-    for z, y, x in ((48, 96, 96), (1, 512, 512), (300, 2048, 2048)):
-        for size in (1, 2):
-            chunk = policies.chunk_shape((z, y, x), size)
-            shard = policies.shard_shape((10, z, y, x), (1, *chunk), size, 8 << 20, 8, frozen=0)
-            rows.append((z, y, x, size, list(chunk), list(shard)))
-    return spark.createDataFrame(rows, "depth int, height int, width int, bytes int, chunk array<int>, shard array<int>")
-
-
-@query("prefetch_budgets")
-def prefetch_budgets(spark, d):
-    return spark.createDataFrame([(n, *policies.class_budgets(n)) for n in range(1, 17)], "in_flight int, now int, soon int, perhaps int")
+@query("natural_order_long", "SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_partkey % 2 = 0 THEN 20240101000000 + p_partkey ELSE 9000000000000 - p_partkey END) AS place FROM part")
+def natural_order_long(spark, d):
+    """Names with time stamps of thirteen and fourteen digits; one row a file."""
+    k = F.col("p_partkey")
+    stamp = F.when(k % 2 == 0, F.lit(20240101000000) + k).otherwise(F.lit(9000000000000) - k)
+    p = table(spark, d, "part").select("p_partkey", text.natural_key(F.concat(F.lit("f"), stamp.cast("string"), F.lit(".tif"))).alias("k"))
+    return p.select("p_partkey", F.row_number().over(Window.orderBy("k")).cast("long").alias("place"))
 
 
-@query("playback_steps")
-def playback_steps(spark, d):
-    return spark.createDataFrame([(t, policies.next_timepoint(t, 20), policies.next_timepoint(t, 20, (12, 5))) for t in range(20)], "t int, following int, following_in_window int")
+@query("warm_up_frames", "SELECT o_orderkey, o_custkey % 40 AS frame, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(target, 1000000), o_orderkey) AS place FROM orders LEFT JOIN (SELECT n_nationkey AS frame_key, n_nationkey * 7 % 25 AS target FROM nation) ON o_custkey % 40 = frame_key")
+def warm_up_frames(spark, d):
+    """Frames in the order of a target list, those that it lacks last."""
+    targets = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("frame"), (F.col("n_nationkey") * 7 % 25).alias("target"))
+    frames = table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_custkey") % 40).alias("frame")).join(F.broadcast(targets), "frame", "left")
+    w = Window.partitionBy("o_custkey").orderBy(F.coalesce("target", F.lit(1_000_000)), "o_orderkey")
+    return frames.select("o_orderkey", "frame", F.row_number().over(w).cast("long").alias("place"))

@@ -366,6 +366,31 @@ def project_absorbed(spark, d):
     return rounded(sampling.project_absorbed(codes(spark, d), 0.4, 0.3), "color", "alpha")
 
 
+SHOWN = "greatest(0.0, least(1.0, (code / 255.0::DOUBLE - 0.2) / 0.6))"
+
+
+@query("project_windowed", f"{COD} SELECT t, y, x, round(1 - max({SHOWN}), 6) AS shown FROM cod GROUP BY ALL")
+def project_windowed(spark, d):
+    return rounded(sampling.project_windowed(codes(spark, d), 0.2, 0.8, invert=True), "shown")
+
+
+@query("project_surface", f"{COD}, s AS (SELECT t, z, y, x, 1 - {SHOWN} AS shown FROM cod) SELECT t, y, x, min(z) AS z, round(arg_min(shown, z), 6) AS shown FROM s WHERE shown > 0.75 GROUP BY ALL")
+def project_surface(spark, d):
+    return rounded(sampling.project_surface(codes(spark, d), 0.2, 0.8, 0.75, invert=True), "shown")
+
+
+@query(
+    "project_opaque",
+    f"""{COD}, a AS (SELECT t, z, y, x, code / 255.0::DOUBLE AS v, 1 - exp(-greatest(0.0, least(1.0, (code / 255.0::DOUBLE - 0.4) / (1 - 0.4))) * 2500.0) AS a FROM cod),
+    l AS (SELECT *, CASE WHEN a >= 1 THEN '-inf'::DOUBLE ELSE ln(1 - a) END AS l FROM a),
+    b AS (SELECT *, exp(coalesce(sum(l) OVER (PARTITION BY t, y, x ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS before FROM l)
+    SELECT t, y, x, round(sum(before * a * v), 6) AS color, round(1 - exp(sum(l)), 6) AS alpha FROM b GROUP BY t, y, x""",
+)
+def project_opaque(spark, d):
+    """Rays with voxels that let nothing through."""
+    return rounded(sampling.project_absorbed(codes(spark, d), 0.4, 5000.0, opacity=0.5), "color", "alpha")
+
+
 @query(
     "slice_render",
     f"""{COD} SELECT y, x, round(greatest(0.0, least(1.0, (code / 255.0::DOUBLE - 0.2) / 0.6)), 6) AS shown, round(greatest(0.05, greatest(0.0, least(1.0, (code / 255.0::DOUBLE - 0.2) / 0.6))), 6) AS alpha FROM cod WHERE z = 7""",

@@ -13,8 +13,12 @@ FILE_ROWS = 20_000_000
 
 
 def write_volume(codes: DataFrame, path: str) -> None:
-    """layer_key, scale, t and voxels or bricks; readers of a scale or a timepoint open its folder alone."""
-    (codes.repartition("layer_key", "scale", "t").sortWithinPartitions("layer_key", "scale", "t", "z", "y", "x").write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("layer_key", "scale", "t").parquet(path))
+    """layer_key, scale, t and voxels; readers of a scale or a timepoint open its folder alone.
+
+    Rows are dealt by blocks of 128 x 512 x 512 voxels inside a timepoint, so that a large one is many tasks.
+    """
+    block = [F.floor(F.col(c) / n) for c, n in (("z", 128), ("y", 512), ("x", 512))]
+    (codes.repartition("layer_key", "scale", "t", *block).sortWithinPartitions("layer_key", "scale", "t", "z", "y", "x").write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("layer_key", "scale", "t").parquet(path))
 
 
 def read_volume(spark: SparkSession, path: str, layer_key: str, scale: int = 0, t: int | None = None) -> DataFrame:
@@ -27,6 +31,34 @@ def write_tracks(points: DataFrame, path: str) -> None:
     points.withColumns({c: F.col(c).cast("float") for c in ("time", "x", "y", "z", "amplitude")}).write.mode("overwrite").parquet(path)
 
 
+def read_tracks(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_tracks`` has stored, as doubles again."""
+    rows = spark.read.parquet(path)
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("time", "x", "y", "z", "amplitude")})
+
+
+def write_mask(mask: DataFrame, path: str) -> None:
+    """The background of a layer: layer_key, scale, z, y, x of the voxels that are masked."""
+    mask.where("masked").select("layer_key", "scale", "z", "y", "x").write.mode("overwrite").partitionBy("layer_key", "scale").parquet(path)
+
+
+def write_labels(labels: DataFrame, path: str, size: tuple[int, int, int]) -> None:
+    """A sparse label layer as three tables: its voxels, its brick directory, and a row for each label."""
+    from ..operators import labels as ops
+
+    labels.where("label <> 0").write.mode("overwrite").partitionBy("t").parquet(f"{path}/voxels")
+    stored = labels.sparkSession.read.parquet(f"{path}/voxels")
+    ops.brick_directory(stored, size).write.mode("overwrite").parquet(f"{path}/directory")
+    ops.label_stats(stored).write.mode("overwrite").parquet(f"{path}/labels")
+
+
+def write_rois(rois: DataFrame, path: str) -> None:
+    """Regions, in order, as one JSON document; a region list is short and becomes one row."""
+    columns = [c for c in rois.columns if c != "roi_order"]
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("roi_order", *columns))), lambda r: F.struct(*(r[c].alias(c) for c in columns)))
+    rois.agg(listed.alias("rois")).coalesce(1).write.mode("overwrite").json(path)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """One row a layer; a file that doesn't fit the schema is an error."""
     m = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -52,5 +84,8 @@ def read_rois(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_measurements(rows: DataFrame, path: str) -> None:
-    """A CSV file with every cell quoted and quotes doubled."""
-    rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    """One CSV file with every cell quoted and quotes doubled, rows as they come.
+
+    A row for each region and channel: a short table, which one task writes.
+    """
+    rows.coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)

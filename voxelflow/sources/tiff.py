@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 #: Bytes of each TIFF field type.
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8}
-MOST_BYTES = 5 << 30
 PAGES = "path string, page int, width int, height int, data_type string, description string, vmin double, vmax double, pixels array<double>"
 
 
@@ -24,8 +23,8 @@ class TiffError(ValueError):
     pass
 
 
-def pages(data: bytes) -> Iterator[tuple[np.ndarray, str]]:
-    """The pages of a stack, and each one's description."""
+def directories(data: bytes) -> Iterator[dict]:
+    """Each page's width, height, data type, description and where its strips lie, without its pixels."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise TiffError("no TIFF file")
@@ -41,16 +40,21 @@ def pages(data: bytes) -> Iterator[tuple[np.ndarray, str]]:
                 tags[tag] = (data[place : place + n].rstrip(b"\0").decode("latin-1"),)
             elif kind in (1, 3, 4):
                 tags[tag] = struct.unpack_from(order + {1: "B", 3: "H", 4: "I"}[kind] * n, data, place)
-        width, height = tags[256][0], tags[257][0]
         bits, form = tags.get(258, (1,))[0], tags.get(339, (1,))[0]
         if tags.get(259, (1,))[0] != 1 or tags.get(277, (1,))[0] != 1 or bits not in (8, 16, 32):
             raise TiffError("only uncompressed gray pages of 8, 16 or 32 bits are read")
-        kind = {1: "u", 2: "i", 3: "f"}[form] + str(bits // 8)
-        body = b"".join(data[o : o + n] for o, n in zip(tags[273], tags[279], strict=True))
-        yield np.frombuffer(body, order + kind).reshape(height, width), tags.get(270, ("",))[0]
+        name = {1: "uint", 2: "int", 3: "float"}[form] + str(bits)
+        yield {"width": tags[256][0], "height": tags[257][0], "data_type": name, "order": order, "strips": list(zip(tags[273], tags[279], strict=True)), "description": tags.get(270, ("",))[0]}
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * count)
 
 
+def pages(data: bytes) -> Iterator[tuple[np.ndarray, str]]:
+    """The pages of a stack, and each one's description."""
+    for d in directories(data):
+        body = b"".join(data[o : o + n] for o, n in d["strips"])
+        yield np.frombuffer(body, np.dtype(d["data_type"]).newbyteorder(d["order"])).reshape(d["height"], d["width"]), d["description"]
+
+
 def encode(stack: np.ndarray, description: str = "") -> bytes:
     """A little-endian stack of gray pages: pages x height x width."""
     kind = {"u": 1, "i": 2, "f": 3}[stack.dtype.kind]
@@ -73,7 +77,10 @@ def encode(stack: np.ndarray, description: str = "") -> bytes:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each page with its pixels and their range; a constant page gets vmax = vmin + 1."""
+    """A row for each page with its pixels and their range; a constant page gets vmax = vmin + 1.
+
+    A file over 2 GiB, the most that a row can hold, is an error.
+    """
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -85,7 +92,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
                     names = {"u": "uint", "i": "int", "f": "float"}
                     yield pd.DataFrame({"path": [name], "page": [k], "width": [page.shape[1]], "height": [page.shape[0]], "data_type": [names[page.dtype.kind] + str(page.dtype.itemsize * 8)], "description": [text], "vmin": [low], "vmax": [high if high > low else low + 1], "pixels": [v.ravel()]})
 
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MOST_BYTES)
+    files = spark.read.format("binaryFile").load(path)
     return files.select("path", "content").mapInPandas(decode, PAGES)
 
 
@@ -98,10 +105,41 @@ def hyperstack(description):
     return F.when(ok, F.struct(c.alias("channels"), z.alias("slices"), t.alias("frames")))
 
 
-def voxels_of(page_rows: DataFrame, interpretation: str = "3d-movie") -> DataFrame:
+def channel_layout(description, samples_per_pixel: int = 1):
+    """Channels and slices of a stack whose pages are channels (one frame, several channels); null where they aren't."""
+    h = hyperstack(description)
+    return F.when((h["frames"] == 1) & (h["channels"] > 1) & F.lit(samples_per_pixel == 1), F.struct(h["channels"].alias("channels"), h["slices"].alias("slices")))
+
+
+def channel_voxels_of(page_rows: DataFrame) -> DataFrame:
+    """Files as t, and pages as channel and z by the stack's description (page = z * channels + channel): t, z, y, x, channel, value.
+
+    A file whose description names no channels has channel 0 alone.
+    """
+    first = page_rows.where("page = 0").select("path", channel_layout(F.col("description")).alias("layout"))
+    v = voxels_of(page_rows, "3d-movie", keep=("path",)).join(F.broadcast(first), "path")
+    n = F.coalesce(F.col("layout.channels"), F.lit(1))
+    return v.select("t", F.floor(F.col("z") / n).cast("int").alias("z"), "y", "x", F.pmod("z", n).cast("int").alias("channel"), "value")
+
+
+def probe(spark: SparkSession, path: str) -> DataFrame:
+    """path, pages, width, height, data_type and description of each file, from its directories; pixels are not decoded."""
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                found = list(directories(bytes(content)))
+                first = found[0]
+                yield pd.DataFrame({"path": [name], "pages": [len(found)], "width": [first["width"]], "height": [first["height"]], "data_type": [first["data_type"]], "description": [first["description"]]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(look, "path string, pages int, width int, height int, data_type string, description string")
+
+
+def voxels_of(page_rows: DataFrame, interpretation: str = "3d-movie", keep: tuple[str, ...] = ()) -> DataFrame:
     """file order t, page z (3d-movie); page as t (2d-movie); or files as z (single-3d-volume): t, z, y, x, value.
 
-    Files are numbered by name; there are far fewer of them than voxels.
+    Files are numbered by name; there are far fewer of them than voxels.  Pages
+    of files that become one volume must have one shape.
     """
     from pyspark.sql import Window
 
@@ -109,6 +147,11 @@ def voxels_of(page_rows: DataFrame, interpretation: str = "3d-movie") -> DataFra
 
     files = page_rows.select("path").distinct().select("path", (F.row_number().over(Window.orderBy(natural_key(F.col("path")))) - 1).alias("file_no"))
     p = page_rows.join(F.broadcast(files), "path")
+    if interpretation == "single-3d-volume":
+        shape = page_rows.agg(F.first("width").alias("w0"), F.first("height").alias("h0"))
+        same = (F.col("width") == F.col("w0")) & (F.col("height") == F.col("h0")) & (F.col("page") == 0)
+        wrong = F.raise_error(F.concat(F.lit("another shape, or several pages: "), F.col("path"))).cast("int")
+        p = p.join(F.broadcast(shape)).withColumn("width", F.when(same, F.col("width")).otherwise(wrong))
     t, z = {"3d-movie": ("file_no", "page"), "2d-movie": ("page", None), "single-3d-volume": (None, "file_no")}[interpretation]
     column = lambda c, name: (F.col(c) if c else F.lit(0)).cast("int").alias(name)
-    return p.select(column(t, "t"), column(z, "z"), "width", F.posexplode("pixels").alias("i", "value")).select("t", "z", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), F.pmod("i", "width").alias("x"), "value")
+    return p.select(*keep, column(t, "t"), column(z, "z"), "width", F.posexplode("pixels").alias("i", "value")).select(*keep, "t", "z", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), F.pmod("i", "width").alias("x"), "value")
