@@ -29,7 +29,7 @@ NULL_ID = -(1 << 63)
 N_BITS = 8
 START = 2 * N_BITS
 KEY, SIG = Roller(101), Roller(202)
-BLOCK, SPAN = 1 << 20, 4 << 20
+BLOCK, SPAN = 1 << 19, 1 << 20
 PLACE = ["born", "doc_id", "sub", "at"]
 PLACE_TYPE = pa.struct([("born", pa.int32()), ("doc_id", pa.int64()), ("sub", pa.int64()), ("at", pa.int64())])
 PLACES_SQL = "more array<struct<born:int,doc_id:long,sub:long,at:long>>"
