@@ -95,3 +95,92 @@ def hsl(hue: Column, saturation: float, lightness: float) -> list[Column]:
     """Red, green and blue bytes of a hue in degrees, by lightness."""
     value = lightness + saturation * min(lightness, 1 - lightness)
     return hsv(hue, 0.0 if value == 0 else 2 * (1 - lightness / value), value)
+
+
+def slider_steps(low: float, high: float, shown: float | None = None) -> int:
+    """How many places the contrast sliders of a value range have; a narrow window in a wide range gets more."""
+    span = max(high - low, 0.0)
+    n = int(span + 0.5) if 0 < span < float("inf") else 256
+    n = n or 256
+    if 640 < n < 1280:
+        n = int(n / 2 + 0.5)
+    elif n >= 1280:
+        n = int(n / 5 + 0.5)
+    if shown is not None and span >= 1280 and shown / span < 0.25:
+        n = int(n * 1.6666 + 0.5)
+    return max(256, min(1024, n))
+
+
+def fitted_window(a: Column, b: Column, low: float, high: float, narrowest: float = 1e-4) -> tuple[Column, Column]:
+    """A window's ends in order, inside the value range and not narrower than it may be."""
+    least = min(narrowest, high - low)
+    inside = lambda c: F.greatest(F.lit(low), F.least(F.lit(high), c))
+    start, end = inside(F.least(a, b)), inside(F.greatest(a, b))
+    middle = F.greatest(F.lit(low), F.least(F.lit(high - least), (start + end) / 2 - least / 2))
+    tight = end - start < least
+    return F.when(tight, middle).otherwise(start), F.when(tight, middle + least).otherwise(end)
+
+
+def slider_places(start: Column, end: Column, low: float, high: float, steps: int) -> dict[str, Column]:
+    """Where the four sliders of a window stand: its ends, brightness (falls with the middle) and contrast (grows as it narrows)."""
+    span, half = high - low, steps / 2
+    at = lambda c, most: F.greatest(F.lit(0), F.least(F.lit(most), F.floor(c + 0.5))).cast("int")
+    if not span > 0:
+        return {"low": F.lit(0), "high": F.lit(0), "brightness": F.lit(0), "contrast": F.lit(steps)}
+    share = (end - start) / span
+    contrast = F.when(share <= 0, float(steps)).when(share < 1, steps - share * half).otherwise(half / share)
+    middle = start + (end - start) / 2
+    return {"low": at((start - low) / span * (steps - 1), steps - 1), "high": at((end - low) / span * (steps - 1), steps - 1), "brightness": at((high - middle) / span * steps, steps), "contrast": at(contrast, steps)}
+
+
+def at_brightness(start: Column, end: Column, place: Column, low: float, high: float, steps: int) -> tuple[Column, Column]:
+    """The window moved, at its width, to where a brightness slider stands."""
+    middle = low + (high - low) * (steps - place) / steps
+    half = (end - start) / 2
+    return fitted_window(middle - half, middle + half, low, high)
+
+
+def at_contrast(start: Column, end: Column, place: Column, low: float, high: float, steps: int) -> tuple[Column, Column]:
+    """The window widened or narrowed about its middle; the sliders' ends leave it as it is."""
+    half = steps / 2
+    slope = F.when(place <= half, place / half).when(place < steps, half / F.nullif(steps - place, F.lit(0)))
+    middle, reach = start + (end - start) / 2, 0.5 * (high - low) / F.nullif(slope, F.lit(0.0))
+    return fitted_window(F.coalesce(middle - reach, start), F.coalesce(middle + reach, end), low, high)
+
+
+def node_bounds(place: Column, size: int, chunk: int, level: Column, nodes: Column) -> dict[str, Column]:
+    """Along one axis, the hierarchy node that holds a place: its number, first voxel and end."""
+    width = chunk * F.pow(F.lit(2.0), level)
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(max(size - 1e-3, 0.0)), place))
+    number = F.greatest(F.lit(0), F.least(nodes - 1, F.floor(inside / width)))
+    return {"node": number.cast("int"), "first": number * width, "end": F.least((number + 1) * width, F.lit(float(size)))}
+
+
+def steps_to_exit(place: Column, step: Column, first: Column, end: Column) -> Column:
+    """Steps of a ray until it leaves a node along one axis; null where it stands still there."""
+    return F.when(step > 1e-6, (end - place) / step).when(step < -1e-6, (first - place) / step)
+
+
+M32 = 0xFFFFFFFF
+#: Fixed value of the seeded generator: its step, which also replaces a zero seed.
+SEED_STEP = 0x6D2B79F5
+
+
+def product32(a: Column, b: Column) -> Column:
+    """The low 32 bits of a product of unsigned 32-bit numbers, by halves, so that no long overflows."""
+    upper = (a * F.shiftright(b, 16)).bitwiseAND(0xFFFF)
+    return (a * b.bitwiseAND(0xFFFF) + F.shiftleft(upper, 16)).bitwiseAND(M32)
+
+
+def seeded_share(seed: Column, turn: Column) -> Column:
+    """The turn-th number in [0, 1) of a seeded generator; its state is a sum, so each turn is computed by itself."""
+    start = F.when(seed == 0, F.lit(SEED_STEP)).otherwise(seed).cast("long")
+    s = (start + turn.cast("long") * SEED_STEP).bitwiseAND(M32)
+    t = product32(s.bitwiseXOR(F.shiftright(s, 15)), s.bitwiseOR(F.lit(1)))
+    t = t.bitwiseXOR((t + product32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(M32))
+    return t.bitwiseXOR(F.shiftright(t, 14)) / 4294967296.0
+
+
+def label_palette(seed: Column, label: Column) -> list[Column]:
+    """Red, green and blue of a label in a seeded palette; label 0 is black."""
+    return [F.when(label == 0, 0).otherwise(c) for c in hsv(seeded_share(seed, label) * 360, 1.0, 1.0)]

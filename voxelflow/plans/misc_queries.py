@@ -360,3 +360,123 @@ def warm_up_frames(spark, d):
     frames = table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_custkey") % 40).alias("frame")).join(F.broadcast(targets), "frame", "left")
     w = Window.partitionBy("o_custkey").orderBy(F.coalesce("target", F.lit(1_000_000)), "o_orderkey")
     return frames.select("o_orderkey", "frame", F.row_number().over(w).cast("long").alias("place"))
+
+
+FITTED = """w AS (SELECT event_id, greatest(0::DOUBLE, least(100::DOUBLE, value - 10)) AS a, greatest(0::DOUBLE, least(100::DOUBLE, value + event_id % 30 - 10)) AS b FROM events),
+    f AS (SELECT event_id, CASE WHEN b - a < 1e-4 THEN greatest(0::DOUBLE, least(100 - 1e-4, (a + b) / 2 - 5e-5)) ELSE a END AS lo, CASE WHEN b - a < 1e-4 THEN greatest(0::DOUBLE, least(100 - 1e-4, (a + b) / 2 - 5e-5)) + 1e-4 ELSE b END AS hi FROM w)"""
+
+
+def _windows(spark, d):
+    start, end = scales.fitted_window(F.col("value") - 10, F.col("value") + F.col("event_id") % 30 - 10, 0.0, 100.0)
+    return table(spark, d, "events").select("event_id", start.alias("lo"), end.alias("hi"))
+
+
+@query(
+    "slider_places",
+    f"""WITH {FITTED}, s AS (SELECT *, (hi - lo) / 100 AS share FROM f)
+    SELECT event_id, least(255, floor(lo / 100 * 255 + 0.5))::INT AS low, least(255, floor(hi / 100 * 255 + 0.5))::INT AS high, least(256, floor((100 - (lo + (hi - lo) / 2)) / 100 * 256 + 0.5))::INT AS brightness,
+        least(256, floor(CASE WHEN share < 1 THEN 256 - share * 128 ELSE 128 / share END + 0.5))::INT AS contrast FROM s""",
+)
+def slider_places(spark, d):
+    """Where the sliders of each contrast window stand."""
+    places = scales.slider_places(F.col("lo"), F.col("hi"), 0.0, 100.0, scales.slider_steps(0.0, 100.0))
+    return _windows(spark, d).select("event_id", *(c.alias(n) for n, c in places.items()))
+
+
+@query(
+    "moved_windows",
+    f"""WITH {FITTED}, m AS (SELECT event_id, lo, hi, event_id % 257 AS k, 100 * (256 - event_id % 257) / 256.0::DOUBLE AS c, CASE WHEN event_id % 257 <= 128 THEN event_id % 257 / 128.0::DOUBLE WHEN event_id % 257 < 256 THEN 128.0::DOUBLE / (256 - event_id % 257) END AS slope FROM f),
+    r AS (SELECT event_id, greatest(0::DOUBLE, c - (hi - lo) / 2) AS blo, least(100::DOUBLE, c + (hi - lo) / 2) AS bhi, greatest(0::DOUBLE, coalesce(lo + (hi - lo) / 2 - 50 / nullif(slope, 0), lo)) AS clo, least(100::DOUBLE, coalesce(lo + (hi - lo) / 2 + 50 / nullif(slope, 0), hi)) AS chi FROM m)
+    SELECT event_id, round(CASE WHEN bhi - blo < 1e-4 THEN greatest(0::DOUBLE, least(100 - 1e-4, (blo + bhi) / 2 - 5e-5)) ELSE blo END, 6) AS bright_low, round(CASE WHEN bhi - blo < 1e-4 THEN greatest(0::DOUBLE, least(100 - 1e-4, (blo + bhi) / 2 - 5e-5)) + 1e-4 ELSE bhi END, 6) AS bright_high,
+        round(clo, 6) AS contrast_low, round(chi, 6) AS contrast_high FROM r""",
+)
+def moved_windows(spark, d):
+    """Windows after a move of the brightness slider, and of the contrast slider."""
+    place, steps = F.col("event_id") % 257, scales.slider_steps(0.0, 100.0)
+    bright = scales.at_brightness(F.col("lo"), F.col("hi"), place, 0.0, 100.0, steps)
+    contrast = scales.at_contrast(F.col("lo"), F.col("hi"), place, 0.0, 100.0, steps)
+    named = zip(("bright_low", "bright_high", "contrast_low", "contrast_high"), (*bright, *contrast), strict=True)
+    return _windows(spark, d).select("event_id", *(r6(c).alias(n) for n, c in named))
+
+
+@query(
+    "skip_nodes",
+    """WITH p AS (SELECT event_id, value AS v, (event_id % 3 - 1) * 0.5::DOUBLE AS step, 16 * pow(2, event_id % 4) AS w FROM events), n AS (SELECT *, greatest(0, least(ceil(150 / w) - 1, floor(greatest(0, least(149.999::DOUBLE, v)) / w)))::INT AS node FROM p)
+    SELECT event_id, node, node * w AS first, least((node + 1) * w, 150) AS "end", round(CASE WHEN step > 0 THEN (least((node + 1) * w, 150) - v) / step WHEN step < 0 THEN (node * w - v) / step END, 6) AS steps FROM n""",
+)
+def skip_nodes(spark, d):
+    """The hierarchy node of each place along an axis of 150 voxels, and a ray's steps until it leaves it."""
+    level = F.col("event_id") % 4
+    b = scales.node_bounds(F.col("value"), 150, 16, level, F.ceil(150 / (16 * F.pow(F.lit(2.0), level))))
+    step = (F.col("event_id") % 3 - 1) * 0.5
+    return table(spark, d, "events").select("event_id", *(c.alias(n) for n, c in b.items()), r6(scales.steps_to_exit(F.col("value"), step, b["first"], b["end"])).alias("steps"))
+
+
+@query(
+    "label_palettes",
+    """WITH l AS (SELECT n_nationkey, unnest(range(64)) AS label FROM nation), s AS (SELECT *, (CASE WHEN n_nationkey = 0 THEN 1831565813 ELSE n_nationkey * 7919 END + label * 1831565813::BIGINT) & 4294967295 AS s FROM l),
+    a AS (SELECT *, ((xor(s, s >> 15)::HUGEINT * (s | 1)) % 4294967296)::BIGINT AS t FROM s), b AS (SELECT *, xor(t, (t + (xor(t, t >> 7)::HUGEINT * (t | 61)) % 4294967296)::BIGINT & 4294967295) AS u FROM a),
+    h AS (SELECT n_nationkey, label, xor(u, u >> 14) / 4294967296.0::DOUBLE * 6 AS hue FROM b), k AS (SELECT *, floor(hue)::INT AS k, 1 - abs(hue % 2 - 1) AS m FROM h)
+    SELECT n_nationkey, label::INT AS label, CASE WHEN label = 0 THEN 0 ELSE floor(CASE WHEN k IN (0, 5) THEN 1 WHEN k IN (1, 4) THEN m ELSE 0 END * 255 + 0.5)::INT END AS red, CASE WHEN label = 0 THEN 0 ELSE floor(CASE WHEN k IN (1, 2) THEN 1 WHEN k IN (0, 3) THEN m ELSE 0 END * 255 + 0.5)::INT END AS green,
+        CASE WHEN label = 0 THEN 0 ELSE floor(CASE WHEN k IN (3, 4) THEN 1 WHEN k IN (2, 5) THEN m ELSE 0 END * 255 + 0.5)::INT END AS blue FROM k""",
+)
+def label_palettes(spark, d):
+    """Colours of 64 labels in the palette of each seed."""
+    rows = table(spark, d, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("label"))
+    colours = scales.label_palette(F.col("n_nationkey").cast("long") * 7919, F.col("label"))
+    return rows.select("n_nationkey", "label", *(c.alias(n) for n, c in zip(("red", "green", "blue"), colours, strict=True)))
+
+
+@query("payload_order_violations", "SELECT 'payload-order' AS rule, l_orderkey || '/' || l_linenumber AS key FROM (SELECT *, lag(l_partkey % 70) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 70) AS p FROM lineitem) WHERE p >= l_partkey % 70")
+def payload_order_violations(spark, d):
+    v = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("brick"), F.col("l_linenumber").alias("place"), (F.col("l_partkey") % 70).alias("offset"))
+    return validation.payload_order(v)
+
+
+@query(
+    "scale_violations",
+    """WITH s AS (SELECT n_nationkey AS k, unnest(range(2)) AS level FROM nation)
+    SELECT 'scale-base' AS rule, k || '/' || level AS key FROM s WHERE level = 0 AND k % 4 = 1 UNION ALL SELECT 'scale-shape', k || '/' || level FROM s WHERE k % 5 = 2
+    UNION ALL SELECT 'scale-factor', k || '/' || level FROM s WHERE k % 6 = 3 AND level = 1 UNION ALL SELECT 'subcell-grid', k || '/' || level FROM s WHERE k % 7 = 4 OR k % 7 = 5""",
+)
+def scale_violations(spark, d):
+    k = F.col("n_nationkey").cast("int")
+    n = table(spark, d, "nation")
+    layers = n.select(k.alias("key"), F.lit(3).alias("volumes"), (k + 8).alias("depth"), F.lit(40).alias("height"), F.lit(50).alias("width"), F.lit(1).alias("channels"))
+    at = n.select(k.alias("key"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("level"))
+    key, level = F.col("key"), F.col("level")
+    sized = at.select("key", "level", F.when((key % 4 == 1) & (level == 0), 7).otherwise(key + 8).alias("depth"), F.lit(40).alias("height"), F.lit(50).alias("width"), F.lit(1).alias("channels"))
+    cells = F.when(key % 7 == 4, F.array(F.lit(4), F.lit(4), F.lit(4))).when(key % 7 == 5, F.array(F.lit(1), F.lit(1), F.lit(1))).when(key % 7 == 6, F.lit(None)).otherwise(F.array(F.lit(2), F.lit(4), F.lit(4)))
+    chunk = F.when(key % 7 == 5, F.array(F.lit(1), F.lit(1), F.lit(1))).otherwise(F.array(F.lit(2), F.lit(8), F.lit(16)))
+    shape = F.array(F.lit(3), F.col("depth"), F.col("height"), F.when(key % 5 == 2, 49).otherwise(F.col("width")), F.col("channels"))
+    factor = F.array(F.lit(1), F.lit(2), F.when((key % 6 == 3) & (level == 1), 0).otherwise(2))
+    return validation.scale_descriptors(sized.select("*", shape.alias("shape"), factor.alias("factor"), chunk.alias("chunk"), cells.alias("subcells")), layers)
+
+
+@query(
+    "mask_violations",
+    "SELECT 'mask-values' AS rule, n_nationkey::VARCHAR AS key FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT 'mask-last', n_nationkey::VARCHAR FROM nation WHERE n_nationkey % 5 = 1 UNION ALL SELECT 'mask-levels', n_nationkey || '/1' FROM nation WHERE n_nationkey % 6 = 2 AND n_nationkey % 5 <> 1",
+)
+def mask_violations(spark, d):
+    k = F.col("n_nationkey").cast("int")
+    n = table(spark, d, "nation")
+    masks = n.select(k.alias("key"), F.when(k % 4 == 0, F.array().cast("array<double>")).otherwise(F.array(F.lit(0.0))).alias("mask_values"))
+    key, level = F.col("key"), F.col("level")
+    rows = n.select(k.alias("key"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("level")).where(~((key % 5 == 1) & (level == 2)))
+    side = F.when(level == 0, 4).when(level == 1, F.when((key % 6 == 2) & (key % 5 != 1), 1).otherwise(2)).otherwise(1)
+    return validation.mask_descriptors(masks, rows.select("key", "level", side.alias("gz"), side.alias("gy"), side.alias("gx")))
+
+
+@query(
+    "catalog_violations",
+    """SELECT 'catalog-text' AS rule, 'e' || n_nationkey AS key FROM nation WHERE n_nationkey % 4 = 1 UNION ALL SELECT 'catalog-address', 'e' || n_nationkey FROM nation WHERE n_nationkey % 5 = 2 UNION ALL SELECT 'catalog-timepoints', 'e' || n_nationkey FROM nation WHERE n_nationkey % 6 = 0
+    UNION ALL SELECT 'catalog-size', 'e' || n_nationkey FROM nation WHERE n_nationkey % 7 = 3 UNION ALL SELECT 'catalog-id', 'e7'""",
+)
+def catalog_violations(spark, d):
+    k = F.col("n_nationkey")
+    url = F.when(k % 5 == 2, "sets/one").otherwise(F.concat(F.lit("https://sets.example/"), k.cast("string"), F.lit("/")))
+    rows = table(spark, d, "nation").select(
+        F.concat(F.lit("e"), k.cast("string")).alias("id"), F.when(k % 4 == 1, " ").otherwise("label").alias("label"), F.lit("text").alias("description"), url.alias("base_url"), (k % 6).cast("long").alias("timepoints"), F.when(k % 7 == 3, F.lit(-1)).when(k % 7 == 4, F.lit(9)).cast("long").alias("size_bytes")
+    )
+    twice = spark.range(1).select(F.lit(" e7 ").alias("id"), F.lit("l").alias("label"), F.lit("d").alias("description"), F.lit("https://sets.example").alias("base_url"), F.lit(1).cast("long").alias("timepoints"), F.lit(None).cast("long").alias("size_bytes"))
+    return validation.catalog(rows.unionByName(twice))

@@ -79,3 +79,47 @@ def checksums(df: DataFrame) -> DataFrame:
 def page_slots(pages: DataFrame) -> DataFrame:
     """brick, n_occupied, slot: occupied bricks have a slot, empty ones -1."""
     return _broken(pages, "page-slot", F.col("brick"), (F.col("n_occupied") > 0) == (F.col("slot") >= 0))
+
+
+def payload_order(voxels: DataFrame) -> DataFrame:
+    """brick, place, offset: offsets grow with their place in the brick's payload; rows of one place go by offset."""
+    before = F.lag("offset").over(Window.partitionBy("brick").orderBy("place", "offset"))
+    return _broken(voxels.withColumn("ok", before.isNull() | (before < F.col("offset"))), "payload-order", F.concat_ws("/", "brick", "place"), F.col("ok"))
+
+
+def scale_descriptors(scales: DataFrame, layers: DataFrame) -> DataFrame:
+    """Scales (key, level, factor, depth, height, width, channels, shape, chunk, subcells) against their layers (key, volumes and sizes).
+
+    Level 0 has the layer's size; arrays have the shape [volumes, depth, height,
+    width, channels]; factors are positive; a chunk's subcells are at most four
+    along an axis, and a chunk of one voxel has none (null).
+    """
+    size = ("depth", "height", "width", "channels")
+    s = scales.join(layers.select(F.col("key"), F.col("volumes"), *(F.col(c).alias(f"_{c}") for c in size)), "key", "left")
+    name = F.concat_ws("/", "key", "level")
+    base = (F.col("level") > 0) | reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in size])
+    shape = F.col("shape") == F.array(*(F.col(c).cast("int") for c in ("volumes", *size)))
+    factor = (F.size("factor") == 3) & F.forall("factor", lambda f: f > 0)
+    grid = F.transform("chunk", lambda c: F.greatest(F.lit(1), F.least(F.lit(4), c)))
+    single = F.forall("chunk", lambda c: c == 1)
+    cells = F.when(single, F.col("subcells").isNull()).otherwise(F.col("subcells").isNull() | (F.col("subcells") == grid))
+    rules = (("scale-base", base), ("scale-shape", shape), ("scale-factor", factor), ("subcell-grid", cells))
+    return reduce(DataFrame.unionByName, [_broken(s, rule, name, ok) for rule, ok in rules])
+
+
+def mask_descriptors(masks: DataFrame, levels: DataFrame) -> DataFrame:
+    """Masks (key, mask_values) and their scales (key, level, gz, gy, gx): values are listed, each scale halves the one before, the last is one voxel."""
+    values = _broken(masks, "mask-values", F.col("key"), F.size("mask_values") > 0)
+    top = levels.groupBy("key").agg(F.max_by(F.greatest("gz", "gy", "gx"), "level").alias("side"))
+    last = _broken(masks.select("key").join(top, "key", "left"), "mask-last", F.col("key"), F.col("side") == 1)
+    halves = hierarchy(levels).withColumn("rule", F.lit("mask-levels"))
+    return values.unionByName(last).unionByName(halves)
+
+
+def catalog(entries: DataFrame) -> DataFrame:
+    """Experiments (id, label, description, base_url, timepoints, size_bytes): texts not empty, whole addresses, counts, ids once."""
+    name = F.coalesce("id", F.lit(""))
+    text = reduce(lambda a, b: a & b, [F.length(F.trim(c)) > 0 for c in ("id", "label", "description", "base_url")])
+    found = (("catalog-text", text), ("catalog-address", F.rlike("base_url", F.lit(r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^\s/]+"))), ("catalog-timepoints", F.col("timepoints") > 0), ("catalog-size", F.col("size_bytes").isNull() | (F.col("size_bytes") >= 0)))
+    rows = reduce(DataFrame.unionByName, [_broken(entries, rule, name, ok) for rule, ok in found])
+    return rows.unionByName(unique(entries.withColumn("id", F.trim("id")), "catalog-id", "id"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 LAYERS = "layer_key string, channel_id string, kind string, volume_count int, width int, height int, depth int, data_type string, stored_type string, norm_min double, norm_max double"
 MANIFEST = f"format string, generatedAt string, channels array<struct<id:string,name:string>>, layers array<struct<{LAYERS.replace(' ', ':').replace(',:', ',')}>>"
 ROI = "id string, name string, shape string, mode string, color string, start struct<x:double,y:double,z:double>, `end` struct<x:double,y:double,z:double>"
+CATALOG = "version int, examples array<struct<id:string,label:string,description:string,baseUrl:string,timepoints:long,sizeBytes:long>>"
 #: Rows a file may have; about 100 MB of codes.
 FILE_ROWS = 20_000_000
 
@@ -65,6 +66,22 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return m.select("format", F.explode("layers").alias("l")).select("format", "l.*")
 
 
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """The experiments of a catalogue of version 1, texts trimmed and addresses without a closing slash; what breaks a rule is an error.
+
+    A catalogue is a short list, which one person keeps by hand.
+    """
+    from ..plans import validation
+
+    whole = spark.read.schema(CATALOG).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    known = F.when(F.col("version") == 1, F.col("examples")).otherwise(F.raise_error(F.concat(F.lit("catalogue of version "), F.coalesce(F.col("version").cast("string"), F.lit("none")))))
+    rows = whole.select(F.explode(known).alias("e")).select("e.id", "e.label", "e.description", F.col("e.baseUrl").alias("base_url"), "e.timepoints", F.col("e.sizeBytes").alias("size_bytes"))
+    broken = validation.catalog(rows).agg(F.sort_array(F.collect_list(F.concat_ws(" ", "rule", "key"))).alias("broken"))
+    checked = rows.join(F.broadcast(broken))
+    first = F.when(F.size("broken") == 0, F.trim("id")).otherwise(F.raise_error(F.concat(F.lit("catalogue: "), F.array_join("broken", ", "))).cast("string"))
+    return checked.select(first.alias("id"), F.trim("label").alias("label"), F.trim("description").alias("description"), F.regexp_replace(F.trim("base_url"), "/+$", "").alias("base_url"), "timepoints", "size_bytes")
+
+
 def write_manifest(layers: DataFrame, path: str) -> None:
     layers.agg(F.lit("voxelflow-1").alias("format"), F.collect_list(F.struct(*layers.columns)).alias("layers")).write.mode("overwrite").json(path)
 
