@@ -1,6 +1,7 @@
 """Files written by the tests themselves, and read back."""
 
 import json
+import struct
 
 import numpy as np
 import pytest
@@ -111,3 +112,90 @@ def test_tiff_channels_and_probe(spark, tmp_path):
     (tmp_path / "d1.tif").write_bytes(tiff.encode(stack[:1, :1]))
     with pytest.raises(Exception, match="another shape"):
         tiff.voxels_of(tiff.read_pages(spark, str(tmp_path)), "single-3d-volume").collect()
+
+
+def test_tiff_colour_and_packed(spark, tmp_path):
+    stack = (np.arange(2 * 3 * 4 * 3) * 5 % 251).reshape(2, 3, 4, 3).astype("uint8")
+    (tmp_path / "c.tif").write_bytes(tiff.encode(stack, "colour", packed=True))
+    read = tiff.read_pages(spark, str(tmp_path))
+    got = {(r.z, r.y, r.x, r.channel): r.value for r in tiff.channel_voxels_of(read).collect()}
+    assert got == {(z, y, x, c): float(stack[z, y, x, c]) for z in range(2) for y in range(3) for x in range(4) for c in range(3)}
+    with pytest.raises(Exception, match="several samples"):
+        tiff.voxels_of(read).agg({"value": "sum"}).collect()
+    gray = (np.arange(60) * 7).reshape(3, 4, 5).astype("uint16")
+    assert np.array_equal(np.stack([p for p, _ in tiff.pages(tiff.encode(gray, packed=True))]), gray)
+
+
+def _tiled(page, order, packing, pack, predictor=1):
+    """One page in tiles of 16 x 16, as other programs write it."""
+    height, width = page.shape
+    tiles = []
+    for y in range(0, height, 16):
+        for x in range(0, width, 16):
+            tile = np.zeros((16, 16), page.dtype)
+            part = page[y : y + 16, x : x + 16]
+            tile[: part.shape[0], : part.shape[1]] = part
+            if predictor == 2:
+                tile[:, 1:] -= tile[:, :-1].copy()
+            tiles.append(pack(tile.astype(page.dtype.newbyteorder(order)).tobytes()))
+    fields = [(256, width), (257, height), (258, page.dtype.itemsize * 8), (259, packing), (317, predictor), (322, 16), (323, 16)]
+    n = len(fields) + 2
+    lists = 8 + 2 + 12 * n + 4
+    at = lists + 8 * len(tiles)
+    starts = [at + sum(map(len, tiles[:k])) for k in range(len(tiles))]
+    out = {"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HIH", 42, 8, n)
+    out += b"".join(struct.pack(order + "HHII", tag, 4, 1, v) for tag, v in fields)
+    out += struct.pack(order + "HHII", 324, 4, len(tiles), lists) + struct.pack(order + "HHII", 325, 4, len(tiles), lists + 4 * len(tiles)) + struct.pack(order + "I", 0)
+    return out + struct.pack(order + f"{len(tiles)}I", *starts) + struct.pack(order + f"{len(tiles)}I", *map(len, tiles)) + b"".join(tiles)
+
+
+def _lzw(body):
+    """A plain LZW writer, to read back."""
+    known, width, codes, held = {bytes([k]): k for k in range(256)}, 9, [(256, 9)], b""
+    size = 258
+    for k in body:
+        if held + bytes([k]) in known:
+            held += bytes([k])
+            continue
+        codes.append((known[held], width))
+        known[held + bytes([k])] = size
+        size, held = size + 1, bytes([k])
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+        if size == 4094:
+            codes.append((256, 12))
+            known, width, size = {bytes([k]): k for k in range(256)}, 9, 258
+    codes.append((known[held], width))
+    size += 1
+    codes.append((257, 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12))
+    bits = "".join(format(c, f"0{w}b") for c, w in codes)
+    return bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+
+
+def test_tiff_tiles_and_packings():
+    import zlib
+
+    page = (np.arange(20 * 37) * 977 % 60_013).reshape(20, 37).astype("uint16")
+    for order in "<>":
+        for packing, pack in ((1, bytes), (8, zlib.compress), (5, _lzw)):
+            for predictor in (1, 2):
+                ((got, _),) = tiff.pages(_tiled(page, order, packing, pack, predictor))
+                assert np.array_equal(got, page), (order, packing, predictor)
+    assert tiff.unpack_bits(bytes([2, 7, 8, 9, 254, 5, 128, 0, 1])) == bytes([7, 8, 9, 5, 5, 5, 1])
+    long = bytes(np.random.default_rng(5).integers(0, 256, 30_000, dtype=np.uint8))
+    assert tiff.unpack_lzw(_lzw(long)) == long
+    assert tiff.unpack_lzw(_lzw(b"a" * 9_000)) == b"a" * 9_000
+    with pytest.raises(tiff.TiffError, match="short"):
+        list(tiff.pages(_tiled(page, "<", 1, lambda b: b[:-1])))
+
+
+def test_catalogues(spark, tmp_path):
+    e = {"id": " a ", "label": "A", "description": "d", "baseUrl": "https://sets.example/a//", "timepoints": 3}
+    f = tmp_path / "c.json"
+    f.write_text(json.dumps({"version": 1, "examples": [e, e | {"id": "b", "sizeBytes": 5}]}))
+    got = storage.read_catalog(spark, str(f)).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [("a", "A", "d", "https://sets.example/a", 3, None), ("b", "A", "d", "https://sets.example/a", 3, 5)]
+    for k, (bad, message) in enumerate([({"version": 2, "examples": []}, "version 2"), ({"version": 1, "examples": [e, e]}, "catalog-id"), ({"version": 1, "examples": [e | {"timepoints": 0}]}, "catalog-timepoints")]):
+        g = tmp_path / f"bad{k}.json"
+        g.write_text(json.dumps(bad))
+        with pytest.raises(Exception, match=message):
+            storage.read_catalog(spark, str(g)).collect()

@@ -1,12 +1,15 @@
-"""Volumes from uncompressed TIFF stacks, and stacks from volumes.
+"""Volumes from TIFF stacks, and stacks from volumes.
 
-A file is read by one task, one row for each page.  Pages are gray, 8, 16 or
-32 bits, in strips, of either byte order; others raise ``TiffError``.
+A file is read by one task, one row for each page.  Pages are gray or have
+interleaved samples (RGB), of 8, 16 or 32 bits and either byte order, in strips
+or tiles, plain or packed by Deflate, LZW or PackBits, with or without
+horizontal differences; others raise ``TiffError``.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,15 +19,61 @@ from pyspark.sql import functions as F
 
 #: Bytes of each TIFF field type.
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8}
-PAGES = "path string, page int, width int, height int, data_type string, description string, vmin double, vmax double, pixels array<double>"
+PAGES = "path string, page int, width int, height int, data_type string, description string, vmin double, vmax double, samples int, pixels array<double>"
 
 
 class TiffError(ValueError):
     pass
 
 
+def unpack_bits(body: bytes) -> bytes:
+    """PackBits: a count, then so many bytes as they are, or one byte to be repeated."""
+    out, at = bytearray(), 0
+    while at < len(body):
+        n = body[at]
+        if n < 128:
+            out += body[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            out += body[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def unpack_lzw(body: bytes) -> bytes:
+    """LZW with codes of 9 to 12 bits, high bits first; 256 clears the table and 257 ends the data."""
+    single = [bytes([k]) for k in range(256)] + [b"", b""]
+    known, last, width = list(single), b"", 9
+    out, held, bits = [], 0, 0
+    for byte in body:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == 257:
+            break
+        if code == 256:
+            known, last, width = list(single), b"", 9
+            continue
+        if code > len(known) or (code == len(known) and not last):
+            raise TiffError("broken LZW data")
+        word = known[code] if code < len(known) else last + last[:1]
+        if last:
+            known.append(last + word[:1])
+        out.append(word)
+        last = word
+        # a code is written one entry before it is needed
+        width = min(12, max(9, (len(known) + 1).bit_length()))
+    return b"".join(out)
+
+
+#: Fixed values of the compression tag.
+UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits}
+
+
 def directories(data: bytes) -> Iterator[dict]:
-    """Each page's width, height, data type, description and where its strips lie, without its pixels."""
+    """Each page's width, height, data type, description and where its blocks (strips or tiles) lie, without its pixels."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise TiffError("no TIFF file")
@@ -40,39 +89,69 @@ def directories(data: bytes) -> Iterator[dict]:
                 tags[tag] = (data[place : place + n].rstrip(b"\0").decode("latin-1"),)
             elif kind in (1, 3, 4):
                 tags[tag] = struct.unpack_from(order + {1: "B", 3: "H", 4: "I"}[kind] * n, data, place)
-        bits, form = tags.get(258, (1,))[0], tags.get(339, (1,))[0]
-        if tags.get(259, (1,))[0] != 1 or tags.get(277, (1,))[0] != 1 or bits not in (8, 16, 32):
-            raise TiffError("only uncompressed gray pages of 8, 16 or 32 bits are read")
-        name = {1: "uint", 2: "int", 3: "float"}[form] + str(bits)
-        yield {"width": tags[256][0], "height": tags[257][0], "data_type": name, "order": order, "strips": list(zip(tags[273], tags[279], strict=True)), "description": tags.get(270, ("",))[0]}
+        bits, form, samples = tags.get(258, (1,)), tags.get(339, (1,))[0], tags.get(277, (1,))[0]
+        packing, predictor, tiled = tags.get(259, (1,))[0], tags.get(317, (1,))[0], 324 in tags
+        if packing not in UNPACK or bits[0] not in (8, 16, 32) or len(set(bits)) > 1 or (samples > 1 and tags.get(284, (1,))[0] != 1) or predictor not in (1, 2) or form not in (1, 2, 3):
+            raise TiffError("only pages of interleaved samples of 8, 16 or 32 bits, plain or packed by Deflate, LZW or PackBits, are read")
+        name = {1: "uint", 2: "int", 3: "float"}[form] + str(bits[0])
+        width, height = tags[256][0], tags[257][0]
+        block = (tags[323][0], tags[322][0]) if tiled else (min(height, tags.get(278, (height,))[0]), width)
+        places = zip(*((tags[324], tags[325]) if tiled else (tags[273], tags[279])), strict=True)
+        yield {"width": width, "height": height, "data_type": name, "order": order, "samples": samples, "packing": packing, "predictor": predictor, "tiled": tiled, "block": block, "places": list(places), "description": tags.get(270, ("",))[0]}
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * count)
 
 
+def pixels(data: bytes, d: dict) -> np.ndarray:
+    """One page by its directory: height x width, and x samples where there are several."""
+    kind = np.dtype(d["data_type"])
+    (high, wide), n = d["block"], d["samples"]
+    page = np.empty((d["height"], d["width"], n), kind)
+    across = -(-d["width"] // wide)
+    for k, (start, length) in enumerate(d["places"]):
+        y, x = k // across * high, k % across * wide
+        rows = high if d["tiled"] else min(high, d["height"] - y)
+        body = UNPACK[d["packing"]](data[start : start + length])
+        if len(body) < rows * wide * n * kind.itemsize:
+            raise TiffError("a block of a page is too short")
+        block = np.frombuffer(body, kind.newbyteorder(d["order"]), rows * wide * n).reshape(rows, wide, n).astype(kind)
+        if d["predictor"] == 2:
+            block = np.cumsum(block, axis=1, dtype=kind)
+        page[y : y + rows, x : x + wide] = block[: d["height"] - y, : d["width"] - x]
+    return page[:, :, 0] if n == 1 else page
+
+
 def pages(data: bytes) -> Iterator[tuple[np.ndarray, str]]:
     """The pages of a stack, and each one's description."""
     for d in directories(data):
-        body = b"".join(data[o : o + n] for o, n in d["strips"])
-        yield np.frombuffer(body, np.dtype(d["data_type"]).newbyteorder(d["order"])).reshape(d["height"], d["width"]), d["description"]
+        yield pixels(data, d), d["description"]
 
 
-def encode(stack: np.ndarray, description: str = "") -> bytes:
-    """A little-endian stack of gray pages: pages x height x width."""
+def encode(stack: np.ndarray, description: str = "", packed: bool = False) -> bytes:
+    """A little-endian stack of gray pages (pages x height x width) or colour pages (x samples), plain or packed by Deflate."""
     kind = {"u": 1, "i": 2, "f": 3}[stack.dtype.kind]
-    bits = stack.dtype.itemsize * 8
-    out, text = bytearray(b"II*\0\x08\0\0\0"), description.encode("latin-1") + b"\0"
+    samples = stack.shape[3] if stack.ndim == 4 else 1
+    out = bytearray(b"II*\0\x08\0\0\0")
     for k, page in enumerate(stack):
         body = page.astype(page.dtype.newbyteorder("<")).tobytes()
-        fields = [(256, 4, 1, page.shape[1]), (257, 4, 1, page.shape[0]), (258, 3, 1, bits), (259, 3, 1, 1), (262, 3, 1, 1)]
-        at = len(out)
-        n = 9 + (k == 0)
-        end = at + 2 + 12 * n + 4
-        if k == 0:
-            fields.append((270, 2, len(text), end if len(text) > 4 else int.from_bytes(text.ljust(4, b"\0"), "little")))
-        start = end + (len(text) if k == 0 and len(text) > 4 else 0)
-        fields += [(273, 4, 1, start), (277, 3, 1, 1), (279, 4, 1, len(body)), (339, 3, 1, kind)]
+        body = zlib.compress(body) if packed else body
+        bits = struct.pack(f"<{samples}H", *[stack.dtype.itemsize * 8] * samples)
+        text = description.encode("latin-1") + b"\0" if k == 0 else b""
+        n = 9 + bool(text)
+        end = len(out) + 2 + 12 * n + 4
+        extra = bytearray()
+
+        def value(raw: bytes, end: int = end, extra: bytearray = extra) -> int:
+            if len(raw) <= 4:
+                return int.from_bytes(raw.ljust(4, b"\0"), "little")
+            extra.extend(raw)
+            return end + len(extra) - len(raw)
+
+        fields = [(256, 4, 1, page.shape[1]), (257, 4, 1, page.shape[0]), (258, 3, samples, value(bits)), (259, 3, 1, 8 if packed else 1), (262, 3, 1, 2 if samples > 2 else 1)]
+        fields += [(270, 2, len(text), value(text))] if text else []
+        start = end + len(extra)
+        fields += [(273, 4, 1, start), (277, 3, 1, samples), (279, 4, 1, len(body)), (339, 3, 1, kind)]
         out += struct.pack("<H", n) + b"".join(struct.pack("<HHII", *f) for f in fields)
-        out += struct.pack("<I", start + len(body) if k + 1 < len(stack) else 0)
-        out += (text if k == 0 and len(text) > 4 else b"") + body
+        out += struct.pack("<I", start + len(body) if k + 1 < len(stack) else 0) + extra + body
     return bytes(out)
 
 
@@ -90,7 +169,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
                     seen = v[~np.isnan(v)]
                     low, high = (float(seen.min()), float(seen.max())) if seen.size else (0.0, 1.0)
                     names = {"u": "uint", "i": "int", "f": "float"}
-                    yield pd.DataFrame({"path": [name], "page": [k], "width": [page.shape[1]], "height": [page.shape[0]], "data_type": [names[page.dtype.kind] + str(page.dtype.itemsize * 8)], "description": [text], "vmin": [low], "vmax": [high if high > low else low + 1], "pixels": [v.ravel()]})
+                    yield pd.DataFrame({"path": [name], "page": [k], "width": [page.shape[1]], "height": [page.shape[0]], "data_type": [names[page.dtype.kind] + str(page.dtype.itemsize * 8)], "description": [text], "vmin": [low], "vmax": [high if high > low else low + 1], "samples": [page.shape[2] if page.ndim == 3 else 1], "pixels": [v.ravel()]})
 
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "content").mapInPandas(decode, PAGES)
@@ -114,12 +193,14 @@ def channel_layout(description, samples_per_pixel: int = 1):
 def channel_voxels_of(page_rows: DataFrame) -> DataFrame:
     """Files as t, and pages as channel and z by the stack's description (page = z * channels + channel): t, z, y, x, channel, value.
 
-    A file whose description names no channels has channel 0 alone.
+    In a file whose description names no channels the samples of a pixel are the
+    channels; a gray one has channel 0 alone.
     """
-    first = page_rows.where("page = 0").select("path", channel_layout(F.col("description")).alias("layout"))
-    v = voxels_of(page_rows, "3d-movie", keep=("path",)).join(F.broadcast(first), "path")
+    gray = F.when(F.col("samples") == 1, F.col("description"))
+    first = page_rows.where("page = 0").select("path", channel_layout(gray).alias("layout"))
+    v = _samples_of(page_rows, "3d-movie", ("path",)).join(F.broadcast(first), "path")
     n = F.coalesce(F.col("layout.channels"), F.lit(1))
-    return v.select("t", F.floor(F.col("z") / n).cast("int").alias("z"), "y", "x", F.pmod("z", n).cast("int").alias("channel"), "value")
+    return v.select("t", F.floor(F.col("z") / n).cast("int").alias("z"), "y", "x", F.when(n > 1, F.pmod("z", n)).otherwise(F.col("sample")).cast("int").alias("channel"), "value")
 
 
 def probe(spark: SparkSession, path: str) -> DataFrame:
@@ -135,12 +216,19 @@ def probe(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(look, "path string, pages int, width int, height int, data_type string, description string")
 
 
-def voxels_of(page_rows: DataFrame, interpretation: str = "3d-movie", keep: tuple[str, ...] = ()) -> DataFrame:
+def voxels_of(page_rows: DataFrame, interpretation: str = "3d-movie") -> DataFrame:
     """file order t, page z (3d-movie); page as t (2d-movie); or files as z (single-3d-volume): t, z, y, x, value.
 
     Files are numbered by name; there are far fewer of them than voxels.  Pages
-    of files that become one volume must have one shape.
+    of files that become one volume must have one shape.  Colour pages are an
+    error here; ``channel_voxels_of`` reads them.
     """
+    colour = F.raise_error(F.concat(F.lit("pixels of several samples: "), F.col("path"))).cast("array<double>")
+    gray = page_rows.withColumn("pixels", F.when(F.col("samples") == 1, F.col("pixels")).otherwise(colour))
+    return _samples_of(gray, interpretation).drop("sample")
+
+
+def _samples_of(page_rows: DataFrame, interpretation: str, keep: tuple[str, ...] = ()) -> DataFrame:
     from pyspark.sql import Window
 
     from ..functions.text import natural_key
@@ -150,8 +238,11 @@ def voxels_of(page_rows: DataFrame, interpretation: str = "3d-movie", keep: tupl
     if interpretation == "single-3d-volume":
         shape = page_rows.agg(F.first("width").alias("w0"), F.first("height").alias("h0"))
         same = (F.col("width") == F.col("w0")) & (F.col("height") == F.col("h0")) & (F.col("page") == 0)
-        wrong = F.raise_error(F.concat(F.lit("another shape, or several pages: "), F.col("path"))).cast("int")
-        p = p.join(F.broadcast(shape)).withColumn("width", F.when(same, F.col("width")).otherwise(wrong))
+        wrong = F.raise_error(F.concat(F.lit("another shape, or several pages: "), F.col("path"))).cast("array<double>")
+        # on the pixels, which no plan prunes
+        p = p.join(F.broadcast(shape)).withColumn("pixels", F.when(same, F.col("pixels")).otherwise(wrong))
     t, z = {"3d-movie": ("file_no", "page"), "2d-movie": ("page", None), "single-3d-volume": (None, "file_no")}[interpretation]
     column = lambda c, name: (F.col(c) if c else F.lit(0)).cast("int").alias(name)
-    return p.select(*keep, column(t, "t"), column(z, "z"), "width", F.posexplode("pixels").alias("i", "value")).select(*keep, "t", "z", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), F.pmod("i", "width").alias("x"), "value")
+    dealt = p.select(*keep, column(t, "t"), column(z, "z"), "width", "samples", F.posexplode("pixels").alias("i", "value"))
+    at = F.floor(F.col("i") / F.col("samples"))
+    return dealt.select(*keep, "t", "z", F.floor(at / F.col("width")).cast("int").alias("y"), F.pmod(at, F.col("width")).cast("int").alias("x"), F.pmod("i", "samples").alias("sample"), "value")
