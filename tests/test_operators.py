@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from voxelflow.functions import text
+from voxelflow.functions import scales, text
 from voxelflow.operators import bricks, intensity, labels, regions, sampling, tracks
 
 ROI = "roi_order int, roi_name string, shape string, mode string, sx double, sy double, sz double, ex double, ey double, ez double"
@@ -182,3 +182,35 @@ def test_natural_order_of_long_numbers(spark):
     names = ["f9", "f10", "f9999999999999", "f20240101123045", "F010b", "f10a"]
     got = spark.createDataFrame([(n,) for n in names], "n string").orderBy(text.natural_key(F.col("n"))).collect()
     assert [r.n for r in got] == ["f9", "f10", "f10a", "F010b", "f9999999999999", "f20240101123045"]
+
+
+def test_running_totals_over_buckets(spark):
+    rows = [(k, random.Random(k).randrange(9)) for k in range(200)] + [(None, 4)]
+    df = spark.createDataFrame(rows, "k long, n long").repartition(5)
+    got = {r.k: (r.place, r.total) for r in tracks.before(df, F.floor(F.col("k") / 7), ("k",), place=F.lit(1).cast("long"), total=F.col("n")).collect()}
+    ordered = sorted(rows, key=lambda r: -1 if r[0] is None else r[0])
+    assert got == {k: (i, sum(n for _, n in ordered[:i])) for i, (k, _) in enumerate(ordered)}
+
+
+def test_seeded_palette(spark):
+    def share(state):
+        times = lambda a, b: a * b & 0xFFFFFFFF
+        t = times(state ^ state >> 15, state | 1)
+        t ^= t + times(t ^ t >> 7, t | 61) & 0xFFFFFFFF
+        return (t ^ t >> 14) / 2**32
+
+    df = spark.createDataFrame([(s, k) for s in (0, 1, 2**32 - 1, 123456789) for k in range(1, 40)], "s long, k int")
+    for r in df.select("s", "k", scales.seeded_share(F.col("s"), F.col("k")).alias("u")).collect():
+        assert r.u == share(((r.s or scales.SEED_STEP) + r.k * scales.SEED_STEP) & 0xFFFFFFFF)
+
+
+def test_sliders(spark):
+    assert [scales.slider_steps(0, n) for n in (0, 1, 255, 600, 1000, 65535)] == [256, 256, 256, 600, 500, 1024]
+    assert scales.slider_steps(0, 2000, shown=100) == 667
+    row = spark.createDataFrame([(0.25, 0.75)], "a double, b double")
+    whole = scales.slider_places(F.lit(0.0), F.lit(1.0), 0.0, 1.0, 256)
+    assert tuple(row.select(*whole.values()).first()) == (0, 255, 128, 128)
+    same = scales.at_contrast(F.col("a"), F.col("b"), F.lit(256), 0.0, 1.0, 256)
+    assert tuple(row.select(*same).first()) == (0.25, 0.75)
+    assert tuple(row.select(*scales.at_contrast(F.col("a"), F.col("b"), F.lit(0), 0.0, 1.0, 256)).first()) == (0.25, 0.75)
+    assert tuple(row.select(*scales.at_brightness(F.col("a"), F.col("b"), F.lit(64), 0.0, 1.0, 256)).first()) == (0.5, 1.0)

@@ -29,31 +29,46 @@ def ordered(points: DataFrame) -> DataFrame:
     return points.select("*", (F.row_number().over(w) - 1).alias("point_idx"))
 
 
-def summary(points: DataFrame, track_set: str = "track-set-1") -> DataFrame:
-    """One row a segment: identity, parent, counts and finite ranges; internal ids follow first appearance in the file.
+def before(rows: DataFrame, bucket: Column, order: tuple[str, ...], **sums: Column) -> DataFrame:
+    """``rows`` with, for each of ``sums``, its total over the rows that come before in ``order``.
 
-    Ids and offsets need one order over all segments, which a window without
-    partitions gives; it sees a row for each segment, never points.
+    ``bucket`` must grow with the order.  Rows are ordered inside their bucket
+    alone, and one task sees only the buckets' totals.
     """
+    dealt = rows.withColumn("_bucket", bucket)
+    totals = dealt.groupBy("_bucket").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    through = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("_bucket").alias("_start"), *(F.coalesce(F.sum(f"_{n}").over(through), F.lit(0)).alias(f"_{n}") for n in sums))
+    inside = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = dealt.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in sums.items())).join(starts, F.col("_bucket").eqNullSafe(F.col("_start")))
+    return found.select(*rows.columns, *((F.col(n) + F.col(f"_{n}")).alias(n) for n in sums))
+
+
+#: Rows of a file, and track numbers, that make a bucket of ``summary``.
+BUCKET_ROWS, BUCKET_TRACKS = 1_000_000, 10_000
+
+
+def segments(points: DataFrame, track_set: str = "track-set-1") -> DataFrame:
+    """One row a segment: identity, parent, counts, finite ranges and its first row in the file."""
     amplitude = finite(F.col("amplitude"))
+    source, segment = F.col("source_track_id"), F.col("segment_index")
     per = points.groupBy("source_track_id", "segment_index").agg(
         F.min("row_idx").alias("first_row"), F.count("*").alias("point_count"), F.min("time").alias("time_start"), F.max("time").alias("time_end"), F.min(amplitude).alias("amp_min"), F.max(amplitude).alias("amp_max")
     )
-    source, segment = F.col("source_track_id"), F.col("segment_index")
-    appear, listed = Window.orderBy("first_row"), Window.orderBy("source_track_id", "segment_index").rowsBetween(Window.unboundedPreceding, -1)
-    return per.select(
-        track_id(track_set, source, segment).alias("track_id"),
-        F.when(segment > 0, track_id(track_set, source, segment - 1)).alias("parent_id"),
-        "source_track_id",
-        "segment_index",
-        F.row_number().over(appear).cast("long").alias("internal_id"),
-        "point_count",
-        "time_start",
-        "time_end",
-        "amp_min",
-        "amp_max",
-        F.coalesce(F.sum("point_count").over(listed), F.lit(0)).alias("point_offset"),
-        F.coalesce(F.sum(F.col("point_count") - 1).over(listed), F.lit(0)).alias("segment_offset"),
+    return per.select(track_id(track_set, source, segment).alias("track_id"), F.when(segment > 0, track_id(track_set, source, segment - 1)).alias("parent_id"), *per.columns)
+
+
+def summary(points: DataFrame, track_set: str = "track-set-1") -> DataFrame:
+    """``segments`` with internal ids by first appearance in the file, and offsets of points and polyline segments.
+
+    Ids and offsets need one order over all segments, which buckets of rows and
+    of track numbers give.
+    """
+    per = segments(points, track_set)
+    numbered = before(per, F.floor(F.col("first_row") / BUCKET_ROWS), ("first_row",), earlier=F.lit(1).cast("long"))
+    placed = before(numbered, F.floor(F.col("source_track_id") / BUCKET_TRACKS), ("source_track_id", "segment_index"), point_offset=F.col("point_count"), segment_offset=F.col("point_count") - 1)
+    return placed.withColumn("internal_id", F.col("earlier") + 1).select(
+        "track_id", "parent_id", "source_track_id", "segment_index", "internal_id", "point_count", "time_start", "time_end", "amp_min", "amp_max", "point_offset", "segment_offset"
     )
 
 

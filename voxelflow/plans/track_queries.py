@@ -31,6 +31,10 @@ def summary(spark, d):
     return tracks.summary(points(spark, d))
 
 
+def segments(spark, d):
+    return tracks.segments(points(spark, d))
+
+
 def centroids(spark, d):
     return tracks.centroids(points(spark, d))
 
@@ -47,7 +51,7 @@ def track_summary(spark, d):
 
 @query("track_totals", f"{TRK}, {SEG}, {SUM} SELECT count(*) AS n_tracks, sum(point_count)::BIGINT AS n_points, min(time_start) AS time_min, max(time_end) AS time_max, min(amp_min) AS amp_min, max(amp_max) AS amp_max FROM trs")
 def track_totals(spark, d):
-    return summary(spark, d).agg(F.count("*").alias("n_tracks"), F.sum("point_count").alias("n_points"), F.min("time_start").alias("time_min"), F.max("time_end").alias("time_max"), F.min("amp_min").alias("amp_min"), F.max("amp_max").alias("amp_max"))
+    return segments(spark, d).agg(F.count("*").alias("n_tracks"), F.sum("point_count").alias("n_points"), F.min("time_start").alias("time_min"), F.max("time_end").alias("time_max"), F.min("amp_min").alias("amp_min"), F.max("amp_max").alias("amp_max"))
 
 
 LINES = """lin AS (SELECT * FROM (SELECT source_track_id, segment_index, point_idx, lag(time) OVER w AS from_time, lag(x) OVER w AS from_x, lag(y) OVER w AS from_y, lag(z) OVER w AS from_z,
@@ -118,13 +122,13 @@ def centroid_as_of_join(spark, d):
 
 @query("long_tracks", f"{TRK}, {SEG}, {SUM} SELECT track_id, point_count FROM trs WHERE point_count >= 8")
 def long_tracks(spark, d):
-    return summary(spark, d).where("point_count >= 8").select("track_id", "point_count")
+    return segments(spark, d).where("point_count >= 8").select("track_id", "point_count")
 
 
 @query("named_tracks", f"{TRK}, {SEG}, {SUM} SELECT track_id, n_name AS set_name, r_name AS channel_name FROM trs LEFT JOIN nation ON n_nationkey = source_track_id % 30 LEFT JOIN region ON r_regionkey = n_regionkey")
 def named_tracks(spark, d):
     """Tracks with the names of their set and channel, null where there is none."""
-    t = summary(spark, d).withColumn("set_key", F.col("source_track_id") % 30)
+    t = segments(spark, d).withColumn("set_key", F.col("source_track_id") % 30)
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     named = t.join(F.broadcast(n), t["set_key"] == n["n_nationkey"], "left").join(F.broadcast(r), F.col("n_regionkey") == r["r_regionkey"], "left")
     return named.select("track_id", F.col("n_name").alias("set_name"), F.col("r_name").alias("channel_name"))
@@ -158,23 +162,22 @@ def render_set(spark, d):
 
 @query("stale_tracks", f"{TRK}, {SEG}, {SUM} SELECT track_id FROM trs EXCEPT SELECT track_id FROM trs WHERE point_count >= 8")
 def stale_tracks(spark, d):
-    t = summary(spark, d)
+    t = segments(spark, d)
     return t.select("track_id").subtract(t.where("point_count >= 8").select("track_id"))
 
 
 @query("kept_selection", f"{TRK}, {SEG}, {SUM} SELECT track_id FROM trs WHERE source_track_id < 20 INTERSECT SELECT track_id FROM trs WHERE point_count >= 8")
 def kept_selection(spark, d):
-    t = summary(spark, d)
+    t = segments(spark, d)
     return t.where("source_track_id < 20").select("track_id").intersect(t.where("point_count >= 8").select("track_id"))
 
 
 @query("display_order", f"{TRK}, {SEG}, {SUM} SELECT track_id, row_number() OVER (ORDER BY CASE WHEN source_track_id = 5 THEN segment_index ELSE 1000000000 END, point_count DESC, internal_id) AS place FROM trs")
 def display_order(spark, d):
     """Selected tracks first, in order of selection, then by length. One row a track."""
-    from pyspark.sql import Window
-
     first = F.when(F.col("source_track_id") == 5, F.col("segment_index")).otherwise(1_000_000_000)
-    return summary(spark, d).select("track_id", F.row_number().over(Window.orderBy(first, F.col("point_count").desc(), "internal_id")).cast("long").alias("place"))
+    placed = tracks.before(summary(spark, d), F.struct(first.alias("first"), (-F.col("point_count")).alias("length")), ("internal_id",), place=F.lit(1).cast("long"))
+    return placed.select("track_id", (F.col("place") + 1).alias("place"))
 
 
 @query("selected_extents", f"{TRK}, {SEG}, {SMOOTH}, b AS (SELECT time, amplitude FROM pts WHERE source_track_id = 5 UNION ALL SELECT time, s.amplitude FROM smo s JOIN pts p USING (source_track_id, segment_index, point_idx) WHERE source_track_id = 5) SELECT min(time) AS time_min, max(time) AS time_max, round(min(amplitude), 6) AS amp_min, round(max(amplitude), 6) AS amp_max FROM b")
@@ -186,7 +189,7 @@ def selected_extents(spark, d):
 @query("parent_links", f"{TRK}, {SEG}, {SUM} SELECT a.track_id, a.parent_id, b.point_count AS parent_points FROM trs a JOIN trs b ON a.parent_id = b.track_id")
 def parent_links(spark, d):
     """Segments with their parent; the parent is the segment before, so the key is computed."""
-    t = summary(spark, d)
+    t = segments(spark, d)
     parent = t.select("source_track_id", (F.col("segment_index") + 1).alias("segment_index"), F.col("point_count").alias("parent_points"))
     return t.join(parent, ["source_track_id", "segment_index"]).select("track_id", "parent_id", "parent_points")
 
@@ -203,12 +206,12 @@ def offset_points(spark, d):
 @query("track_colors", f"""{TRK}, {SEG}, {SUM}, h AS (SELECT DISTINCT source_track_id, ((abs(source_track_id) + 1) * 137.508::DOUBLE) % 360 AS hue FROM trs)
     SELECT source_track_id, round(hue, 6) AS hue FROM h""")
 def track_colors(spark, d):
-    return summary(spark, d).select("source_track_id").distinct().select("source_track_id", r6(golden_hue(F.col("source_track_id"))).alias("hue"))
+    return segments(spark, d).select("source_track_id").distinct().select("source_track_id", r6(golden_hue(F.col("source_track_id"))).alias("hue"))
 
 
 @query("track_color_bytes")
 def track_color_bytes(spark, d):
-    t = summary(spark, d).select("source_track_id").distinct()
+    t = segments(spark, d).select("source_track_id").distinct()
     return t.select("source_track_id", *(c.alias(n) for c, n in zip(hsl(golden_hue(F.col("source_track_id")), 0.75, 0.55), ("red", "green", "blue"), strict=True)))
 
 
