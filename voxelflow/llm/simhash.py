@@ -197,7 +197,8 @@ def components(links: DataFrame, ws) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, similar: bool = False) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable), one row for each row of ``docs``.
 
-    ``similar``: documents also link where their shingles agree, at any distance.
+    ``similar``: documents also link where their shingles agree, at any
+    distance; then h0 and h1, which stand for the text, are there as well.
     """
     ws = workspace(docs.sparkSession, "simhash")
     fps = ws.write(fingerprints(docs, similar), "fingerprints")
@@ -214,17 +215,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, similar: bool = False
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = ws.write(rooted.join(smallest, "root").select("fp", "component_id"), "components")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id", *["h0", "h1"] * similar)
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component of similar ones, that of the smallest doc_id.
 
-    Rows that repeat a kept doc_id stay with it; rows without a doc_id stay.
+    Rows that repeat a kept doc_id stay with it; rows without a doc_id stay.  A
+    row goes by its doc_id and its text, so of one doc_id with several texts
+    only those go that are like another document's.
     """
     found = near_duplicates(docs, radius, similar=True)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = found.where("doc_id <> component_id").select("doc_id", "h0", "h1").distinct()
+    h0, h1 = text_hashes(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["doc_id"]) & (h0 == gone["h0"]) & (h1 == gone["h1"]), "left_anti")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
