@@ -212,7 +212,9 @@ def edited_rows(groups=25, copies=5):
     return rows
 
 
-def test_similar_texts_against_brute_force(spark, table, odd_rows):
+@pytest.mark.parametrize("tile", [4096, 2])
+def test_similar_texts_against_brute_force(spark, table, odd_rows, monkeypatch, tile):
+    monkeypatch.setattr(similar_pairs, "TILE", tile)
     rows = edited_rows() + [(d if d is None else d + 1000, t) for d, t, *_ in odd_rows]
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(rows), similar=True).where("doc_id is not null").collect()}
     texts = {d: t for d, t in rows if d is not None}
@@ -266,9 +268,10 @@ def templated_rows(seed, crowd=150, words=1500):
     return [(d, " ".join(e.get(i, w) for i, w in enumerate(base))) for d, e in enumerate([*edits, partner])]
 
 
-@pytest.mark.parametrize("cell", [1 << 19, 20_000])
-def test_a_pair_in_a_crowd_below_the_threshold(spark, table, monkeypatch, cell):
+@pytest.mark.parametrize(("cell", "tile"), [(1 << 19, 4096), (20_000, 4096), (20_000, 16)])
+def test_a_pair_in_a_crowd_below_the_threshold(spark, table, monkeypatch, cell, tile):
     monkeypatch.setattr(similar_pairs, "CELL", cell)
+    monkeypatch.setattr(similar_pairs, "TILE", tile)
     rows = templated_rows(1)
     sets = [shingle_set(t) for _, t in rows]
     near = {(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
@@ -293,6 +296,13 @@ def test_nearest_links_hold_over_blocks(monkeypatch):
     assert all(d[a, b] <= 31 for a, b in got)
 
 
+def test_other_texts_of_a_repeated_id_stay(spark, table):
+    text, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(3, text), (7, text + " more"), (7, other), (7, None), (9, other), (None, other)]
+    kept = sorted(((r.doc_id, r.text) for r in simhash.drop_near_duplicates(table(rows)).collect()), key=str)
+    assert kept == sorted([(3, text), (7, other), (7, None), (None, other)], key=str)
+
+
 def test_one_document_of_each_component_stays(spark, table):
     rows = edited_rows(6, 4) + [(907, "x"), (908, "x"), (None, "x"), (907, "x"), (909, None), (910, "")]
     kept = [r.doc_id for r in simhash.drop_near_duplicates(table(rows)).collect()]

@@ -8,12 +8,14 @@ agree.  At a similarity of 0.8 two documents share one of ``BANDS`` tiles with
 a probability of 0.9998.  Inside a tile, 128-bit SimHashes are compared by
 exclusive-or and bit counts, block by block, all with all; each document hands
 on its nearest neighbour, its nearest earlier one and its first one within the
-radius, so that the links of a tile are linear in its size.  Every link is then
+radius, so that the links of a tile are linear in its size.  A tile of more than
+TILE members is dealt to parts of about that size, and a few leads of the tile
+are guests in each part, so that no task holds a whole tile.  Every link is then
 verified by the exact Jaccard similarity of the shingle sets.  These links join
 nearly all that is alike.  Where a tile still has texts of several components,
-all its pairs are compared exactly (``remaining_links``), so that no pair that
-meets in a tile is left out.  Members of a tile
-are distinct texts, whatever their ids and fingerprints; links are handed on
+all pairs of texts of different components are compared exactly
+(``remaining_links``), so that no pair that meets in a tile is left out, parts
+or not.  Members of a tile are distinct texts, whatever their ids and fingerprints; links are handed on
 between fingerprints, as equal ones have met before.
 
 Words stand between ASCII white space, A-Z lower-cased; a text of fewer words
@@ -35,8 +37,12 @@ BANDS, ROWS = 12, 3
 #: Of 128 bits; the mean distance at a similarity of 0.8 is 19, its standard deviation 4.
 RADIUS = 31
 SIDE = 1024
+#: Members of a tile that are compared in one task; larger tiles make several parts, with as many leads as guests of each.
+TILE, LEADS = 4096, 8
 #: Shingles of one side of a cell, in which all pairs are compared exactly; larger tiles make several cells.
 CELL = 1 << 19
+#: What a text does in a cell: bits of ``side``.
+ASKS, IS_ASKED = 1, 2
 ROLLER = Roller(31)
 _SEEDS = np.random.default_rng(77).integers(0, 1 << 64, BANDS * ROWS + BANDS + 2, dtype=np.uint64) | np.uint64(1)
 PERMUTE, BAND_SALT, WIDE_SALT = _SEEDS[: BANDS * ROWS], _SEEDS[BANDS * ROWS : -2], _SEEDS[-2:]
@@ -115,32 +121,32 @@ def nearest(wide: np.ndarray, radius: int) -> np.ndarray:
 
 def _compared(radius: int):
     def compare(batches):
-        """Tiles come sorted, a row at a time over any number of batches."""
-        key, fps, wides = None, [], []
+        """Parts of tiles come sorted, a row at a time over any number of batches."""
+        key, tids, wides = None, [], []
 
         def links():
-            fp, wide = np.concatenate(fps), np.concatenate(wides, axis=1)
+            tid, wide = np.concatenate(tids), np.concatenate(wides, axis=1)
             a, b = nearest(wide, radius)
-            return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(tid[a]), pa.array(tid[b])], names=["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tile, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            wide = np.stack([batch.column(2).to_numpy(), batch.column(3).to_numpy()]).view(np.uint64)
-            cuts = np.r_[0, np.flatnonzero(np.diff(tile)) + 1, len(tile)]
+            tile, part, tid = (batch.column(i).to_numpy() for i in range(3))
+            wide = np.stack([batch.column(3).to_numpy(), batch.column(4).to_numpy()]).view(np.uint64)
+            cuts = np.r_[0, np.flatnonzero((tile[1:] != tile[:-1]) | (part[1:] != part[:-1])) + 1, len(tile)]
             size = np.diff(cuts)
             alone = size == 1
             alone[[0, -1]] = False  # their tiles may go on in another batch
             for i in np.flatnonzero(~alone).tolist():
                 a, b = cuts[i], cuts[i + 1]
-                if tile[a] != key:
-                    if sum(map(len, fps)) > 1:
+                if (tile[a], part[a]) != key:
+                    if sum(map(len, tids)) > 1:
                         yield links()
-                    key, fps, wides = tile[a], [], []
-                fps.append(fp[a:b])
+                    key, tids, wides = (tile[a], part[a]), [], []
+                tids.append(tid[a:b])
                 wides.append(wide[:, a:b])
-        if sum(map(len, fps)) > 1:
+        if sum(map(len, tids)) > 1:
             yield links()
 
     return compare
@@ -177,7 +183,7 @@ def text_classes(fps: DataFrame) -> DataFrame:
 def shared_tiles(classes: DataFrame, docs: DataFrame, ws) -> tuple[DataFrame, DataFrame]:
     """Members of the tiles where distinct texts meet, and a text for each ``tid`` among them."""
     tiled = classes.select(F.explode("tiles").alias("tile"), "tid", "fp", "w0", "w1", "n")
-    several = tiled.groupBy("tile").count().where("count > 1").select("tile")
+    several = tiled.groupBy("tile").count().where("count > 1").select("tile", F.ceil(F.col("count") / TILE).cast("int").alias("parts"))
     met = ws.write(tiled.join(several, "tile"), "met")
     known = lambda x: F.coalesce(x, F.lit(-(1 << 63)))
     ids = classes.join(met.select("tid").distinct(), "tid").select("tid", "fp", "h0", "h1", known(F.col("first_id")).alias("first_id"))
@@ -189,7 +195,12 @@ def shared_tiles(classes: DataFrame, docs: DataFrame, ws) -> tuple[DataFrame, Da
 
 def similar_links(met: DataFrame, texts: DataFrame, ws, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """Verified links (u, v) between the fingerprints of near texts, linear in the size of each tile."""
-    dealt = met.select("tile", "tid", "w0", "w1").repartition("tile").sortWithinPartitions("tile", "tid")
+    own = F.expr("int(pmod(xxhash64(tid), parts))")
+    members = met.select("tile", own.alias("part"), "tid", "w0", "w1")
+    slot = F.pmod(F.xxhash64(F.lit(LEADS), "tid"), F.lit(LEADS)).alias("slot")
+    leads = met.where("parts > 1").groupBy("tile", slot).agg(F.min(F.struct("tid", "w0", "w1", "parts")).alias("lead")).select("tile", "lead.*")
+    guests = leads.select("tile", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "tid", "w0", "w1", own.alias("own")).where("part <> own").drop("own")
+    dealt = members.unionByName(guests).repartition("tile", "part").sortWithinPartitions("tile", "part", "tid")
     links = ws.write(dealt.mapInArrow(_compared(radius), "u long, v long").where("u <> v").distinct(), "near")
     one, two = (texts.select(F.col("tid").alias(t), F.col("fp").alias(f), F.col("text").alias(x)) for t, f, x in (("u", "fu", "a"), ("v", "fv", "b")))
     pairs = links.join(one, "u").join(two, "v")
@@ -246,8 +257,7 @@ def _compared_exactly(similarity: float):
 
         def links():
             bounds, side = np.r_[0, np.cumsum(np.concatenate(sizes))], np.concatenate(sides)
-            one, two = key[1:]
-            found = exact_links(np.concatenate(sets), bounds, np.concatenate(roots), side == one, side == two, similarity)
+            found = exact_links(np.concatenate(sets), bounds, np.concatenate(roots), side & ASKS > 0, side & IS_ASKED > 0, similarity)
             u, v = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
@@ -273,16 +283,28 @@ def _compared_exactly(similarity: float):
 
 
 def remaining_links(met: DataFrame, texts: DataFrame, roots: DataFrame, ws, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (u, v) between the ``roots`` of fingerprints: every pair of texts of a tile with several roots is verified.
+    """Links (u, v) between the ``roots`` of fingerprints: every pair of texts of a tile that lie under different roots is verified.
 
-    The members of a large tile are dealt to groups of about CELL shingles, and
-    each pair of groups is a cell, so that no task holds more than two groups.
+    Texts under the largest root of a tile are only asked, all others also ask.
+    Both are dealt to groups of about CELL shingles, and a group that asks makes
+    a cell with each group that is asked, so that no task holds more than two
+    groups, and a tile that is nearly one component is sent about once.
     """
     rooted = met.join(roots, met["fp"] == roots["node"], "left").select("tile", "tid", "n", F.coalesce("root", "fp").alias("root"))
-    mixed = rooted.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.sum("n") / CELL).cast("int").alias("groups")).where("low <> high")
-    members = rooted.join(mixed.select("tile", "groups"), "tile").withColumn("side", F.expr("int(pmod(xxhash64(tid), groups))"))
-    cells = members.select("tile", "tid", "root", "side", F.explode(F.expr("sequence(0, groups - 1)")).alias("other"))
-    cells = cells.select("tile", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "root", "tid")
-    cells = cells.join(texts.select("tid", "text"), "tid").select("tile", "one", "two", "side", "root", "text")
-    dealt = cells.repartition("tile", "one", "two").sortWithinPartitions("tile", "one", "two")
+    sizes = rooted.groupBy("tile", "root").agg(F.sum("n").alias("n"))
+    tiles = sizes.groupBy("tile").agg(F.count("*").alias("several"), F.sum("n").alias("total"), F.max(F.struct("n", "root")).alias("most")).where("several > 1")
+    groups = lambda n: F.greatest(F.lit(1), F.ceil(n / CELL).cast("int"))
+    plan = tiles.select("tile", F.col("most.root").alias("largest"), groups(F.col("total") - F.col("most.n")).alias("asking"), groups(F.col("total")).alias("asked"))
+    members = rooted.join(plan, "tile").withColumns({"asks": F.col("root") != F.col("largest"), "h": F.xxhash64("tid")})
+    place = lambda n: F.expr(f"int(pmod(h, {n}))")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    whole, split = members.where("asked = 1"), members.where("asked > 1")
+    cells = [
+        whole.select("tile", F.lit(0).alias("one"), F.lit(0).alias("two"), F.when(F.col("asks"), ASKS | IS_ASKED).otherwise(IS_ASKED).alias("side"), "root", "tid"),
+        split.select("tile", every("asking").alias("one"), place("asked").alias("two"), F.lit(IS_ASKED).alias("side"), "root", "tid"),
+        split.where("asks").select("tile", place("asking").alias("one"), every("asked").alias("two"), F.lit(ASKS).alias("side"), "root", "tid"),
+    ]
+    members = cells[0].unionByName(cells[1]).unionByName(cells[2])
+    members = members.join(texts.select("tid", "text"), "tid").select("tile", "one", "two", "side", "root", "text")
+    dealt = members.repartition("tile", "one", "two").sortWithinPartitions("tile", "one", "two")
     return ws.write(dealt.mapInArrow(_compared_exactly(similarity), "u long, v long").distinct(), "remaining")
