@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan
+from . import centroids, lexical_search, license_scan
 from .chat_format import op3_chat_format
 from .decontamination import op1_decontamination
 from .flac import op6_media_flac
 from .language_id import op4_language_id
+from .ngram_join import op13_ngram_jaccard
 from .packing import op5_packing
 from .quality import op9_quality_classifier
 from .simhash import op10_simhash_near_dedup
@@ -28,8 +29,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_centroid_clustering": centroids.op11_centroid_clustering,
+    "op12_ranked_search": lexical_search.op12_ranked_search,
+    "op13_ngram_jaccard": op13_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": license_scan.oracle(),
+    "op11_centroid_clustering": centroids.oracle(),
+    "op12_ranked_search": lexical_search.oracle(),
 }
