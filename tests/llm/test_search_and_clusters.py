@@ -280,12 +280,24 @@ def test_every_pair_of_linked_sets_shares_a_key():
         both = len(np.intersect1d(a, b))
         if 100 * both < 85 * (len(a) + len(b) - both):
             continue
-        keys, ends = ngram_join.keys_of(np.r_[a, b], np.r_[0, len(a), len(a) + len(b)])
-        assert len(np.intersect1d(keys[: ends[1]], keys[ends[1] :]))
+        keys, ends, left = ngram_join.keys_of(np.r_[a, b], np.r_[0, len(a), len(a) + len(b)])
+        shared = np.intersect1d(keys[: ends[1]], keys[ends[1] :])
+        kinds = np.bincount((shared & np.uint64(3)).astype(int), minlength=3)
+        assert kinds[2] or (kinds[:2] > left.max(1)).any()
+
+
+def test_parities_never_exceed_differences():
+    rng = np.random.default_rng(12)
+    for n in (1, 10, 300, 4000):
+        a = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        b = np.r_[a[n // 9 :], rng.integers(0, 1 << 64, n // 7, dtype=np.uint64)]
+        w = ngram_join.parities(np.r_[a, b], np.r_[0, len(a), len(a) + len(b)]).view(np.uint64)
+        assert np.bitwise_count(w[:, 0] ^ w[:, 1]).sum() <= len(np.setxor1d(a, b))
 
 
 def test_differences_bound_every_pair():
     for most in (12, 40, 97, 300):
+        assert ngram_join.most_apart(most) == most - 2 * ngram_join.needed(most, 0)
         assert ngram_join.differences(most) == max(a + b - 2 * ngram_join.needed(a, b) for a in range(1, most) for b in range(1, most - a + 1))
 
 
