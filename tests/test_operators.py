@@ -205,8 +205,6 @@ def test_seeded_palette(spark):
 
 
 def test_sliders(spark):
-    assert [scales.slider_steps(0, n) for n in (0, 1, 255, 600, 1000, 65535)] == [256, 256, 256, 600, 500, 1024]
-    assert scales.slider_steps(0, 2000, shown=100) == 667
     row = spark.createDataFrame([(0.25, 0.75)], "a double, b double")
     whole = scales.slider_places(F.lit(0.0), F.lit(1.0), 0.0, 1.0, 256)
     assert tuple(row.select(*whole.values()).first()) == (0, 255, 128, 128)
@@ -214,3 +212,34 @@ def test_sliders(spark):
     assert tuple(row.select(*same).first()) == (0.25, 0.75)
     assert tuple(row.select(*scales.at_contrast(F.col("a"), F.col("b"), F.lit(0), 0.0, 1.0, 256)).first()) == (0.25, 0.75)
     assert tuple(row.select(*scales.at_brightness(F.col("a"), F.col("b"), F.lit(64), 0.0, 1.0, 256)).first()) == (0.5, 1.0)
+
+
+def anchored(times, epsilon=1e-3):
+    found = []
+    for t in sorted(set(times)):
+        if not found or t - found[-1] > epsilon:
+            found.append(t)
+    return found
+
+
+@pytest.mark.parametrize("step", [0.0004, 0.001, 0.0011, 0.5])
+def test_centroid_anchors(spark, step):
+    times = [k * step for k in range(200)] + [5.0, 5.0005, 5.001, 5.0015]
+    rows = [(1, 0, k, t, 1.0, 2.0, 3.0, float(k)) for k, t in enumerate(times)]
+    points = spark.createDataFrame(rows, "source_track_id long, segment_index int, row_idx long, time double, x double, y double, z double, amplitude double")
+    got = tracks.centroids(points).orderBy("group_time").collect()
+    assert [r.group_time for r in got] == anchored(times) and sum(r.n_points for r in got) == len(times)
+
+
+def test_centroids_of_a_long_track(spark):
+    rows = spark.range(200_000).select(F.lit(1).cast("long").alias("source_track_id"), F.lit(0).alias("segment_index"), F.col("id").alias("row_idx"), (F.col("id") * 0.0004).alias("time"), *(F.lit(1.0).alias(c) for c in ("x", "y", "z", "amplitude")))
+    assert tracks.centroids(rows).count() == len(anchored([k * 0.0004 for k in range(200_000)]))
+
+
+def test_ranges_without_end(spark):
+    inf = float("inf")
+    rows = [(0, 0, 0, x, v) for x, v in enumerate([0.0, 1.0, 2.0, 3.0, inf])]
+    df = spark.createDataFrame(rows, "t int, z int, y int, x int, value double")
+    assert [r.code for r in intensity.normalize(df).orderBy("x").collect()] == [0, 255, 255, 255, 255]
+    assert tuple(intensity.value_range(df.withColumn("value", F.lit(float("nan")))).first()) == (0.0, 1.0)
+    assert tuple(intensity.value_range(df.withColumn("value", -F.col("value"))).first()) == (0.0, 1.0)

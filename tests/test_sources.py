@@ -34,6 +34,36 @@ def test_track_csv_errors(spark, tmp_path, line, message):
         tracks_csv.read_tracks(spark, str(f)).collect()
 
 
+def test_track_files_are_sets(spark, tmp_path):
+    for k in (10, 9):
+        (tmp_path / f"t{k}.csv").write_text(f"1,0,{k},1,1,1,0,0\n1,0,{k + 1},2,2,2,0,0\n")
+    points = tracks.segmented(tracks_csv.read_tracks(spark, str(tmp_path)))
+    got = tracks.summary(points).orderBy("track_id").collect()
+    assert [(r.track_id, r.point_count, r.time_start, r.internal_id, r.point_offset) for r in got] == [("track-set-1:1", 2, 9.0, 1, 0), ("track-set-2:1", 2, 10.0, 1, 0)]
+    assert tracks.ordered(points).count() == 4 and tracks.polyline(points).count() == 2
+    c = tracks.centroids(points)
+    assert sorted((r.track_set, r.group_time) for r in c.collect()) == [("track-set-1", 9.0), ("track-set-1", 10.0), ("track-set-2", 10.0), ("track-set-2", 11.0)]
+    assert sorted((r.track_set, r.group_time) for r in tracks.as_of(c, 10.0).collect()) == [("track-set-1", 10.0), ("track-set-2", 10.0)]
+    assert tracks.smoothed(points, 1.0).groupBy("track_set").count().count() == 2
+
+
+def test_track_files_in_splits(spark, tmp_path):
+    lines = [f"{k % 7},0,{k},{k},0,0,1,0" for k in range(3000)]
+    (tmp_path / "a.csv").write_text("\ufefftrack_id,start,t,x,y,z,a,q\r\n" + "\r\n \r\n".join(lines) + "\r\n")
+    (tmp_path / "b.csv").write_text("\n\n" + "\n".join(lines[:5]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        raw = tracks_csv.read_lines(spark, str(tmp_path))
+        rows = tracks_csv.parse(raw).orderBy("track_set", "row_idx").collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    first = [r for r in rows if r.track_set == "track-set-1"]
+    assert [(r.row_idx, r.source_track_id, r.x) for r in first] == [(k + 1, k % 7, float(k)) for k in range(3000)]
+    assert [(r.row_idx, r.x) for r in rows if r.track_set == "track-set-2"] == [(k, float(k)) for k in range(5)]
+
+
 @pytest.mark.parametrize("kind", ["uint8", "uint16", "int16", "float32"])
 def test_tiff_stacks(spark, tmp_path, kind):
     stack = (np.arange(3 * 4 * 5) * 3).reshape(3, 4, 5).astype(kind)
@@ -81,6 +111,41 @@ def test_manifests(spark, tmp_path):
     assert storage.read_manifest(spark, str(tmp_path / "out")).first().width == 8
 
 
+@pytest.mark.parametrize(
+    ("change", "path"),
+    [
+        ({"volume_count": -3}, r"layers\[1\].volume_count"),
+        ({"channel_id": "other"}, r"layers\[1\].channel_id"),
+        ({"layer_key": "a"}, r"layers\[0\].layer_key.*layers\[1\].layer_key"),
+        ({"data_type": "complex"}, r"layers\[1\].data_type"),
+        ({"norm_min": 4.0, "norm_max": 4.0, "width": 0}, r"layers\[1\].width.*layers\[1\].norm_max"),
+    ],
+)
+def test_manifests_that_break_a_rule(spark, tmp_path, change, path):
+    layer = {"layer_key": "a", "channel_id": "c", "kind": "intensity", "volume_count": 3, "width": 4, "height": 5, "depth": 6, "data_type": "uint8", "stored_type": "uint8", "norm_min": 0.0, "norm_max": 255.0}
+    good = {"format": "f", "channels": [{"id": "c", "name": "C"}], "layers": [layer, layer | {"layer_key": "b"}]}
+    (tmp_path / "m.json").write_text(json.dumps(good))
+    assert storage.read_manifest(spark, str(tmp_path / "m.json")).count() == 2
+    (tmp_path / "bad.json").write_text(json.dumps(good | {"layers": [layer, layer | {"layer_key": "b"} | change]}))
+    with pytest.raises(Exception, match=path):
+        storage.read_manifest(spark, str(tmp_path / "bad.json")).select("format").collect()
+
+
+@pytest.mark.parametrize(
+    ("text", "message"),
+    [
+        ('{"rois": [{"id": "r1"', "Malformed|FAILFAST"),
+        ('{"other": 1}', "rois: expected a list"),
+        ('{"rois": [{"name": "x"}]}', r"rois\[0\].id"),
+        ('{"rois": [{"id": "a", "start": {"x": 0, "y": 0, "z": 0}, "end": {"x": 9, "y": 1, "z": 1}}]}', r"rois\[0\].end.x: expected 0 to 7"),
+    ],
+)
+def test_regions_that_break_a_rule(spark, tmp_path, text, message):
+    (tmp_path / "r.json").write_text(text)
+    with pytest.raises(Exception, match=message):
+        storage.read_rois(spark, str(tmp_path / "r.json"), (8, 8, 8)).collect()
+
+
 def test_regions_are_saved(spark, tmp_path):
     rows = [(k, f"r{k}", f"name {k}", "ellipse", "3d", "#0f0f0f", (0.0, 1.0, float(k)), (2.0, 3.0, 4.0)) for k in range(4)]
     rois = spark.createDataFrame(rows, "roi_order int, id string, name string, shape string, mode string, color string, start struct<x:double,y:double,z:double>, `end` struct<x:double,y:double,z:double>")

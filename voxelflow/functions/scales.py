@@ -97,20 +97,6 @@ def hsl(hue: Column, saturation: float, lightness: float) -> list[Column]:
     return hsv(hue, 0.0 if value == 0 else 2 * (1 - lightness / value), value)
 
 
-def slider_steps(low: float, high: float, shown: float | None = None) -> int:
-    """How many places the contrast sliders of a value range have; a narrow window in a wide range gets more."""
-    span = max(high - low, 0.0)
-    n = int(span + 0.5) if 0 < span < float("inf") else 256
-    n = n or 256
-    if 640 < n < 1280:
-        n = int(n / 2 + 0.5)
-    elif n >= 1280:
-        n = int(n / 5 + 0.5)
-    if shown is not None and span >= 1280 and shown / span < 0.25:
-        n = int(n * 1.6666 + 0.5)
-    return max(256, min(1024, n))
-
-
 def fitted_window(a: Column, b: Column, low: float, high: float, narrowest: float = 1e-4) -> tuple[Column, Column]:
     """A window's ends in order, inside the value range and not narrower than it may be."""
     least = min(narrowest, high - low)

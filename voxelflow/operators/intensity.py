@@ -19,10 +19,21 @@ def finite(value: Column) -> Column:
 
 
 def value_range(voxels: DataFrame, *by: str) -> DataFrame:
-    """lo and hi of each group over values that aren't NaN; a constant group gets hi = lo + 1."""
+    """lo and hi of each group over values that aren't NaN.
+
+    A lower end that isn't finite becomes 0; an upper end that isn't finite, or
+    is no more than the lower one, becomes lo + 1.
+    """
     v = F.when(~F.isnan("value"), F.col("value"))
     out = voxels.groupBy(*by).agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-    return out.withColumn("hi", F.when(F.col("hi") == F.col("lo"), F.col("lo") + 1).otherwise(F.col("hi")))
+    out = out.withColumn("lo", F.coalesce(finite(F.col("lo")), F.lit(0.0)))
+    above = finite(F.col("hi"))
+    return out.withColumn("hi", F.when(above != F.col("lo"), above).otherwise(F.col("lo") + 1))
+
+
+def volume_range(voxels: DataFrame) -> DataFrame:
+    """One row: the range over all slices, each of which has a range by itself."""
+    return value_range(voxels, "z").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def stored_type(source_type: Column, allow_16_bit: Column) -> Column:
@@ -57,7 +68,7 @@ def normalize(voxels: DataFrame, representative: DataFrame | None = None, top: i
 
     The range is one row; it is joined by broadcast.
     """
-    span = value_range(representative_timepoint(voxels) if representative is None else representative)
+    span = volume_range(representative_timepoint(voxels) if representative is None else representative)
     return voxels.join(F.broadcast(span)).select("t", "z", "y", "x", code_of(F.col("value"), F.col("lo"), F.col("hi"), top).alias("code"))
 
 

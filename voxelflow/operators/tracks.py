@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,37 +14,51 @@ from .intensity import finite
 EPSILON = 1e-3
 
 
-def track_id(track_set: str, source: Column, segment: Column) -> Column:
-    base = F.concat(F.lit(f"{track_set}:"), source.cast("string"))
+def sets(rows: DataFrame) -> tuple[str, ...]:
+    """The column that tells sets of tracks apart, where there is one: equal track numbers of two sets are two tracks."""
+    return ("track_set",) if "track_set" in rows.columns else ()
+
+
+def track_key(rows: DataFrame) -> tuple[str, ...]:
+    return (*sets(rows), "source_track_id")
+
+
+def segment_key(rows: DataFrame) -> tuple[str, ...]:
+    return (*track_key(rows), "segment_index")
+
+
+def track_id(track_set: str | Column, source: Column, segment: Column) -> Column:
+    base = F.concat(F.lit(track_set), F.lit(":"), source.cast("string"))
     return F.when(segment > 0, F.concat(base, F.lit("-"), segment.cast("string"))).otherwise(base)
 
 
 def segmented(rows: DataFrame) -> DataFrame:
     """Points with their segment: breaks end a segment, breaks in a row or at the start count once or not at all."""
-    w = Window.partitionBy("source_track_id").orderBy("row_idx")
+    w = Window.partitionBy(*track_key(rows)).orderBy("row_idx")
     numbered = rows.withColumn("brk", F.sum(F.col("is_break").cast("int")).over(w)).where("not is_break")
     change = F.coalesce((F.lag("brk").over(w) != F.col("brk")).cast("int"), F.lit(0))
-    return numbered.withColumn("change", change).select("source_track_id", F.sum("change").over(w).cast("int").alias("segment_index"), "row_idx", "time", "x", "y", "z", "amplitude")
+    return numbered.withColumn("change", change).select(*track_key(rows), F.sum("change").over(w).cast("int").alias("segment_index"), "row_idx", "time", "x", "y", "z", "amplitude")
 
 
 def ordered(points: DataFrame) -> DataFrame:
     """Points numbered by time inside their segment; ties keep the file's order."""
-    w = Window.partitionBy("source_track_id", "segment_index").orderBy("time", "row_idx")
+    w = Window.partitionBy(*segment_key(points)).orderBy("time", "row_idx")
     return points.select("*", (F.row_number().over(w) - 1).alias("point_idx"))
 
 
-def before(rows: DataFrame, bucket: Column, order: tuple[str, ...], **sums: Column) -> DataFrame:
-    """``rows`` with, for each of ``sums``, its total over the rows that come before in ``order``.
+def before(rows: DataFrame, bucket: Column, order: tuple[str, ...], by: tuple[str, ...] = (), **sums: Column) -> DataFrame:
+    """``rows`` with, for each of ``sums``, its total over the rows of the same ``by`` that come before in ``order``.
 
     ``bucket`` must grow with the order.  Rows are ordered inside their bucket
     alone, and one task sees only the buckets' totals.
     """
     dealt = rows.withColumn("_bucket", bucket)
-    totals = dealt.groupBy("_bucket").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
-    through = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col("_bucket").alias("_start"), *(F.coalesce(F.sum(f"_{n}").over(through), F.lit(0)).alias(f"_{n}") for n in sums))
-    inside = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    found = dealt.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in sums.items())).join(starts, F.col("_bucket").eqNullSafe(F.col("_start")))
+    totals = dealt.groupBy(*by, "_bucket").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    through = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_bucket").alias("_start"), *(F.coalesce(F.sum(f"_{n}").over(through), F.lit(0)).alias(f"_{n}") for n in sums))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = dealt.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in sums.items()))
+    found = found.join(starts, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(d)) for c, d in [("_bucket", "_start"), *((c, f"_{c}") for c in by)])))
     return found.select(*rows.columns, *((F.col(n) + F.col(f"_{n}")).alias(n) for n in sums))
 
 
@@ -52,10 +70,11 @@ def segments(points: DataFrame, track_set: str = "track-set-1") -> DataFrame:
     """One row a segment: identity, parent, counts, finite ranges and its first row in the file."""
     amplitude = finite(F.col("amplitude"))
     source, segment = F.col("source_track_id"), F.col("segment_index")
-    per = points.groupBy("source_track_id", "segment_index").agg(
+    name = F.col("track_set") if sets(points) else track_set
+    per = points.groupBy(*segment_key(points)).agg(
         F.min("row_idx").alias("first_row"), F.count("*").alias("point_count"), F.min("time").alias("time_start"), F.max("time").alias("time_end"), F.min(amplitude).alias("amp_min"), F.max(amplitude).alias("amp_max")
     )
-    return per.select(track_id(track_set, source, segment).alias("track_id"), F.when(segment > 0, track_id(track_set, source, segment - 1)).alias("parent_id"), *per.columns)
+    return per.select(track_id(name, source, segment).alias("track_id"), F.when(segment > 0, track_id(name, source, segment - 1)).alias("parent_id"), *per.columns)
 
 
 def summary(points: DataFrame, track_set: str = "track-set-1") -> DataFrame:
@@ -64,41 +83,55 @@ def summary(points: DataFrame, track_set: str = "track-set-1") -> DataFrame:
     Ids and offsets need one order over all segments, which buckets of rows and
     of track numbers give.
     """
-    per = segments(points, track_set)
-    numbered = before(per, F.floor(F.col("first_row") / BUCKET_ROWS), ("first_row",), earlier=F.lit(1).cast("long"))
-    placed = before(numbered, F.floor(F.col("source_track_id") / BUCKET_TRACKS), ("source_track_id", "segment_index"), point_offset=F.col("point_count"), segment_offset=F.col("point_count") - 1)
+    per, by = segments(points, track_set), sets(points)
+    numbered = before(per, F.floor(F.col("first_row") / BUCKET_ROWS), ("first_row",), by, earlier=F.lit(1).cast("long"))
+    placed = before(numbered, F.floor(F.col("source_track_id") / BUCKET_TRACKS), ("source_track_id", "segment_index"), by, point_offset=F.col("point_count"), segment_offset=F.col("point_count") - 1)
     return placed.withColumn("internal_id", F.col("earlier") + 1).select(
-        "track_id", "parent_id", "source_track_id", "segment_index", "internal_id", "point_count", "time_start", "time_end", "amp_min", "amp_max", "point_offset", "segment_offset"
+        "track_id", "parent_id", "source_track_id", "segment_index", "internal_id", "point_count", "time_start", "time_end", "amp_min", "amp_max", "point_offset", "segment_offset", *by
     )
 
 
 def polyline(points: DataFrame) -> DataFrame:
     """Consecutive pairs of points of each segment."""
-    w = Window.partitionBy("source_track_id", "segment_index").orderBy("point_idx")
+    w = Window.partitionBy(*segment_key(points)).orderBy("point_idx")
     pairs = ordered(points).select("*", *(F.lag(c).over(w).alias(f"from_{c}") for c in ("time", "x", "y", "z")))
-    return pairs.where("from_time is not null").select("source_track_id", "segment_index", "point_idx", *(f"from_{c}" for c in ("time", "x", "y", "z")), *(F.col(c).alias(f"to_{c}") for c in ("time", "x", "y", "z")))
+    return pairs.where("from_time is not null").select(*segment_key(points), "point_idx", *(f"from_{c}" for c in ("time", "x", "y", "z")), *(F.col(c).alias(f"to_{c}") for c in ("time", "x", "y", "z")))
 
 
 def centroids(points: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """Mean position of each group of nearly equal times; a group is anchored at its first time.
 
-    Distinct times of a segment are folded in order to find the anchors; points
-    then meet them by a window, and means come from an ordinary aggregate.
+    A gap of more than epsilon always begins a group.  Between such gaps lie runs
+    of near times; a run no wider than epsilon is one group, and only the times
+    of wider runs are walked through, run by run.  Points then meet the anchors by
+    a window, and means come from an ordinary aggregate.
     """
-    times = points.groupBy("source_track_id", "segment_index").agg(F.array_sort(F.collect_set("time")).alias("times"))
-    start = F.struct(F.array().cast("array<double>").alias("anchors"), F.lit(None).cast("double").alias("last"))
-
-    def step(acc: Column, t: Column) -> Column:
-        new = acc["last"].isNull() | (t - acc["last"] > epsilon)
-        return F.struct(F.when(new, F.concat(acc["anchors"], F.array(t))).otherwise(acc["anchors"]).alias("anchors"), F.when(new, t).otherwise(acc["last"]).alias("last"))
-
-    anchors = times.select("source_track_id", "segment_index", F.explode(F.aggregate("times", start, step)["anchors"]).alias("anchor"))
-    marked = points.select("source_track_id", "segment_index", "time", "x", "y", "z", "amplitude", F.lit(None).cast("double").alias("anchor")).unionByName(
-        anchors.select("source_track_id", "segment_index", F.col("anchor").alias("time"), *(F.lit(None).cast("double").alias(c) for c in ("x", "y", "z", "amplitude")), "anchor")
+    key = segment_key(points)
+    w = Window.partitionBy(*key).orderBy("time")
+    times = points.select(*key, "time").distinct()
+    begins = F.coalesce(F.col("time") - F.lag("time").over(w) > epsilon, F.lit(True))
+    run = times.withColumn("begin", F.when(begins, F.col("time"))).withColumn("run", F.last("begin", ignorenulls=True).over(w)).drop("begin")
+    spans = run.groupBy(*key, "run").agg((F.max("time") - F.min("time") > epsilon).alias("wide"))
+    wide = run.join(spans.where("wide"), [*key, "run"], "left_semi")
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(frame["time"].to_numpy())
+        found, at = [], 0
+        while at < len(t):
+            found.append(t[at])
+            far = min(len(t), int(np.searchsorted(t, t[at] + epsilon, "right")) + 1)  # rounding may move the end by a place
+            near = max(at, far - 3)
+            at = near + int(np.argmax(np.r_[t[near:far] - t[at] > epsilon, True]))
+        return frame.iloc[: len(found)].assign(time=found)
+
+    walked = wide.groupBy(*key, "run").applyInPandas(walk, wide.schema).select(*key, F.col("time").alias("anchor"))
+    anchors = spans.where("not wide").select(*key, F.col("run").alias("anchor")).unionByName(walked)
+    marked = points.select(*key, "time", "x", "y", "z", "amplitude", F.lit(None).cast("double").alias("anchor")).unionByName(
+        anchors.select(*key, F.col("anchor").alias("time"), *(F.lit(None).cast("double").alias(c) for c in ("x", "y", "z", "amplitude")), "anchor")
     )
-    w = Window.partitionBy("source_track_id", "segment_index").orderBy("time", F.col("anchor").asc_nulls_last())
+    w = Window.partitionBy(*key).orderBy("time", F.col("anchor").asc_nulls_last())
     placed = marked.withColumn("group_time", F.last("anchor", ignorenulls=True).over(w)).where("anchor is null")
-    return placed.groupBy("source_track_id", "segment_index", "group_time").agg(*(F.avg(c).alias(c) for c in ("x", "y", "z", "amplitude")), F.count("*").alias("n_points"))
+    return placed.groupBy(*key, "group_time").agg(*(F.avg(c).alias(c) for c in ("x", "y", "z", "amplitude")), F.count("*").alias("n_points"))
 
 
 def smoothed(points: DataFrame, sigma: float, columns: tuple[str, ...] = ("x", "y", "z", "amplitude")) -> DataFrame:
@@ -113,7 +146,7 @@ def smoothed(points: DataFrame, sigma: float, columns: tuple[str, ...] = ("x", "
     import math
 
     radius = max(1, math.ceil(3 * sigma))
-    w = Window.partitionBy("source_track_id", "segment_index").orderBy("point_idx").rowsBetween(-radius, radius)
+    w = Window.partitionBy(*segment_key(points)).orderBy("point_idx").rowsBetween(-radius, radius)
     ok = F.lit(True)
     for c in ("x", "y", "z", "amplitude"):
         ok = ok & finite(F.col(c)).isNotNull()
@@ -142,7 +175,8 @@ def overlapping(segments: DataFrame, low: float, high: float) -> DataFrame:
 def as_of(centroid_rows: DataFrame, at: float, trail_length: float | None = None) -> DataFrame:
     """Each segment's last centroid at or before a time; none where it is older than the trail."""
     before = centroid_rows.where(F.col("group_time") <= at + EPSILON)
-    last = before.groupBy("source_track_id", "segment_index").agg(F.max_by(F.struct("group_time", "x", "y", "z", "amplitude"), "group_time").alias("c")).select("source_track_id", "segment_index", "c.*")
+    key = segment_key(centroid_rows)
+    last = before.groupBy(*key).agg(F.max_by(F.struct("group_time", "x", "y", "z", "amplitude"), "group_time").alias("c")).select(*key, "c.*")
     return last if trail_length is None else last.where(F.col("group_time") >= at - trail_length - EPSILON)
 
 
@@ -151,10 +185,11 @@ def as_of_join(queries: DataFrame, centroid_rows: DataFrame) -> DataFrame:
 
     One window over both sides instead of a range join: rows meet by segment.
     """
-    q = queries.select("source_track_id", "segment_index", (F.col("at") + EPSILON).alias("time"), "at", F.lit(None).cast("struct<group_time:double,x:double,y:double,z:double>").alias("c"))
-    c = centroid_rows.select("source_track_id", "segment_index", F.col("group_time").alias("time"), F.lit(None).cast("double").alias("at"), F.struct("group_time", "x", "y", "z").alias("c"))
-    w = Window.partitionBy("source_track_id", "segment_index").orderBy("time", F.col("at").asc_nulls_first())
-    return q.unionByName(c).withColumn("c", F.last("c", ignorenulls=True).over(w)).where("at is not null").select("source_track_id", "segment_index", "at", "c.*")
+    key = segment_key(centroid_rows)
+    q = queries.select(*key, (F.col("at") + EPSILON).alias("time"), "at", F.lit(None).cast("struct<group_time:double,x:double,y:double,z:double>").alias("c"))
+    c = centroid_rows.select(*key, F.col("group_time").alias("time"), F.lit(None).cast("double").alias("at"), F.struct("group_time", "x", "y", "z").alias("c"))
+    w = Window.partitionBy(*key).orderBy("time", F.col("at").asc_nulls_first())
+    return q.unionByName(c).withColumn("c", F.last("c", ignorenulls=True).over(w)).where("at is not null").select(*key, "at", "c.*")
 
 
 def visible(tracks: DataFrame, overrides: DataFrame, default: bool = True) -> DataFrame:
@@ -174,6 +209,6 @@ def render_set(shown: DataFrame, followed: DataFrame, selected: DataFrame) -> Da
 
 def extents(points: DataFrame, sigma: float, chosen: DataFrame) -> DataFrame:
     """Time and amplitude range of chosen segments over raw and smoothed points."""
-    some = points.join(chosen, ["source_track_id", "segment_index"], "left_semi")
+    some = points.join(chosen, list(segment_key(points)), "left_semi")
     both = some.select("time", "amplitude").unionByName(smoothed(some, sigma, ("amplitude",)).select("time", "amplitude"))
     return both.agg(F.min("time").alias("time_min"), F.max("time").alias("time_max"), F.min("amplitude").alias("amp_min"), F.max("amplitude").alias("amp_max"))

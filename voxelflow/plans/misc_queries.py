@@ -371,6 +371,10 @@ def _windows(spark, d):
     return table(spark, d, "events").select("event_id", start.alias("lo"), end.alias("hi"))
 
 
+#: Places of each slider in the queries below.
+SLIDER_STEPS = 256
+
+
 @query(
     "slider_places",
     f"""WITH {FITTED}, s AS (SELECT *, (hi - lo) / 100 AS share FROM f)
@@ -379,7 +383,7 @@ def _windows(spark, d):
 )
 def slider_places(spark, d):
     """Where the sliders of each contrast window stand."""
-    places = scales.slider_places(F.col("lo"), F.col("hi"), 0.0, 100.0, scales.slider_steps(0.0, 100.0))
+    places = scales.slider_places(F.col("lo"), F.col("hi"), 0.0, 100.0, SLIDER_STEPS)
     return _windows(spark, d).select("event_id", *(c.alias(n) for n, c in places.items()))
 
 
@@ -392,7 +396,7 @@ def slider_places(spark, d):
 )
 def moved_windows(spark, d):
     """Windows after a move of the brightness slider, and of the contrast slider."""
-    place, steps = F.col("event_id") % 257, scales.slider_steps(0.0, 100.0)
+    place, steps = F.col("event_id") % 257, SLIDER_STEPS
     bright = scales.at_brightness(F.col("lo"), F.col("hi"), place, 0.0, 100.0, steps)
     contrast = scales.at_contrast(F.col("lo"), F.col("hi"), place, 0.0, 100.0, steps)
     named = zip(("bright_low", "bright_high", "contrast_low", "contrast_high"), (*bright, *contrast), strict=True)

@@ -41,9 +41,24 @@ def normalize_16_bit(spark, d):
     return intensity.normalize(voxels(spark, d), top=65535)
 
 
+@query(
+    "normalize_infinite",
+    f"""{VOX}, odd AS (SELECT t, z, y, x, CASE WHEN z % 3 = 0 AND (x + y) % 11 = 0 THEN 'inf'::DOUBLE WHEN z % 4 = 1 AND (x + y) % 13 = 0 THEN '-inf'::DOUBLE ELSE value END AS value FROM vox),
+    low AS (SELECT z, CASE WHEN isfinite(min(value)) THEN min(value) ELSE 0 END AS lo, max(value) AS hi FROM odd GROUP BY z),
+    ends AS (SELECT lo, CASE WHEN NOT isfinite(hi) OR hi = lo THEN lo + 1 ELSE hi END AS hi FROM low), whole AS (SELECT min(lo) AS lo, max(hi) AS hi FROM ends)
+    SELECT t, z, y, x, floor(greatest(0.0, least(1.0, (value - lo) / (hi - lo))) * 255 + 0.5)::INT AS code FROM odd, whole""",
+)
+def normalize_infinite(spark, d):
+    """Values without end in some slices; the other slices keep their own range."""
+    x, y, z = F.col("x"), F.col("y"), F.col("z")
+    above, below = (z % 3 == 0) & ((x + y) % 11 == 0), (z % 4 == 1) & ((x + y) % 13 == 0)
+    odd = voxels(spark, d).withColumn("value", F.when(above, float("inf")).when(below, float("-inf")).otherwise(F.col("value")))
+    return intensity.normalize(odd)
+
+
 @query("denormalize_codes", f"{COD} SELECT code, count(*) AS n, round(lo + code / 255.0::DOUBLE * (hi - lo), 6) AS value FROM cod, par GROUP BY code, lo, hi")
 def denormalize_codes(spark, d):
-    span = intensity.value_range(voxels(spark, d))
+    span = intensity.volume_range(voxels(spark, d))
     counted = codes(spark, d).groupBy("code").agg(F.count("*").alias("n"))
     return counted.join(F.broadcast(span)).select("code", "n", r6(intensity.value_of(F.col("code"), F.col("lo"), F.col("hi"))).alias("value"))
 

@@ -9,6 +9,8 @@ LAYERS = "layer_key string, channel_id string, kind string, volume_count int, wi
 MANIFEST = f"format string, generatedAt string, channels array<struct<id:string,name:string>>, layers array<struct<{LAYERS.replace(' ', ':').replace(',:', ',')}>>"
 ROI = "id string, name string, shape string, mode string, color string, start struct<x:double,y:double,z:double>, `end` struct<x:double,y:double,z:double>"
 CATALOG = "version int, examples array<struct<id:string,label:string,description:string,baseUrl:string,timepoints:long,sizeBytes:long>>"
+#: Types that a source may have.
+TYPES = ("uint8", "int8", "uint16", "int16", "uint32", "int32", "float32", "float64")
 #: Rows a file may have; about 100 MB of codes.
 FILE_ROWS = 20_000_000
 
@@ -60,10 +62,44 @@ def write_rois(rois: DataFrame, path: str) -> None:
     rois.agg(listed.alias("rois")).coalesce(1).write.mode("overwrite").json(path)
 
 
+def _checked(rows: DataFrame, what: str, problems) -> DataFrame:
+    """``rows``, or an error that names every problem; a filter, which no plan prunes."""
+    text = F.concat(F.lit(f"{what}: "), F.array_join(problems, "; "))
+    return rows.where(F.when(F.size(problems) == 0, True).otherwise(F.raise_error(text).cast("boolean")))
+
+
+def _problems(path, *rules):
+    """The texts of the rules (field, what is expected, whether it holds) that one entry breaks, each with its path."""
+    return F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.concat(path, F.lit(f".{field}: expected {expected}"))) for field, expected, ok in rules)), lambda x: x.isNotNull())
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row a layer; a file that doesn't fit the schema is an error."""
+    """One row a layer.
+
+    A file that doesn't fit the schema, or breaks a rule, is an error that names
+    the path of each violation: keys are there and differ, channels exist (where
+    the manifest lists them), volume counts and sizes are positive, types are
+    known, and ranges are not empty.
+    """
     m = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return m.select("format", F.explode("layers").alias("l")).select("format", "l.*")
+    known = F.transform("channels", lambda c: c["id"])
+    keys = F.transform("layers", lambda x: x["layer_key"])
+
+    def layer(x, i):
+        same = F.size(F.filter(keys, lambda k: k == x["layer_key"]))
+        return _problems(
+            F.concat(F.lit("manifest.layers["), i.cast("string"), F.lit("]")),
+            ("layer_key", "a name that no other layer has", (x["layer_key"] != "") & (same == 1)),
+            ("channel_id", "a channel of the manifest", F.when(known.isNotNull() & x["channel_id"].isNotNull(), F.array_contains(known, x["channel_id"])).otherwise(True)),
+            *((n, "a positive number", F.when(x[n].isNull(), True).otherwise(x[n] > 0)) for n in ("volume_count", "width", "height", "depth")),
+            ("data_type", "a known type", F.when(x["data_type"].isNull(), True).otherwise(x["data_type"].isin(*TYPES))),
+            ("stored_type", "uint8, uint16 or uint32", F.when(x["stored_type"].isNull(), True).otherwise(x["stored_type"].isin("uint8", "uint16", "uint32"))),
+            ("norm_max", "more than norm_min", F.when(x["norm_min"].isNull() | x["norm_max"].isNull(), True).otherwise(x["norm_max"] > x["norm_min"])),
+        )
+
+    there = F.when(F.col("layers").isNull(), F.array(F.lit("manifest.layers: expected a list")))
+    problems = F.coalesce(there, F.flatten(F.transform("layers", layer)))
+    return _checked(m, "manifest", problems).select("format", F.explode("layers").alias("l")).select("format", "l.*")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -92,10 +128,24 @@ def upserted(layers: DataFrame, changed: DataFrame) -> DataFrame:
     return kept.unionByName(changed)
 
 
-def read_rois(spark: SparkSession, path: str) -> DataFrame:
-    """Regions of a JSON file, in order, the first of each id; missing names and colours get defaults."""
-    r = spark.read.schema(f"rois array<struct<{ROI.replace(' string', ':string').replace(' struct', ':struct')}>>").option("multiLine", True).json(path)
-    rows = r.select(F.posexplode("rois").alias("roi_order", "r")).select("roi_order", "r.*")
+def read_rois(spark: SparkSession, path: str, size: tuple[int, int, int] | None = None) -> DataFrame:
+    """Regions of a JSON file, in order, the first of each id; missing names and colours get defaults.
+
+    Broken JSON, a document without regions, a region without id, and, with
+    ``size`` (width, height, depth), one that leaves the volume or has no corners
+    are errors that name the path of each violation.
+    """
+    r = spark.read.schema(f"rois array<struct<{ROI.replace(' string', ':string').replace(' struct', ':struct')}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+    def region(x, i):
+        rules = [("id", "a name", x["id"] != "")]
+        if size is not None:
+            rules += [(f"{corner}.{axis}", f"0 to {n - 1}", (x[corner][axis] >= 0) & (x[corner][axis] <= n - 1)) for corner in ("start", "end") for axis, n in zip("xyz", size, strict=True)]
+        return _problems(F.concat(F.lit("rois["), i.cast("string"), F.lit("]")), *rules)
+
+    there = F.when(F.col("rois").isNull(), F.array(F.lit("rois: expected a list")))
+    checked = _checked(r, "regions", F.coalesce(there, F.flatten(F.transform("rois", region))))
+    rows = checked.select(F.posexplode("rois").alias("roi_order", "r")).select("roi_order", "r.*")
     first = rows.groupBy("id").agg(F.min(F.struct("roi_order", *[c for c in rows.columns if c not in ("id", "roi_order")])).alias("r")).select("id", "r.*")
     return first.select("roi_order", "id", F.coalesce("name", "id").alias("name"), F.coalesce("shape", F.lit("rectangle")).alias("shape"), F.coalesce("mode", F.lit("2d")).alias("mode"), F.coalesce("color", F.lit("#3b82f6")).alias("color"), "start", "end")
 

@@ -9,9 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the session's ``spark.checkpoint.dir``; a session without one gets a local folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/checkpoints"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder under the session's ``spark.checkpoint.dir``, or its checkpoint folder; it goes when the session's JVM ends.
+
+    A session on one machine that has neither gets a local folder; on a cluster
+    executors could not read each other's, so there it is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    root = root or "file://" + tempfile.gettempdir() + "/checkpoints"
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
