@@ -44,6 +44,7 @@ def test_batches_with_the_same_ids(spark, seed):
     """Three batches use the same ids: each is held against all before it."""
     batches = batch_texts(seed)
     words, strings = substring_dedup.FingerprintRuns(spark), suffix_dedup.SuffixArrays(spark)
+    marked = [set() for _ in range(24)]
     for k, texts in enumerate(batches):
         docs = spark.createDataFrame(list(enumerate(texts)), PLAIN)
         so_far = [t for b in batches[: k + 1] for t in b]
@@ -53,6 +54,12 @@ def test_batches_with_the_same_ids(spark, seed):
         assert got == dict(enumerate(later[k * 8 :])), k
         got = {r.doc_id: units(r) for r in strings.add_batch(docs).collect()}
         assert got == dict(enumerate(every[k * 8 :])), k
+        for number, doc_id, found in ((r.batch, r.doc_id, units(r)) for r in strings.changes().collect()):
+            marked[number * 8 + doc_id] |= found
+        for i, t in enumerate(got.values()):
+            marked[k * 8 + i] |= t
+        assert marked == every + [set() for _ in range(24 - len(every))], k
+        assert not words.changes().count()
     assert sorted(words.runs) == sorted(strings.runs) == [0, 1]
     arrays = strings.table(1).select("shard", "suffix").collect()
     numbers = strings.shards()
@@ -108,3 +115,14 @@ def test_leads_sort_as_text():
     by_lead = np.argsort(suffix_dedup.leads(raw, at), kind="stable")
     assert by_lead.tolist() == sorted(at.tolist(), key=lambda a: raw[a : a + 8].tobytes())
     assert suffix_dedup.prefix_column(raw, at[:3], 4).to_pylist() == [raw[a : a + 4].tobytes() for a in range(3)]
+
+
+def test_a_later_batch_marks_an_earlier_one(spark):
+    passage = "".join(f"word{k} " for k in range(60))
+    strings = suffix_dedup.SuffixArrays(spark)
+    assert not strings.changes().count()
+    strings.add_batch(spark.createDataFrame([(1, passage + "unique end"), (None, "short")], PLAIN)).count()
+    assert not strings.changes().count()
+    own = strings.add_batch(spark.createDataFrame([(2, passage)], PLAIN)).first()
+    (r,) = strings.changes().collect()
+    assert (r.batch, r.doc_id, r.text) == (0, 1, passage + "unique end") and units(r) == units(own) == set(range(len(passage)))

@@ -143,6 +143,17 @@ def test_templates_are_found_over_line_ends(spark, table):
     assert got == want
 
 
+def test_other_versions_are_other_licenses(spark, table):
+    texts = ["Licensed under the Apache License Version 1.0", "This source code form is subject to the terms of the Mozilla Public License version 1.1", "This work is licensed under the GNU General Public License version 2"]
+    texts += ["Licensed under the Apache License Version 2.0", "work is licensed under the GNU general public license, version 3", "Licensed under the Apache License, Version 1.0 or 2.0"]
+    rows = list(enumerate(texts))
+    found = {r.doc_id: set(r.labels.split(",")) for r in license_scan.scan(table(rows)).collect()}
+    versions = [found[k] & {"apache-2.0", "mpl-2.0", "gpl-3.0"} for k in range(6)]
+    assert versions == [set(), set(), set(), {"apache-2.0"}, {"gpl-3.0"}, {"apache-2.0"}]
+    got, want = licenses(spark, table(rows))
+    assert got == want
+
+
 def test_scattered_words_are_no_license(spark, table):
     rng = random.Random(6)
     spread = [w for t in license_scan.TEMPLATES.values() for w in t.split()]

@@ -35,8 +35,9 @@ LANDMARKS = 160
 SAMPLE = 2_000
 #: Values of the label that are learned at most, the most frequent ones.
 LABELS = 500
-#: The filter rejects a text of EVIDENCE bytes or more of which the landmarks of no language know this share of the n-grams.
-COVERAGE, EVIDENCE = 0.7, 40
+#: The filter rejects a text of EVIDENCE bytes or more of which the landmarks know less than a language's floor of the n-grams:
+#: MARGIN of the least share of its training texts that are no landmarks, COVERAGE at most; FLOOR_TEXTS of them must be there, else it has none.
+COVERAGE, EVIDENCE, MARGIN, FLOOR_TEXTS = 0.7, 40, 0.9, 20
 RIDGE = 0.05
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -83,6 +84,7 @@ class Model:
     norms: np.ndarray  # of the landmarks
     weights: np.ndarray  # landmarks x labels, with the Nyström map folded in
     bias: np.ndarray
+    floors: np.ndarray  # for each label, the least share of known n-grams of a text in it
 
     @property
     def step(self) -> int:
@@ -130,7 +132,7 @@ def fit(texts: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS,
     column[known] = np.arange(len(known))
     presence = np.zeros((len(known), len(marks)), np.float32)
     presence[column[codes], rows] = 1.0
-    model = Model(names, column, presence, presence.sum(0), np.zeros((len(marks), len(names)), np.float32), np.zeros(len(names), np.float32))
+    model = Model(names, column, presence, presence.sum(0), np.zeros((len(marks), len(names)), np.float32), np.zeros(len(names), np.float32), np.zeros(len(names)))
     own = model.kernel_of(rows, codes, len(marks)).astype(np.float64)
     value, vector = np.linalg.eigh((own + own.T) / 2)
     use = value > 1e-6 * value.max()
@@ -146,6 +148,10 @@ def fit(texts: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS,
     beta = np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ y)
     model.weights = (nystrom @ beta).astype(np.float32)
     model.bias = (goal - mean @ beta).astype(np.float32)
+    for i, x in enumerate(names):
+        shares = [float((column[t] >= 0).mean()) for t in by[x][each:] if len(t)]
+        if len(shares) >= FLOOR_TEXTS:
+            model.floors[i] = min(COVERAGE, MARGIN * min(shares))
     return model
 
 
@@ -236,15 +242,17 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return source.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, languages: set[str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None, languages: set[str] | None = None) -> DataFrame:
     """``docs`` without the rows that are rejected, columns as they are.
 
     A row is rejected where its text is null or has no letter; where it is like
-    no language that is learned, that is, it has EVIDENCE bytes or more and less
-    than ``coverage`` of its n-grams are in any landmark, as in noise and in
-    other languages; and where the language predicted
-    isn't one of ``languages`` (None: all that are learned).  Without a model
-    nothing is known of languages, so only texts without letters go.
+    no language that is learned, as noise and other languages are: it has EVIDENCE
+    bytes or more, and the landmarks know less of its n-grams than the floor of
+    the language predicted; and where that language isn't one of ``languages``
+    (None: all that are learned).  A floor is measured on training texts that are
+    no landmarks; a language with too few of them has none, and no text goes for
+    being unlike its landmarks.  Without a model nothing is known of languages, so
+    only texts without letters go.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -257,7 +265,7 @@ def keep_identified(docs: DataFrame, model: Model | None, languages: set[str] |
             stay = np.array(letter, bool)
             if model is not None:
                 size = np.diff(buffer_of(text)[1])
-                stay &= (model.coverage(*buffer_of(text)) >= coverage) | (size < EVIDENCE)
+                stay &= (model.coverage(*buffer_of(text)) >= model.floors[best]) | (size < EVIDENCE)
                 if languages is not None:
                     stay &= np.array([names[i] in languages for i in best.tolist()], bool)
             yield part.filter(pa.array(stay))

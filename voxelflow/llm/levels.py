@@ -67,6 +67,7 @@ class Index:
         self.texts: list[DataFrame] = []  # of each batch: born, doc_id, sub, text
         self.marks: list[DataFrame] = []
         self.details: list[DataFrame] = []
+        self.settled: DataFrame | None = None  # what the last batch of ``add_batch`` has changed
 
     def entries(self, docs: DataFrame) -> DataFrame:
         """The key columns, sig, place and more, for rows of born, doc_id, sub and text."""
@@ -166,13 +167,27 @@ class Index:
         """``docs`` (doc_id, text and more) with a last column ``found``: what of them repeats, in themselves or earlier batches.
 
         The batch is put into the index.  Ids may come again: earlier batches come first, whatever their ids.
+        What the batch makes removable in earlier ones is in ``changes``.
         """
         sub, key, born = fresh(docs, "row_sub"), fresh(docs, "row_key"), len(self.texts)
         whole = told_apart(docs, self.ws, key, sub)
         self.add(whole.select(F.lit(born).alias("born"), F.col(key).alias("doc_id"), F.col(sub).alias("sub"), F.col("text").cast("string").alias("text")))
-        found = self.settle().where(F.col("born") == born).select(F.col("doc_id").alias(key), F.col("sub").alias(sub), F.col("found").alias(fresh(docs, "found")))
+        self.settled = self.ws.write(self.settle(), self.ws.name("settled"))
+        found = self.settled.where(F.col("born") == born).select(F.col("doc_id").alias(key), F.col("sub").alias(sub), F.col("found").alias(fresh(docs, "found")))
         return whole.join(found, [key, sub], "left").drop(key, sub)
 
+    def changes(self) -> DataFrame:
+        """batch (from 0), doc_id, text and ``found`` of documents of earlier batches: what repeats since the last batch was added.
+
+        Where only later places go, an earlier batch never changes; where all go, these are
+        the places that were the only one of their string so far, and some told before.
+        """
+        if self.settled is None or not self.both:
+            return self.spark.createDataFrame([], "batch int, doc_id long, text string, found array<struct<start:long,length:long>>")
+        earlier = self.settled.where(F.col("born") < len(self.texts) - 1)
+        rows = union(self.texts).join(earlier, ["born", "doc_id", "sub"])
+        return rows.select(F.col("born").alias("batch"), F.nullif(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc_id"), "text", "found")
+
 
 def marked_runs(index: Index, docs: DataFrame, batches: int, runs: str = "found") -> DataFrame:
     """``docs`` with a last column ``runs`` of (start, length): windows that repeat; null where none do.

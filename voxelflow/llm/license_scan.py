@@ -4,7 +4,8 @@ Only DataFrame functions are used.  A block is a window of consecutive words,
 whatever the line ends between them, a quarter longer than the template; a
 template is met when its containment in a block, the share of its distinct
 tokens that the block has, is ``THRESHOLD`` or more (all of them, for a template
-under ``SHORT`` tokens).  Tokens are ordered by the number of documents that
+under ``SHORT`` tokens), and the block has every number of the template, so that
+another version of a license is not taken for it.  Tokens are ordered by the number of documents that
 have them, over the whole corpus, rarest first:
 
     prefix      a block that reaches the threshold holds one of the first
@@ -13,7 +14,7 @@ have them, over the whole corpus, rarest first:
     length      blocks are as long as the template asks, and the surroundings
                 must hold enough of its tokens at all
     position    of the surroundings only blocks that hold the prefix token count
-    verify      the intersection has at least ``need`` tokens
+    verify      the intersection has at least ``need`` tokens, all numbers among them
 
 The templates' tokens, a fixed list, are the only thing that goes to every task.
 
@@ -70,6 +71,8 @@ def _split(text: str) -> list[str]:
 
 
 TOKENS = {label: list(dict.fromkeys(_split(text))) for label, text in TEMPLATES.items()}
+#: Tokens that must be there, by label: versions.
+NUMBERS = {label: [t for t in tokens if t.isdigit()] for label, tokens in TOKENS.items()}
 VOCABULARY = sorted({t for tokens in TOKENS.values() for t in tokens})
 #: Words of a block, by label.
 LENGTHS = {label: len(_split(text)) * 5 // 4 for label, text in TEMPLATES.items()}
@@ -103,7 +106,7 @@ def prefix_index(spark: SparkSession, order: list[str], threshold: float = THRES
         ranks = sorted(number[t] for t in tokens)
         need = _need(len(ranks), threshold)
         for i in range(len(ranks) - need + 1):
-            rows.append(F.struct(F.lit(ranks[i]).alias("token"), F.lit(label).alias("label"), F.array(*map(F.lit, ranks)).alias("template"), F.lit(need).alias("need"), F.lit(LENGTHS[label]).alias("length")))
+            rows.append(F.struct(F.lit(ranks[i]).alias("token"), F.lit(label).alias("label"), F.array(*map(F.lit, ranks)).alias("template"), F.array(*(F.lit(number[t]) for t in NUMBERS[label])).cast("array<int>").alias("numbers"), F.lit(need).alias("need"), F.lit(LENGTHS[label]).alias("length")))
     return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
@@ -139,7 +142,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = probe.join(index, "token", "left")
     enough = F.size(F.array_intersect("template", "block")) >= F.col("need")
     blocks = F.sequence(F.greatest(F.col("at") - F.col("length") + 1, F.lit(0)), F.col("at"))
-    reached = F.array_max(F.transform(blocks, lambda s: F.size(F.array_intersect("template", F.slice("block", s + 1, F.col("length"))))))
+    held = lambda tokens, s: F.size(F.array_intersect(tokens, F.slice("block", s + 1, F.col("length"))))
+    reached = F.array_max(F.transform(blocks, lambda s: F.when(held("numbers", s) == F.size("numbers"), held("template", s)).otherwise(0)))
     pairs = pairs.withColumn("reached", F.when(F.col("label").isNotNull() & enough, reached))
     match = F.col("reached") >= F.col("need")
     pairs = pairs.select("row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_set", F.when(match, F.col("label")).alias("met"), F.when(match, F.col("reached") / F.size("template")).alias("share"))
@@ -167,7 +171,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     """The same by brute force: every window of words against every template that the whole text could meet."""
-    values = ", ".join(f"('{label}', {tokens!r}, {_need(len(tokens), THRESHOLD)}, {LENGTHS[label]})" for label, tokens in TOKENS.items())
+    values = ", ".join(f"('{label}', {tokens!r}, CAST({NUMBERS[label]!r} AS VARCHAR[]), {_need(len(tokens), THRESHOLD)}, {LENGTHS[label]})" for label, tokens in TOKENS.items())
     phrases = " UNION ALL ".join(
         f"SELECT doc_id, i - 1 AS pos, '{label}' AS label FROM places WHERE " + " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(phrase.split())) for phrase, label in PHRASES.items()
     )
@@ -177,11 +181,11 @@ WITH words AS (SELECT doc_id, regexp_extract_all({low}, '{WORD}') AS w FROM docu
 places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
 base AS ({phrases}),
 bases AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM base GROUP BY doc_id),
-templates AS (SELECT * FROM (VALUES {values}) AS t(label, tokens, need, length)),
+templates AS (SELECT * FROM (VALUES {values}) AS t(label, tokens, numbers, need, length)),
 sets AS (SELECT doc_id, w, list_distinct(w) AS d FROM words),
-likely AS (SELECT doc_id, w, label, tokens, need, length FROM sets, templates WHERE len(list_intersect(d, tokens)) >= need),
-windows AS (SELECT doc_id, label, tokens, need, list_slice(w, s, s + length - 1) AS b FROM (SELECT *, unnest(range(1, len(w) + 1)) AS s FROM likely)),
-met AS (SELECT doc_id, label, len(list_intersect(list_distinct(b), tokens)) / len(tokens) AS share FROM windows WHERE len(list_intersect(list_distinct(b), tokens)) >= need),
+likely AS (SELECT doc_id, w, label, tokens, numbers, need, length FROM sets, templates WHERE len(list_intersect(d, tokens)) >= need),
+windows AS (SELECT doc_id, label, tokens, numbers, need, list_slice(w, s, s + length - 1) AS b FROM (SELECT *, unnest(range(1, len(w) + 1)) AS s FROM likely)),
+met AS (SELECT doc_id, label, len(list_intersect(list_distinct(b), tokens)) / len(tokens) AS share FROM windows WHERE len(list_intersect(list_distinct(b), tokens)) >= need AND len(list_intersect(list_distinct(b), numbers)) = len(numbers)),
 mets AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(share) AS share FROM met GROUP BY doc_id)
 SELECT words.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(array_to_string(bases.labels, ','), '') AS base_labels,
