@@ -1,14 +1,15 @@
 """Files written by the tests themselves, and read back."""
 
 import json
+import shutil
 import struct
 
 import numpy as np
 import pytest
 
 from voxelflow.operators import tracks
-from voxelflow.sources import storage, tiff, tracks_csv
-from voxelflow.streaming import run  # noqa: F401  imports without a session
+from voxelflow.sources import layers, storage, tiff, tracks_csv
+from voxelflow.streaming import statistics
 
 
 def test_track_csv_with_a_break(spark, tmp_path):
@@ -253,6 +254,74 @@ def test_tiff_tiles_and_packings():
         list(tiff.pages(_tiled(page, "<", 1, lambda b: b[:-1])))
 
 
+def big_tiff(stack):
+    """The same pages with 64-bit offsets, as other programs write large files."""
+    out = bytearray(b"II" + struct.pack("<HHHQ", 43, 8, 0, 16))
+    for k, page in enumerate(stack):
+        body = page.astype("<u2").tobytes()
+        fields = [(256, 4, page.shape[1]), (257, 4, page.shape[0]), (258, 3, 16), (259, 3, 1), (273, 16, 0), (277, 3, 1), (279, 16, len(body)), (339, 3, 1)]
+        start = len(out) + 8 + 20 * len(fields) + 8
+        out += struct.pack("<Q", len(fields)) + b"".join(struct.pack("<HHQQ", tag, kind, 1, start if tag == 273 else v) for tag, kind, v in fields)
+        out += struct.pack("<Q", start + len(body) if k + 1 < len(stack) else 0) + body
+    return bytes(out)
+
+
+def test_tiff_pages_in_pieces(spark, tmp_path):
+    stack = (np.arange(40 * 32 * 64) % 65_521).reshape(40, 32, 64).astype("uint16")
+    (tmp_path / "a.tif").write_bytes(tiff.encode(stack, "forty"))
+    (tmp_path / "b.tif").write_bytes(big_tiff(stack[:3]))
+    read = tiff.read_pages(spark, str(tmp_path), piece_bytes=20_000)
+    assert read.rdd.getNumPartitions() >= 11
+    by = {(r.path[-5:], r.page): r.pixels for r in read.collect()}
+    assert len(by) == 43
+    for (name, k), v in by.items():
+        assert np.array_equal(np.array(v).reshape(32, 64), stack[k]), (name, k)
+    pushed = lambda: tiff.read_pages(spark, str(tmp_path), piece_bytes=20_000, one_scan=True)
+    one = pushed().where("page = 7")
+    assert [(r.path[-5:], r.page) for r in one.collect()] == [("a.tif", 7)] and one.rdd.getNumPartitions() == 2
+    assert sorted((r.path[-5:], r.page) for r in pushed().where("page >= 1 and page < 3 and width = 64").select("path", "page").collect()) == [("a.tif", 1), ("a.tif", 2), ("b.tif", 1), ("b.tif", 2)]
+    assert {(r.path[-5:], r.pages, r.width, r.height, r.data_type, r.description) for r in tiff.probe(spark, str(tmp_path)).collect()} == {("a.tif", 40, 64, 32, "uint16", "forty"), ("b.tif", 3, 64, 32, "uint16", "")}
+    assert tiff.read_pages(spark, str(tmp_path / "b*.tif")).count() == 3
+    some = tiff.read_pages(spark, str(tmp_path), 20_000, pages=[2, 39])
+    assert sorted((r.path[-5:], r.page) for r in some.collect()) == [("a.tif", 2), ("a.tif", 39), ("b.tif", 2)] and some.rdd.getNumPartitions() <= 3
+    assert read.where("page = 0").select("path").join(read, "path").count() == 43
+
+
+def test_tiff_reads_only_what_is_asked(tmp_path):
+    from pyspark.sql.datasource import EqualTo, StringContains
+
+    stack = np.ones((40, 64, 64), "uint16")
+    (tmp_path / "a.tif").write_bytes(tiff.encode(stack))
+    page, directories = 64 * 64 * 2, 40 * 200 + 16
+
+    def run(pixels, *filters):
+        reader = tiff.TiffReader({"path": str(tmp_path), "pieceBytes": "30000", "pixels": pixels, "oneScan": "true"})
+        left = list(reader.pushFilters(list(filters)))
+        before = tiff.Ranges.total
+        parts = reader.partitions()
+        rows = sum(b.num_rows for p in parts for b in reader.read(p))
+        return len(parts), rows, tiff.Ranges.total - before, left
+
+    other = StringContains(("description",), "x")
+    assert run("true", EqualTo(("page",), 7), other)[:2] == (1, 1) and run("true", other)[3] == [other]
+    assert page <= run("true", EqualTo(("page",), 7))[2] <= page + directories
+    parts, rows, read, _ = run("true")
+    assert parts >= 13 and rows == 40 and 40 * page <= read <= 40 * page + 3 * directories
+    assert run("false")[1] == 40 and run("false")[2] <= 3 * directories
+
+
+def test_tiff_interpretations(spark, tmp_path):
+    for k in (10, 9, 1):
+        (tmp_path / f"p{k}.tif").write_bytes(tiff.encode(np.full((1, 2, 3), k, "uint8")))
+    pages = tiff.read_pages(spark, str(tmp_path))
+    as_z = tiff.voxels_of(pages, "single-3d-volume")
+    assert sorted({(r.t, r.z, r.value) for r in as_z.collect()}) == [(0, 0, 1.0), (0, 1, 9.0), (0, 2, 10.0)]
+    (tmp_path / "movie").mkdir()
+    (tmp_path / "movie" / "m.tif").write_bytes(tiff.encode(np.arange(12).reshape(2, 2, 3).astype("uint8")))
+    movie = tiff.voxels_of(tiff.read_pages(spark, str(tmp_path / "movie")), "2d-movie")
+    assert sorted((r.t, r.z, r.y, r.x, r.value) for r in movie.collect()) == [(t, 0, y, x, float(t * 6 + y * 3 + x)) for t in range(2) for y in range(2) for x in range(3)]
+
+
 def test_catalogues(spark, tmp_path):
     e = {"id": " a ", "label": "A", "description": "d", "baseUrl": "https://sets.example/a//", "timepoints": 3}
     f = tmp_path / "c.json"
@@ -264,3 +333,65 @@ def test_catalogues(spark, tmp_path):
         g.write_text(json.dumps(bad))
         with pytest.raises(Exception, match=message):
             storage.read_catalog(spark, str(g)).collect()
+
+
+def layer_rows(seed, dims=(64, 16, 16), holes=False):
+    rng = np.random.default_rng(seed)
+    v = rng.integers(0, 40, dims)
+    v[5, 3, 4], v[40:44] = 250, rng.integers(200, 255, (4, *dims[1:]))
+    rows = [(0, z, y, x, int(v[z, y, x])) for z in range(dims[0]) for y in range(dims[1]) for x in range(dims[2])]
+    return [r for r in rows if r[1] % 3 or (r[2] + r[3]) % 5] if holes else rows
+
+
+@pytest.mark.parametrize("holes", [False, True])
+def test_layers_open_the_best_bricks_first(spark, tmp_path, holes):
+    rows = layer_rows(3, holes=holes)
+    if holes:
+        rows = [r for r in rows if not (r[2:4] == (0, 0) and 32 <= r[1] < 48)]
+    codes = spark.createDataFrame(rows, "t int, z int, y int, x int, code int")
+    layer = layers.write_layer(codes, str(tmp_path / "a"), (4, 8, 8))
+    want = {}
+    for _, _, y, x, c in rows:
+        want[y, x] = max(c, want.get((y, x), 0))
+    assert {(r.y, r.x): r.code for r in layer.project_max().collect()} == want
+    n_bricks = layer.table("bricks").count()
+    assert n_bricks == 64 and sum(layer.opened) < n_bricks / 2
+    assert layer.table("histogram").groupBy().sum("n").first()[0] == len(rows)
+    assert sorted(map(tuple, layer.above(240).collect())) == sorted(r for r in rows if r[4] > 240)
+    assert layer.table("hierarchy").where("level = 3").count() == 2
+
+
+def test_layer_reads_only_the_folders_it_needs(spark, tmp_path):
+    codes = spark.createDataFrame(layer_rows(4), "t int, z int, y int, x int, code int")
+    layer = layers.write_layer(codes, str(tmp_path / "a"), (4, 8, 8))
+    rows = layer.above(100)
+    assert "dynamicpruning" in rows._jdf.queryExecution().executedPlan().toString()
+    some = layer.inside(layer.table("bricks").where("gz = 10"))
+    for folder in (tmp_path / "a" / "voxels" / "t=0").glob("gz=*"):
+        if folder.name != "gz=10":
+            shutil.rmtree(folder)  # the files are listed already: to open one is an error
+    assert sorted({r.z for r in some.collect()}) == [40, 41, 42, 43]
+
+
+def test_an_empty_layer(spark, tmp_path):
+    layer = layers.write_layer(spark.createDataFrame([(0, 0, 0, 0, 7)], "t int, z int, y int, x int, code int"), str(tmp_path / "a"), (4, 8, 8))
+    assert [tuple(r) for r in layer.project_max().collect()] == [(0, 0, 0, 7)] and layer.opened == [1]
+
+
+def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
+    kept = statistics.RunningStatistics(spark, str(tmp_path / "s"))
+    assert kept.read() is None
+    one = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None)], "key string, value double")
+    two = spark.createDataFrame([("a", -1.0), ("c", 2.0)], "key string, value double")
+    want = [("a", 3, -1.0, 3.0, 3.0), ("b", 0, None, None, None), ("c", 1, 2.0, 2.0, 2.0)]
+    got = lambda: sorted(tuple(r) for r in kept.read().collect())
+    kept.add(one, 0)
+    kept.add(two, 1)
+    kept.add(two, 1)
+    assert got() == want
+    kept.compact()
+    assert kept._parts() == ["base-1"] and got() == want
+    kept.add(one, 0)
+    assert got() == want
+    kept.add(two, 2)
+    assert [r[1] for r in got()] == [4, 0, 2]

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scales import golden_hue, hsl
 from ..operators import tracks
+from ..sources import tracks_csv
 from ..sources.adapters import table, track_rows, with_tables
+from ..streaming.run import shared_folder
 from .registry import query, r6, rounded
 
 TRK = with_tables("trk")
@@ -242,3 +244,19 @@ def thrash_events(spark, d):
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     o = t.withColumn("other", F.when(F.col("up"), F.max(F.when(~F.col("up"), F.col("s"))).over(before)).otherwise(F.max(F.when(F.col("up"), F.col("s"))).over(before)))
     return o.groupBy("user_id").agg(F.count_if(F.col("s") - F.col("other") <= 43200).alias("n_thrash"))
+
+
+@query(
+    "track_files",
+    f"""{TRK} SELECT 'track-set-' || (source_track_id % 4 + 1) AS track_set, row_number() OVER (PARTITION BY source_track_id % 4 ORDER BY row_idx) - 1 AS row_idx, source_track_id, is_break,
+        CASE WHEN NOT is_break THEN greatest(0.0, time) END AS time, x, y, z, CASE WHEN NOT is_break THEN greatest(0.0, amplitude) END AS amplitude FROM trk""",
+)
+def track_files(spark, d):
+    """Four CSV files, each a set of tracks, written in the order of their rows and read back in splits."""
+    folder = shared_folder(spark, "track-files")
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source_track_id", "time", "x", "y", "z", "amplitude")]
+    rows = track_rows(spark, d)
+    for k in range(4):
+        line = F.concat_ws(",", cells[0], F.lit("0"), *cells[1:5], F.coalesce(F.col("amplitude").cast("string"), F.lit("0")), F.lit("0"))
+        rows.where(F.col("source_track_id") % 4 == k).orderBy("row_idx").select(line.alias("value")).coalesce(1).write.text(f"{folder}/{k}")
+    return tracks_csv.read_tracks(spark, f"{folder}/*").drop("file")

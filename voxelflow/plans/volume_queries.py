@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bricks, intensity, sampling
+from ..sources import layers
 from ..sources.adapters import HEIGHT, WIDTH, depth, table, voxels, with_tables
+from ..streaming.run import shared_folder
 from .registry import query, r6, rounded
 
 SIZE = (8, 8, 16)
@@ -361,6 +363,18 @@ def resample_nearest(spark, d):
     return sampling.resample(voxels(spark, d), (depth(spark, d), HEIGHT, WIDTH), (10, 20, 32), linear=False)
 
 
+@query("project_best_bound", f"{COD} SELECT t, y, x, max(code) AS code FROM cod GROUP BY ALL")
+def project_best_bound(spark, d):
+    """The largest code of each ray, from a stored layer whose bricks are opened best bound first."""
+    return layers.write_layer(codes(spark, d), shared_folder(spark, "layer"), SIZE).project_max()
+
+
+@query("layer_voxels_above", f"{COD} SELECT t, z, y, x, code FROM cod WHERE code > 230")
+def layer_voxels_above(spark, d):
+    """Voxels over a threshold, from a stored layer and the bricks that can hold any."""
+    return layers.write_layer(codes(spark, d), shared_folder(spark, "layer"), SIZE).above(230)
+
+
 @query("project_max", f"{COD} SELECT t, y, x, max(code) AS code FROM cod GROUP BY ALL")
 def project_max(spark, d):
     return sampling.project_max(codes(spark, d))

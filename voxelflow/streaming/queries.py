@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.registry import query, rounded
-from . import operators, run
+from . import operators, run, statistics
 
 
 def _events(spark, d):
@@ -48,3 +48,8 @@ def stream_sessions(spark, d):
 def stream_slice_pairs(spark, d):
     e = F.col("event_id")
     return run.drained(operators.slice_pairs(_events(spark, d).select(e.cast("int").alias("z"), (e * 31 % 251).cast("int").alias("best"))), "append", "slice-pairs")
+
+
+@query("stream_statistics", "SELECT event_type, count(value) AS n, min(value) AS lo, max(value) AS hi, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def stream_statistics(spark, d):
+    return statistics.drained(_events(spark, d), "event_type", "value").withColumn("total", F.round("total", 4))
