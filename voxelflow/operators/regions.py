@@ -79,7 +79,7 @@ def measure(voxels: DataFrame, rois: DataFrame, dims: tuple[int, int, int], t: i
 
 def snapshot(rois: DataFrame, channels: DataFrame) -> DataFrame:
     """Every region with every channel: the rows of a measurement table. Both are short lists."""
-    return rois.select("roi_order", "roi_name").crossJoin(F.broadcast(channels))
+    return rois.select("roi_order", "roi_name").crossJoin(channels)
 
 
 def formatted(value, decimals: int = 3):

@@ -173,7 +173,7 @@ def visible_layers(spark, d):
     """Layers whose channel isn't hidden; channels without a setting are shown."""
     v = table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") % 2 == 0).alias("vis"))
     p = table(spark, d, "part")
-    return p.join(F.broadcast(v), p["p_size"] == v["n_nationkey"], "left").where(F.coalesce("vis", F.lit(True))).select("p_partkey", "p_brand")
+    return p.join(v, p["p_size"] == v["n_nationkey"], "left").where(F.coalesce("vis", F.lit(True))).select("p_partkey", "p_brand")
 
 
 @query("prefetch_best", """WITH c AS (SELECT event_id, user_id AS t, event_id % 7 AS step, CASE WHEN event_id % 7 = 0 THEN 300 WHEN event_id % 7 <= 2 THEN 200 ELSE 100 END - 8 * (event_id % 7) AS score FROM events)

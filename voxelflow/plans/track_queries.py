@@ -132,7 +132,7 @@ def named_tracks(spark, d):
     """Tracks with the names of their set and channel, null where there is none."""
     t = segments(spark, d).withColumn("set_key", F.col("source_track_id") % 30)
     n, r = table(spark, d, "nation"), table(spark, d, "region")
-    named = t.join(F.broadcast(n), t["set_key"] == n["n_nationkey"], "left").join(F.broadcast(r), F.col("n_regionkey") == r["r_regionkey"], "left")
+    named = t.join(n, t["set_key"] == n["n_nationkey"], "left").join(r, F.col("n_regionkey") == r["r_regionkey"], "left")
     return named.select("track_id", F.col("n_name").alias("set_name"), F.col("r_name").alias("channel_name"))
 
 
@@ -201,7 +201,7 @@ def offset_points(spark, d):
     """Points moved by the offset of the channel their set is bound to; unbound sets stay."""
     o = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_nationkey").cast("double").alias("dx"))
     p = points(spark, d)
-    j = p.join(F.broadcast(o), p["source_track_id"] % 30 == o["k"], "left")
+    j = p.join(o, p["source_track_id"] % 30 == o["k"], "left")
     return j.select("row_idx", (F.col("x") + F.coalesce("dx", F.lit(0.0))).alias("x"), (F.col("y") - F.coalesce("dx", F.lit(0.0))).alias("y"))
 
 

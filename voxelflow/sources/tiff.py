@@ -367,7 +367,7 @@ def channel_voxels_of(page_rows: DataFrame) -> DataFrame:
     """
     gray = F.when(F.col("samples") == 1, F.col("description"))
     first = page_rows.where("page = 0").select("path", channel_layout(gray).alias("layout"))
-    v = _samples_of(page_rows, "3d-movie", ("path",)).join(F.broadcast(first), "path")
+    v = _samples_of(page_rows, "3d-movie", ("path",)).join(first, "path")
     n = F.coalesce(F.col("layout.channels"), F.lit(1))
     return v.select("t", F.floor(F.col("z") / n).cast("int").alias("z"), "y", "x", F.when(n > 1, F.pmod("z", n)).otherwise(F.col("sample")).cast("int").alias("channel"), "value")
 
@@ -401,7 +401,7 @@ def _samples_of(page_rows: DataFrame, interpretation: str, keep: tuple[str, ...]
     from ..functions.text import natural_key
 
     files = page_rows.select("path").distinct().select("path", (F.row_number().over(Window.orderBy(natural_key(F.col("path")))) - 1).alias("file_no"))
-    p = page_rows.join(F.broadcast(files), "path")
+    p = page_rows.join(files, "path")
     if interpretation == "single-3d-volume":
         shape = page_rows.agg(F.first("width").alias("w0"), F.first("height").alias("h0"))
         same = (F.col("width") == F.col("w0")) & (F.col("height") == F.col("h0")) & (F.col("page") == 0)
