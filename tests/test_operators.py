@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelflow.functions import scales, text
-from voxelflow.operators import bricks, intensity, labels, regions, sampling, tracks
+from voxelflow.operators import bricks, intensity, labels, ranks, regions, sampling, tracks
 
 ROI = "roi_order int, roi_name string, shape string, mode string, sx double, sy double, sz double, ex double, ey double, ez double"
 
@@ -243,3 +243,49 @@ def test_ranges_without_end(spark):
     assert [r.code for r in intensity.normalize(df).orderBy("x").collect()] == [0, 255, 255, 255, 255]
     assert tuple(intensity.value_range(df.withColumn("value", F.lit(float("nan")))).first()) == (0.0, 1.0)
     assert tuple(intensity.value_range(df.withColumn("value", -F.col("value"))).first()) == (0.0, 1.0)
+
+
+@pytest.mark.parametrize("sigma", [0.4, 2.5, 30.0])
+def test_smoothing_in_pieces(spark, sigma):
+    """A long segment beside short ones, with gaps and nulls: pieces with copied ends give what whole segments give."""
+    rng = random.Random(5)
+    rows = [(1, 0, i, float(i // 3), rng.random(), rng.random(), 1.0, None if i % 50 == 3 else rng.random()) for i in range(700)]
+    rows += [(s, g, 1000 * s + i, float(-i), rng.random(), 2.0, 3.0, math.inf if i == 1 else 1.0) for s in range(2, 9) for g in range(2) for i in range(s)]
+    p = points_of(spark, rows).repartition(5)
+    key = lambda r: (r.source_track_id, r.segment_index, r.point_idx)
+    whole = sorted(tracks.smoothed(p, sigma).collect(), key=key)
+    pieces = sorted(tracks.smoothed(p, sigma, piece=16).collect(), key=key)
+    assert len(whole) == len(rows) and [tuple(r) for r in pieces] == [pytest.approx(tuple(r), rel=1e-9) for r in whole]
+
+
+def test_a_long_segment_is_many_tasks(spark):
+    p = spark.range(20_000).select(F.lit(1).cast("long").alias("source_track_id"), F.lit(0).alias("segment_index"), F.col("id").alias("row_idx"), *(F.col("id").cast("double").alias(c) for c in ("time", "x", "y", "z", "amplitude")))
+    dealt = ranks.in_ranges(p, ("source_track_id", "segment_index", "time", "row_idx")).groupBy("_range").count().collect()
+    assert len(dealt) > 200 and max(r["count"] for r in dealt) < 400
+    got = tracks.smoothed(p, 2.0, ("x",), piece=1000).agg(F.count("*"), F.max(F.abs(F.col("x") - F.col("row_idx")))).first()
+    assert got[0] == 20_000 and got[1] < 4  # only the ends are drawn inwards
+
+
+def test_ranks_by_ranges(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, math.nan, -0.0, 0.0, 1.5, float(i)]), rng.choice(["a", None, "b"])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i long, v double, s string").repartition(7)
+    got = ranks.ranked(df, ("s", "v", "i")).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 3001))
+    assert [r.i for r in got] == [r.i for r in df.orderBy("s", "v", "i").collect()]
+    assert ranks.ranked(df.limit(0), ("i",)).collect() == []
+    assert [r.place for r in ranks.ranked(df.where("i = 5"), ("i",)).collect()] == [1]
+
+
+def test_exact_medians(spark):
+    """One group with nearly all rows, many copies of a value, groups of one and two rows, nulls and infinities."""
+    rng = random.Random(7)
+    rows = [(1, rng.choice([2.0, rng.gauss(0, 1)])) for _ in range(4001)] + [(2, 5.0), (3, 1.0), (3, 2.0), (4, None), (4, -1.0), (5, math.inf), (5, 1.0), (5, math.inf), (6, None)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(6)
+    got = {r.g: r for r in ranks.value_statistics(df, "g", "v").collect()}
+    want = {r.g: r for r in df.groupBy("g").agg(F.count("v").alias("n"), F.median("v").alias("median"), F.stddev_pop("v").alias("std"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")).where("n > 0").collect()}
+    assert set(got) == set(want)
+    for g, w in want.items():
+        assert (got[g].n_values, got[g].median, got[g].min, got[g].max) == (w.n, w.median, w.min, w.max)
+        if g != 5:
+            assert (got[g].mean, got[g].std) == pytest.approx((w.mean, w.std))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import value_statistics
 from .sampling import trilinear
 
 EPSILON = 1e-9
@@ -68,12 +69,12 @@ def measure(voxels: DataFrame, rois: DataFrame, dims: tuple[int, int, int], t: i
     """Count, population deviation, least, largest, mean and median of each region; all null where it is empty.
 
     Regions are a short list; their voxel keys are shuffled to the volume, or
-    broadcast by the planner where they are few.
+    broadcast by the planner where they are few.  Medians are exact, and a region
+    as large as the volume is many tasks.
     """
     picked = region_voxels(rois, dims).join(voxels.where(F.col("t") == t).select("z", "y", "x", "value"), ["z", "y", "x"]).select("roi_order", "value")
     values = picked.unionByName(line_profile(voxels.where(F.col("t") == t), rois, dims, t).select("roi_order", "value"))
-    v = F.col("value")
-    stats = values.groupBy("roi_order").agg(F.count(v).alias("n_voxels"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.median(v).alias("median"))
+    stats = value_statistics(values, "roi_order", "value").withColumnRenamed("n_values", "n_voxels")
     return rois.select("roi_order", "roi_name", "shape", "mode").join(stats, "roi_order", "left")
 
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intensity import finite
+from .ranks import before, in_ranges
 
 EPSILON = 1e-3
+COORDINATES = ("x", "y", "z", "amplitude")
 
 
 def sets(rows: DataFrame) -> tuple[str, ...]:
@@ -46,20 +50,12 @@ def ordered(points: DataFrame) -> DataFrame:
     return points.select("*", (F.row_number().over(w) - 1).alias("point_idx"))
 
 
-def before(rows: DataFrame, bucket: Column, order: tuple[str, ...], by: tuple[str, ...] = (), **sums: Column) -> DataFrame:
-    """``rows`` with, for each of ``sums``, its total over the rows of the same ``by`` that come before in ``order``.
-
-    ``bucket`` must grow with the order.  Rows are ordered inside their bucket
-    alone, and one task sees only the buckets' totals.
-    """
-    dealt = rows.withColumn("_bucket", bucket)
-    totals = dealt.groupBy(*by, "_bucket").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
-    through = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_bucket").alias("_start"), *(F.coalesce(F.sum(f"_{n}").over(through), F.lit(0)).alias(f"_{n}") for n in sums))
-    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    found = dealt.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in sums.items()))
-    found = found.join(starts, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(d)) for c, d in [("_bucket", "_start"), *((c, f"_{c}") for c in by)])))
-    return found.select(*rows.columns, *((F.col(n) + F.col(f"_{n}")).alias(n) for n in sums))
+def numbered(points: DataFrame) -> DataFrame:
+    """As ``ordered``, by ranges of the order: no task sees a whole segment."""
+    key = segment_key(points)
+    dealt = in_ranges(points, (*key, "time", "row_idx"))
+    found = before(dealt, F.col("_range"), ("time", "row_idx"), key, point_idx=F.lit(1).cast("long"))
+    return found.select(*points.columns, F.col("point_idx").cast("int").alias("point_idx"))
 
 
 #: Rows of a file, and track numbers, that make a bucket of ``summary``.
@@ -134,31 +130,71 @@ def centroids(points: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     return placed.groupBy(*key, "group_time").agg(*(F.avg(c).alias(c) for c in ("x", "y", "z", "amplitude")), F.count("*").alias("n_points"))
 
 
-def smoothed(points: DataFrame, sigma: float, columns: tuple[str, ...] = ("x", "y", "z", "amplitude")) -> DataFrame:
+def smoothed(points: DataFrame, sigma: float, columns: tuple[str, ...] = COORDINATES, piece: int | None = None) -> DataFrame:
     """Gaussian means over neighbours by index; weights are renormalized at the ends.
 
     A point with a coordinate that isn't finite lends nothing, and stays itself
-    where nothing is near.
+    where nothing is near.  With ``piece`` long segments are spread over tasks:
+    points are numbered by ranges of the order, and each piece of so many points
+    gets copies of the points within reach of its ends.
     """
-    p = ordered(points)
-    if not sigma > 0 or sigma == float("inf"):
+    key, order = segment_key(points), ("time", "row_idx")
+    still = not sigma > 0 or sigma == float("inf")
+    p = ordered(points) if piece is None else numbered(points)
+    if still:
         return p
-    import math
-
     radius = max(1, math.ceil(3 * sigma))
-    w = Window.partitionBy(*segment_key(points)).orderBy("point_idx").rowsBetween(-radius, radius)
-    ok = F.lit(True)
-    for c in ("x", "y", "z", "amplitude"):
-        ok = ok & finite(F.col(c)).isNotNull()
-    near = p.withColumn("near", F.collect_list(F.when(ok, F.struct("point_idx", *columns))).over(w))
-    weight = lambda n: F.exp(-F.pow((n["point_idx"] - F.col("point_idx")).cast("double"), 2) / (2 * sigma * sigma))
-    total = F.aggregate("near", F.lit(0.0), lambda a, n: a + weight(n))
-
-    def mean(c: str) -> Column:
-        return F.when(total > 0, F.aggregate("near", F.lit(0.0), lambda a, n: a + weight(n) * n[c]) / total).otherwise(F.col(c)).alias(c)
-
-    means = {c: mean(c) for c in columns}
-    return near.select(*(means.get(c, F.col(c)) for c in p.columns))
+    near, parts, own = p, (), None
+    if piece is not None:
+        at = lambda shift: F.floor((F.col("point_idx") + shift) / piece)
+        own = F.col("_piece") == at(0)
+        near, parts, order = p.withColumn("_piece", F.explode(F.sequence(F.greatest(F.lit(0), at(-radius)), at(radius)))), ("_piece",), ("point_idx",)
+        near = near.repartition(*key, *parts)
+    # one segment after the other, which the numbering has sorted already where there are no pieces
+    near = near.sortWithinPartitions(*key, *parts, *order)
+    found = near.mapInArrow(lambda batches: _smoothed(batches, sigma, radius, columns), near.schema)
+    return (found if own is None else found.where(own)).select(*p.columns)
+
+
+def _smoothed(batches, sigma: float, radius: int, columns: tuple[str, ...]):
+    """Rows in order of segment and point; of the stream only ``2 * radius`` rows and a batch are held.
+
+    A row k places on is the point k numbers on just where both are of one run:
+    numbers begin anew, and lower, with the next.
+    """
+    weight = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(radius + 1)]
+
+    def means(held: pa.Table, low: int, high: int) -> pa.Table:
+        index = held["point_idx"].to_numpy()
+        values = np.stack([pc.fill_null(held[c], math.nan).to_numpy() for c in COORDINATES])
+        lends = np.isfinite(values).all(0)
+        picked = np.where(lends, values[[COORDINATES.index(c) for c in columns]], 0.0)
+        total, sums = np.zeros(len(index)), np.zeros_like(picked)
+        for k in range(min(radius + 1, len(index))):
+            n = len(index) - k
+            w = np.where(index[k:] == index[:n] + k, weight[k], 0.0)
+            total[:n] += w * lends[k:]
+            sums[:, :n] += w * picked[:, k:]
+            if k:
+                total[k:] += w * lends[:n]
+                sums[:, k:] += w * picked[:, :n]
+        some = total[low:high] > 0
+        out = held.slice(low, high - low)
+        for c, s in zip(columns, sums, strict=True):
+            mean = pa.array(s[low:high] / np.where(some, total[low:high], 1.0))
+            out = out.set_column(out.schema.get_field_index(c), out.schema.field(c), pc.if_else(pa.array(some), mean, out[c]))
+        return out
+
+    held, done = None, 0
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        held = part if held is None else pa.concat_tables([held, part]).combine_chunks()
+        high = max(done, held.num_rows - radius)
+        yield from means(held, done, high).to_batches()
+        keep = max(0, high - radius)
+        held, done = held.slice(keep), high - keep
+    if held is not None:
+        yield from means(held, done, held.num_rows).to_batches()
 
 
 def trail(points: DataFrame, at: float, length: float | None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scales, text
+from ..operators.ranks import ranked
 from ..sources.adapters import table
 from . import validation
 from .registry import query, r6
@@ -70,7 +71,7 @@ def export_entries(spark, d):
 def natural_order(spark, d):
     """Names with numbers in them, in the order people expect; one row a file."""
     p = table(spark, d, "part").select("p_partkey", text.natural_key(F.concat(F.lit("Scan_T"), F.col("p_partkey").cast("string"), F.lit(".tif"))).alias("k"))
-    return p.select("p_partkey", F.row_number().over(Window.orderBy("k")).cast("long").alias("place"))
+    return ranked(p, ("k", "p_partkey")).select("p_partkey", "place")
 
 
 @query("deduped_files", "SELECT p_brand AS path, min(p_partkey) AS first_key FROM part GROUP BY p_brand")
@@ -227,12 +228,17 @@ def props_at_timepoint(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.lit(7).between(F.least(k, k * 5 % 13), F.greatest(k, k * 5 % 13)).alias("is_visible"))
 
 
-@query("brush_offsets", "WITH r AS (SELECT unnest(range(-4, 5))::INT AS v) SELECT a.v AS dz, b.v AS dy, c.v AS dx FROM r a, r b, r c WHERE a.v * a.v + b.v * b.v + c.v * c.v < 16")
+@query(
+    "brush_offsets",
+    """WITH b AS (SELECT DISTINCT p_size % 5 AS radius FROM part), r AS (SELECT radius, unnest(range(-radius, radius + 1)) AS v FROM b)
+    SELECT radius, a.v AS dz, b.v AS dy, c.v AS dx FROM r a JOIN r b USING (radius) JOIN r c USING (radius) WHERE a.v * a.v + b.v * b.v + c.v * c.v < greatest(1, radius * radius)""",
+)
 def brush_offsets(spark, d):
-    """Offsets inside a ball of radius 4."""
-    r = F.sequence(F.lit(-4), F.lit(4))
-    ball = spark.range(1).select(F.explode(r).alias("dz")).select("dz", F.explode(r).alias("dy")).select("dz", "dy", F.explode(r).alias("dx"))
-    return ball.where("dz * dz + dy * dy + dx * dx < 16")
+    """Offsets inside the ball of each brush in use."""
+    ball = table(spark, d, "part").select((F.col("p_size") % 5).cast("long").alias("radius")).distinct()
+    for c in ("dz", "dy", "dx"):
+        ball = ball.select("*", F.explode(F.sequence(-F.col("radius"), F.col("radius"))).alias(c))
+    return ball.where("dz * dz + dy * dy + dx * dx < greatest(1, radius * radius)")
 
 
 @query("outline_vertices", "WITH i AS (SELECT unnest(range(48))::INT AS i) SELECT n_nationkey, i, round(n_nationkey + 3 * cos(2 * pi() * i / 48), 6) AS x, round(n_nationkey + 2 * sin(2 * pi() * i / 48), 6) AS y FROM nation, i")
@@ -350,7 +356,7 @@ def natural_order_long(spark, d):
     k = F.col("p_partkey")
     stamp = F.when(k % 2 == 0, F.lit(20240101000000) + k).otherwise(F.lit(9000000000000) - k)
     p = table(spark, d, "part").select("p_partkey", text.natural_key(F.concat(F.lit("f"), stamp.cast("string"), F.lit(".tif"))).alias("k"))
-    return p.select("p_partkey", F.row_number().over(Window.orderBy("k")).cast("long").alias("place"))
+    return ranked(p, ("k", "p_partkey")).select("p_partkey", "place")
 
 
 @query("warm_up_frames", "SELECT o_orderkey, o_custkey % 40 AS frame, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(target, 1000000), o_orderkey) AS place FROM orders LEFT JOIN (SELECT n_nationkey AS frame_key, n_nationkey * 7 % 25 AS target FROM nation) ON o_custkey % 40 = frame_key")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scales import golden_hue, hsl
 from ..operators import tracks
+from ..operators.ranks import ranked
 from ..sources import tracks_csv
 from ..sources.adapters import table, track_rows, with_tables
 from ..streaming.run import shared_folder
@@ -90,6 +91,12 @@ def smoothed_amplitudes(spark, d):
     return rounded(tracks.smoothed(points(spark, d), 2.5, ("amplitude",)).select("source_track_id", "segment_index", "point_idx", "x", "amplitude"), "amplitude")
 
 
+@query("smoothed_in_pieces", f"{TRK}, {SEG}, {SMOOTH} SELECT source_track_id, segment_index, point_idx, round(x, 6) AS x, round(amplitude, 6) AS amplitude FROM smo")
+def smoothed_in_pieces(spark, d):
+    """Long segments in pieces of 64 points, with copies of their neighbours' ends."""
+    return rounded(tracks.smoothed(points(spark, d), 2.5, ("x", "amplitude"), piece=64).select("source_track_id", "segment_index", "point_idx", "x", "amplitude"), "x", "amplitude")
+
+
 @query("track_trail", f"{TRK}, {SEG} SELECT source_track_id, segment_index, row_idx, time FROM seg WHERE time BETWEEN 360 - 48 - 0.001 AND 360 + 0.001")
 def track_trail(spark, d):
     return tracks.trail(points(spark, d), 360.0, 48.0).select("source_track_id", "segment_index", "row_idx", "time")
@@ -178,8 +185,8 @@ def kept_selection(spark, d):
 def display_order(spark, d):
     """Selected tracks first, in order of selection, then by length. One row a track."""
     first = F.when(F.col("source_track_id") == 5, F.col("segment_index")).otherwise(1_000_000_000)
-    placed = tracks.before(summary(spark, d), F.struct(first.alias("first"), (-F.col("point_count")).alias("length")), ("internal_id",), place=F.lit(1).cast("long"))
-    return placed.select("track_id", (F.col("place") + 1).alias("place"))
+    lengths = summary(spark, d).select("track_id", first.alias("first"), (-F.col("point_count")).alias("length"), "internal_id")
+    return ranked(lengths, ("first", "length", "internal_id")).select("track_id", "place")
 
 
 @query("selected_extents", f"{TRK}, {SEG}, {SMOOTH}, b AS (SELECT time, amplitude FROM pts WHERE source_track_id = 5 UNION ALL SELECT time, s.amplitude FROM smo s JOIN pts p USING (source_track_id, segment_index, point_idx) WHERE source_track_id = 5) SELECT min(time) AS time_min, max(time) AS time_max, round(min(amplitude), 6) AS amp_min, round(max(amplitude), 6) AS amp_max FROM b")

@@ -396,11 +396,11 @@ def voxels_of(page_rows: DataFrame, interpretation: str = "3d-movie") -> DataFra
 
 
 def _samples_of(page_rows: DataFrame, interpretation: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    from pyspark.sql import Window
-
     from ..functions.text import natural_key
+    from ..operators.ranks import ranked
 
-    files = page_rows.select("path").distinct().select("path", (F.row_number().over(Window.orderBy(natural_key(F.col("path")))) - 1).alias("file_no"))
+    paths = page_rows.select("path").distinct().select("path", natural_key(F.col("path")).alias("name"))
+    files = ranked(paths, ("name", "path"), "file_no").select("path", (F.col("file_no") - 1).alias("file_no"))
     p = page_rows.join(files, "path")
     if interpretation == "single-3d-volume":
         shape = page_rows.agg(F.first("width").alias("w0"), F.first("height").alias("h0"))
