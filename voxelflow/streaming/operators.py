@@ -35,12 +35,16 @@ def join_slices(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -
     """Joins slices 2k and 2k + 1 as they arrive, in any order and any batch.
 
     The state of a pair is the one slice that waits; a pair is handed on as soon
-    as it is whole.
+    as it is whole, or when the time for its partner is over.
     """
     seen = {}
     if state.exists:
         z, best = state.get
         seen[z] = best
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame({"pair": [int(key[0])], "best": [best]})
+        return
     for frame in frames:
         for z, best in zip(frame["z"], frame["best"], strict=True):
             seen[int(z)] = max(int(best), seen.get(int(z), int(best)))
@@ -52,10 +56,18 @@ def join_slices(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -
         state.update(next(iter(seen.items())))
 
 
-def slice_pairs(slices: DataFrame) -> DataFrame:
+def slice_pairs(slices: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """``slices`` (z, best) to (pair, best): one level of a streaming pyramid.
 
-    A last slice without a partner waits in the state; a batch pyramid has it.
+    A slice without a partner waits in the state, for ``idle_ms`` at most where it
+    is given; then it is handed on alone, as a batch pyramid has it.
     """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        yield from join_slices(key, frames, state)
+        if idle_ms is not None and state.exists:
+            state.setTimeoutDuration(idle_ms)
+
+    timer = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     keyed = slices.withColumn("pair", F.shiftright("z", 1))
-    return keyed.groupBy("pair").applyInPandasWithState(join_slices, "pair int, best int", "z int, best int", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("pair").applyInPandasWithState(step, "pair int, best int", "z int, best int", "append", timer)

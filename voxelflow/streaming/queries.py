@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import intensity
 from ..plans.registry import query, rounded
-from . import operators, run, statistics
+from ..sources import adapters
+from . import operators, pyramid, run, statistics
 
 
 def _events(spark, d):
@@ -53,3 +55,12 @@ def stream_slice_pairs(spark, d):
 @query("stream_statistics", "SELECT event_type, count(value) AS n, min(value) AS lo, max(value) AS hi, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def stream_statistics(spark, d):
     return statistics.drained(_events(spark, d), "event_type", "value").withColumn("total", F.round("total", 4))
+
+
+@query("stream_pyramid", f"{adapters.with_tables('vox', 'cod')} SELECT s::INT AS scale, t, (z >> s)::INT AS z, (y >> s)::INT AS y, (x >> s)::INT AS x, max(code) AS code FROM cod, (SELECT unnest(range(4))::INT AS s) GROUP BY ALL")
+def stream_pyramid(spark, d):
+    """The volume's slices as a stream of files; whole stacks leave no state."""
+    folder = run.shared_folder(spark, "slices")
+    pyramid.tiles(intensity.normalize(adapters.voxels(spark, d)), 16).write.mode("overwrite").parquet(f"{folder}/slices.parquet")
+    slices = run.table_stream(spark, folder, "slices", spark.read.parquet(f"{folder}/slices.parquet").schema)
+    return pyramid.voxels(run.drained(pyramid.pyramid(slices, 4, 16, adapters.depth(spark, d)), "append", "pyramid"), 16)
