@@ -289,3 +289,18 @@ def test_exact_medians(spark):
         assert (got[g].n_values, got[g].median, got[g].min, got[g].max) == (w.n, w.median, w.min, w.max)
         if g != 5:
             assert (got[g].mean, got[g].std) == pytest.approx((w.mean, w.std))
+
+
+def test_undo_and_redo(spark):
+    ops = {
+        "a": "stroke stroke undo redo",  # both hold
+        "b": "undo redo stroke undo undo redo redo",  # nothing to take back, nothing to bring back
+        "c": "stroke stroke undo stroke redo",  # the second stroke is cut off
+        "d": "stroke stroke stroke undo undo redo other",
+        "e": "stroke undo",
+    }
+    rows = [(k, i, op) for k, line in ops.items() for i, op in enumerate(line.split())] + [(None, 4, "stroke")]
+    log = spark.createDataFrame(rows, "layer string, seq long, op string").repartition(3)
+    got = sorted(map(tuple, labels.applied(log, "layer").collect()), key=str)
+    assert got == sorted([("a", 0, 1), ("a", 1, 2), ("b", 2, 1), ("c", 0, 1), ("c", 3, 2), ("d", 0, 1), ("d", 1, 2), (None, 4, 1)], key=str)
+    assert labels.applied(log.limit(0), "layer").collect() == []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,6 +148,32 @@ def undone(edits: DataFrame, steps: int) -> DataFrame:
     return edits.join(F.broadcast(top)).where(F.col("stroke") <= F.col("top") - steps).drop("top")
 
 
+def applied(log: DataFrame, by: str) -> DataFrame:
+    """The strokes that hold at the end of an ordered log of strokes, undos and redos: ``by``, stroke and their order, depth.
+
+    ``log`` has ``by``, seq and op ('stroke', 'undo' or 'redo'; others do nothing).
+    An undo takes back the last stroke that holds, a redo brings back the last one
+    taken, and a stroke after an undo ends what could be redone; undo or redo with
+    nothing to do does nothing.  A log has a row for each stroke of its document,
+    not for each voxel, and is folded in one task; documents are many tasks.
+    """
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        strokes, held = [], 0
+        for seq, op in frame.sort_values("seq")[["seq", "op"]].itertuples(index=False):
+            if op == "stroke":
+                strokes[held:] = [seq]
+                held += 1
+            elif op == "undo":
+                held = max(0, held - 1)
+            elif op == "redo":
+                held = min(len(strokes), held + 1)
+        return pd.DataFrame({by: frame[by].iloc[:1].repeat(held).to_numpy(), "stroke": strokes[:held], "depth": range(1, held + 1)})
+
+    kind = dict(log.dtypes)[by]
+    return log.select(by, "seq", "op").groupBy(by).applyInPandas(fold, f"{by} {kind}, stroke long, depth long")
+
+
 def without_label(labels: DataFrame, label: int) -> DataFrame:
     """The field after a label is deleted: higher labels move down by one."""
     moved = F.when(F.col("label") > label, F.col("label") - 1).otherwise(F.col("label"))

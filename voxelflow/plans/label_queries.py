@@ -137,6 +137,31 @@ def undone_labels(spark, d):
     return labels.latest(label_voxels(spark, d), labels.undone(edits(spark, d), 3))
 
 
+LOG = """op AS (SELECT event_id % 9 AS layer, event_id AS seq, CASE WHEN event_id * 7919 % 11 < 6 THEN 'stroke' WHEN event_id * 7919 % 11 < 9 THEN 'undo' ELSE 'redo' END AS op, row_number() OVER (PARTITION BY event_id % 9 ORDER BY event_id) AS k FROM events),
+    f AS (SELECT DISTINCT layer, 0::BIGINT AS k, []::BIGINT[] AS strokes, 0::BIGINT AS held FROM op
+        UNION ALL SELECT layer, op.k, CASE WHEN op = 'stroke' THEN list_append(strokes[1:held], seq) ELSE strokes END,
+            CASE op WHEN 'stroke' THEN held + 1 WHEN 'undo' THEN greatest(0, held - 1) ELSE least(len(strokes), held + 1) END FROM f JOIN op USING (layer) WHERE op.k = f.k + 1),
+    held AS (SELECT layer, unnest(strokes[1:held]) AS stroke, unnest(range(1, held + 1)) AS depth FROM f WHERE (layer, k) IN (SELECT (layer, max(k)) FROM op GROUP BY layer))"""
+
+
+def _log(spark, d):
+    """Strokes, undos and redos of nine layers."""
+    e, turn = F.col("event_id"), F.col("event_id") * 7919 % 11
+    return table(spark, d, "events").select((e % 9).alias("layer"), e.alias("seq"), F.when(turn < 6, "stroke").when(turn < 9, "undo").otherwise("redo").alias("op"))
+
+
+@query("applied_strokes", f"WITH RECURSIVE {LOG} SELECT layer, stroke, depth FROM held")
+def applied_strokes(spark, d):
+    return labels.applied(_log(spark, d), "layer")
+
+
+@query("redone_labels", f"{LAB.replace('WITH', 'WITH RECURSIVE', 1)}, {EDITS}, {LOG}, un AS (SELECT * FROM ed WHERE seq IN (SELECT stroke FROM held)) {LATEST.format('un')}")
+def redone_labels(spark, d):
+    """The field with the edits that hold after all undos and redos."""
+    held = labels.applied(_log(spark, d), "layer").select(F.col("stroke").alias("seq"))
+    return labels.latest(label_voxels(spark, d), edits(spark, d).join(held, "seq", "left_semi"))
+
+
 @query("deleted_label", f"{LAB} SELECT t, z, y, x, CASE WHEN label > 12 THEN label - 1 ELSE label END AS label FROM lab WHERE label <> 12")
 def deleted_label(spark, d):
     return labels.without_label(label_voxels(spark, d), 12)

@@ -93,7 +93,12 @@ def layer_seeds(spark, d):
     return table(spark, d, "nation").select("n_name", text.fnv1a(F.col("n_name")).alias("seed"))
 
 
-@query("checksums", None)
+@query(
+    "checksums",
+    """WITH RECURSIVE f AS (SELECT p_partkey, p_name, 0 AS i, 4294967295::BIGINT AS c FROM part
+        UNION ALL SELECT p_partkey, p_name, i + 1, list_reduce([xor(c, ascii(substr(p_name, i + 1, 1))::BIGINT), 0, 1, 2, 3, 4, 5, 6, 7], lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) FROM f WHERE i < length(p_name))
+    SELECT p_partkey, xor(c, 4294967295) AS crc FROM f WHERE i = length(p_name)""",
+)
 def crc(spark, d):
     return table(spark, d, "part").select("p_partkey", F.crc32(F.col("p_name").cast("binary")).alias("crc"))
 

@@ -218,7 +218,13 @@ def track_colors(spark, d):
     return segments(spark, d).select("source_track_id").distinct().select("source_track_id", r6(golden_hue(F.col("source_track_id"))).alias("hue"))
 
 
-@query("track_color_bytes")
+@query(
+    "track_color_bytes",
+    f"""{TRK}, {SEG}, {SUM}, h AS (SELECT DISTINCT source_track_id, ((abs(source_track_id) + 1) * 137.508::DOUBLE) % 360 AS hue FROM trs),
+    k AS (SELECT source_track_id, n, (n + hue / 30) % 12 AS k FROM h, (VALUES ('red', 0), ('green', 8), ('blue', 4)) v(c, n)),
+    c AS (SELECT source_track_id, n, floor((0.55::DOUBLE - 0.75 * 0.45 * greatest(-1, least(k - 3, 9 - k, 1))) * 255 + 0.5)::INT AS byte FROM k)
+    SELECT source_track_id, max(byte) FILTER (n = 0) AS red, max(byte) FILTER (n = 8) AS green, max(byte) FILTER (n = 4) AS blue FROM c GROUP BY source_track_id""",
+)
 def track_color_bytes(spark, d):
     t = segments(spark, d).select("source_track_id").distinct()
     return t.select("source_track_id", *(c.alias(n) for c, n in zip(hsl(golden_hue(F.col("source_track_id")), 0.75, 0.55), ("red", "green", "blue"), strict=True)))
