@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import bricks, labels, sampling
 from ..sources.adapters import LABEL_DIMS, label_voxels, table, with_tables
+from ..sources.label_revisions import LabelRevisions
+from ..streaming.run import shared_folder
 from .registry import query, rounded
 
 SIZE = (4, 16, 16)
@@ -137,6 +139,46 @@ def undone_labels(spark, d):
     return labels.latest(label_voxels(spark, d), labels.undone(edits(spark, d), 3))
 
 
+def _saved(spark, d):
+    """Five revisions: the field, early edits, late edits (of which one stroke in three comes first), the whole compacted, and an older edit again."""
+    store = LabelRevisions(spark, shared_folder(spark, "revisions"), SIZE, 3)
+    e = edits(spark, d)
+    store.save(label_voxels(spark, d))
+    store.append(e.where("stroke % 3 = 0"))
+    store.append(e.where("stroke % 3 <> 0"))
+    store.compact()
+    store.append(e.where("seq % 17 = 0"))
+    return store
+
+
+SAVED = f"""{LAB}, {EDITS}, sv AS (SELECT *, 2 AS save FROM ed WHERE stroke % 3 = 0 UNION ALL SELECT *, 3 FROM ed WHERE stroke % 3 <> 0 UNION ALL SELECT *, 5 FROM ed WHERE seq % 17 = 0),
+    al AS (SELECT 1 + r AS revision, t, z, y, x, label, 1 AS save, 0::BIGINT AS seq FROM lab, range(5) AS n(r) UNION ALL SELECT 1 + r, t, z, y, x, label, save, seq FROM sv, range(5) AS n(r) WHERE save <= 1 + r),
+    rv AS (SELECT revision::INT AS revision, t, z, y, x, arg_max(label, (save, seq)) AS label FROM al GROUP BY ALL)"""
+
+
+@query("saved_revisions", f"{SAVED} SELECT * FROM rv WHERE label <> 0")
+def saved_revisions(spark, d):
+    """The field as of each of its revisions."""
+    store = _saved(spark, d)
+    found = [store.read(r).select(F.lit(r).alias("revision"), "*") for r in store.revisions()]
+    out = found[0]
+    for rows in found[1:]:
+        out = out.unionByName(rows)
+    return out
+
+
+@query("revision_changes", f"{SAVED} SELECT t, z, y, x, coalesce(a.label, 0) AS before, coalesce(b.label, 0) AS after FROM (SELECT * FROM rv WHERE revision = 1) a FULL JOIN (SELECT * FROM rv WHERE revision = 5) b USING (t, z, y, x) WHERE coalesce(a.label, 0) <> coalesce(b.label, 0)")
+def revision_changes(spark, d):
+    """Voxels that differ between the first revision and the last."""
+    return _saved(spark, d).changes(1)
+
+
+@query("revision_directory", f"{SAVED}, {DIRECTORY.removeprefix(LAB + ', ').replace('FROM lab', 'FROM rv WHERE revision = 3 AND label <> 0')} SELECT * FROM dir")
+def revision_directory(spark, d):
+    """The brick directory of a revision with edits."""
+    return _saved(spark, d).table("directory", 3)
+
+
 LOG = """op AS (SELECT event_id % 9 AS layer, event_id AS seq, CASE WHEN event_id * 7919 % 11 < 6 THEN 'stroke' WHEN event_id * 7919 % 11 < 9 THEN 'undo' ELSE 'redo' END AS op, row_number() OVER (PARTITION BY event_id % 9 ORDER BY event_id) AS k FROM events),
     f AS (SELECT DISTINCT layer, 0::BIGINT AS k, []::BIGINT[] AS strokes, 0::BIGINT AS held FROM op
         UNION ALL SELECT layer, op.k, CASE WHEN op = 'stroke' THEN list_append(strokes[1:held], seq) ELSE strokes END,

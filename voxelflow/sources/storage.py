@@ -45,14 +45,20 @@ def write_mask(mask: DataFrame, path: str) -> None:
     mask.where("masked").select("layer_key", "scale", "z", "y", "x").write.mode("overwrite").partitionBy("layer_key", "scale").parquet(path)
 
 
-def write_labels(labels: DataFrame, path: str, size: tuple[int, int, int]) -> None:
-    """A sparse label layer as three tables: its voxels, its brick directory, and a row for each label."""
+def label_tables(labels: DataFrame, size: tuple[int, int, int], levels: int = 4) -> dict[str, DataFrame]:
+    """What goes beside the voxels of a sparse label layer: its brick directory, its occupied bricks by level, and a row for each label."""
     from ..operators import labels as ops
 
-    labels.where("label <> 0").write.mode("overwrite").partitionBy("t").parquet(f"{path}/voxels")
-    stored = labels.sparkSession.read.parquet(f"{path}/voxels")
-    ops.brick_directory(stored, size).write.mode("overwrite").parquet(f"{path}/directory")
-    ops.label_stats(stored).write.mode("overwrite").parquet(f"{path}/labels")
+    return {"directory": ops.brick_directory(labels, size), "occupancy": ops.occupancy(labels, size, levels), "labels": ops.label_stats(labels)}
+
+
+def write_labels(labels: DataFrame, path: str, size: tuple[int, int, int], levels: int = 4) -> None:
+    """A sparse label layer as four tables: its voxels, and what ``label_tables`` derives from what was stored."""
+    kept = labels.where("label <> 0")
+    kept.write.mode("overwrite").partitionBy("t").parquet(f"{path}/voxels")
+    stored = labels.sparkSession.read.schema(kept.schema).parquet(f"{path}/voxels")
+    for name, rows in label_tables(stored, size, levels).items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def write_rois(rois: DataFrame, path: str) -> None:
