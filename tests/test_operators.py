@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,3 +305,54 @@ def test_undo_and_redo(spark):
     got = sorted(map(tuple, labels.applied(log, "layer").collect()), key=str)
     assert got == sorted([("a", 0, 1), ("a", 1, 2), ("b", 2, 1), ("c", 0, 1), ("c", 3, 2), ("d", 0, 1), ("d", 1, 2), (None, 4, 1)], key=str)
     assert labels.applied(log.limit(0), "layer").collect() == []
+
+
+def crossing(volume, ray, threshold, halvings):
+    """The same by a loop over one ray."""
+    _, origin, direction, n = ray
+
+    def sample(k):
+        at = np.array(origin) + k * np.array(direction)
+        if (at < 0).any() or (at > np.array(volume.shape) - 1).any():
+            return None
+        low = np.floor(at).astype(int)
+        total = 0.0
+        for corner in np.ndindex(2, 2, 2):
+            place = np.minimum(low + corner, np.array(volume.shape) - 1)
+            weight = np.prod(np.where(corner, at - low, 1 - (at - low)))
+            total += weight * volume[tuple(place)]
+        return total
+
+    taken = [(k, v) for k in range(n + 1) if (v := sample(k)) is not None]
+    hit = next((k for k, v in taken if v > threshold), None)
+    if hit is None:
+        return None
+    lo, hi = max(hit - 1, taken[0][0]), hit
+    for _ in range(halvings):
+        middle = (lo + hi) / 2
+        lo, hi = (lo, middle) if sample(middle) > threshold else (middle, hi)
+    return hi
+
+
+@pytest.mark.parametrize("halvings", [0, 6])
+def test_first_crossings(spark, halvings):
+    rng = np.random.default_rng(3)
+    volume = rng.integers(0, 100, (5, 7, 9)).astype(float)
+    volume[:, 3, 4] = 0.0
+    rays = [(k, tuple(int(rng.integers(0, 64 * (d - 1))) / 64 for d in volume.shape), tuple(int(v) / 64 for v in rng.integers(-90, 91, 3)), int(rng.integers(0, 12))) for k in range(40)]
+    rays.append((40, (-3.0, 2.5, 2.5), (0.75, 0.0, 0.0), 20))  # enters on its way
+    rays.append((41, (0.0, 6.0, 8.0), (1.0, 0.0, 0.0), 4))  # along an edge
+    rays.append((42, (50.0, 0.0, 0.0), (1.0, 0.0, 0.0), 4))  # never inside
+    table = [(i, 0, *o, *d, n) for i, o, d, n in rays] + [(43, 0, 0.0, 0.0, 0.0, None, 0.0, 0.0, 4), (44, 0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, -1)]
+    ray_rows = spark.createDataFrame(table, "ray_id long, t int, oz double, oy double, ox double, dz double, dy double, dx double, n_steps int")
+    cells = [(0, *map(int, i), float(v)) for i, v in np.ndenumerate(volume) if v != 0]  # zeros are not stored
+    voxels = spark.createDataFrame(cells, "t int, z int, y int, x int, value double")
+    got = {r.ray_id: r for r in sampling.first_crossing(voxels, ray_rows, volume.shape, 60.3, halvings).collect()}
+    want = {r[0]: at for r in rays if (at := crossing(volume, r, 60.3, halvings)) is not None}
+    assert 10 < len(want) < 42 and {k: r.step for k, r in got.items()} == want
+    for k, r in got.items():
+        assert r.value > 60.3 and (r.pz, r.py, r.px) == tuple(o + r.step * d for o, d in zip(rays[k][1], rays[k][2], strict=True))
+    below = sampling.first_crossing(voxels.limit(0), ray_rows, volume.shape, -1.0, halvings)  # an empty volume is zero
+    assert {r.step for r in below.where("ray_id < 40").collect()} == {0.0}
+    odd = voxels.withColumn("value", F.lit(float("nan")))
+    assert sampling.first_crossing(odd, ray_rows, volume.shape, 60.3, halvings).count() == 0

@@ -41,6 +41,77 @@ def nearest(voxels: DataFrame, points: DataFrame, dims: tuple[int, int, int], va
     return points.select("point_id", "t", *at).join(voxels.select("t", *AXES, value), ["t", *AXES], "left").select("point_id", *AXES, F.coalesce(value, F.lit(0)).alias(value))
 
 
+def _between(found: Column, at: dict[str, Column], dims: tuple[int, int, int]) -> Column:
+    """The trilinear value at a place, from a map of voxel numbers to values; a voxel that is not there counts as zero."""
+    low = {c: F.floor(at[c]) for c in AXES}
+    share = {c: at[c] - low[c] for c in AXES}
+    total = F.lit(0.0)
+    for k in range(8):
+        number, weight = F.lit(0).cast("long"), F.lit(1.0)
+        for i, (c, d) in enumerate(zip(AXES, dims, strict=True)):
+            upper = k >> i & 1
+            number = number * d + F.least(low[c] + upper, F.lit(d - 1).cast("long"))
+            weight = weight * (share[c] if upper else 1 - share[c])
+        total = total + weight * F.coalesce(F.element_at(found, number), F.lit(0.0))
+    return total
+
+
+def _over(value: Column, threshold: float) -> Column:
+    """Whether a value is over a threshold; NaN never is."""
+    return F.nanvl(value, F.lit(float("-inf"))) > threshold
+
+
+def first_crossing(voxels: DataFrame, rays: DataFrame, dims: tuple[int, int, int], threshold: float, halvings: int = 5, value: str = "value") -> DataFrame:
+    """Where each ray first rises over a threshold, finer than its samples: ray_id, step, pz, py, px, value.
+
+    ``rays`` (ray_id, t, origin oz, oy, ox, direction dz, dy, dx, n_steps) take a
+    trilinear sample at every whole step from 0 to ``n_steps`` that lies inside the
+    volume.  The first sample over the threshold and the one before it bracket a
+    crossing; ``halvings`` times the middle is sampled and the half kept that still
+    rises over the threshold, so ``step`` is its upper end, off by no more than
+    2^-halvings.  A ray whose first sample inside is over it crosses there; one
+    that never rises has no row, nor has one with a null.  NaN is over nothing.  Voxels join twice: for
+    the samples, and for the few voxels around each bracket, which then travel with
+    their ray.
+    """
+    parts = [f"{p}{c}" for p in "od" for c in AXES]
+    known = rays.select("ray_id", "t", *(F.col(c).cast("double") for c in parts), "n_steps").dropna()
+
+    def place(k: Column) -> dict[str, Column]:
+        return {c: F.col(f"o{c}") + k * F.col(f"d{c}") for c in AXES}
+
+    inside = F.lit(True)
+    for c, d in zip(AXES, dims, strict=True):
+        inside = inside & place(F.col("k"))[c].between(0, d - 1)
+    steps = known.where("n_steps >= 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_steps").cast("int")))).where(inside)
+    taken = steps.select(F.struct("ray_id", "k").alias("point_id"), "t", *(v.alias(f"p{c}") for c, v in place(F.col("k")).items()))
+    values = trilinear(voxels, taken, dims, value).select("point_id.*", F.col(value).alias("v"))
+    over = values.groupBy("ray_id").agg(F.min(F.when(_over(F.col("v"), threshold), F.col("k"))).alias("hi"), F.min("k").alias("enters")).where("hi is not null")
+    ends = known.join(over, "ray_id").withColumn("lo", F.greatest(F.col("hi") - 1, F.col("enters")))
+
+    around = ends
+    for c, d in zip(AXES, dims, strict=True):
+        two = [F.floor(place(F.col(k))[c]) for k in ("lo", "hi")]
+        far = F.least(F.greatest(*two) + 1, F.lit(d - 1))
+        around = around.withColumn(c, F.explode(F.sequence(F.least(F.least(*two), far), far))).withColumn(c, F.col(c).cast("int"))
+    number = F.lit(0).cast("long")
+    for c, d in zip(AXES, dims, strict=True):
+        number = number * d + F.col(c)
+    near = around.select("ray_id", "t", *AXES).join(voxels.select("t", *AXES, F.col(value).cast("double").alias("v")), ["t", *AXES])
+    carried = near.groupBy("ray_id").agg(F.map_from_entries(F.collect_list(F.struct(number.alias("n"), "v"))).alias("found"))  # the voxels around one bracket
+
+    def halved(state: Column, _: Column) -> Column:
+        middle = (state["lo"] + state["hi"]) / 2
+        over = _over(_between(F.col("found"), place(middle), dims), threshold)
+        return F.struct(F.when(over, state["lo"]).otherwise(middle).alias("lo"), F.when(over, middle).otherwise(state["hi"]).alias("hi"))
+
+    start = F.struct(F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))
+    bracket = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), start, halved) if halvings > 0 else start
+    at = ends.join(carried, "ray_id", "left").withColumn("step", bracket["hi"])
+    hit = place(F.col("step"))
+    return at.select("ray_id", "step", *(v.alias(f"p{c}") for c, v in hit.items()), _between(F.col("found"), hit, dims).alias(value))
+
+
 def grid_points(spark, t: int, dims: tuple[int, int, int], target: tuple[int, int, int]) -> DataFrame:
     """The voxels of a target grid as points of the source, first and last voxels aligned."""
     n = target[0] * target[1] * target[2]

@@ -395,6 +395,31 @@ def project_absorbed(spark, d):
     return rounded(sampling.project_absorbed(codes(spark, d), 0.4, 0.3), "color", "alpha")
 
 
+def _near(source: str, k: str) -> str:
+    """Corners and weights of the places at step ``k`` of rays, as a select list with its joins."""
+    return f"""least(floor(oz + {k} * dz) + c // 4, {DEPTH} - 1)::INT AS z, least(floor(oy + {k} * dy) + c // 2 % 2, 24)::INT AS y, least(floor(ox + {k} * dx) + c % 2, 63)::INT AS x,
+        (CASE WHEN c // 4 = 1 THEN oz + {k} * dz - floor(oz + {k} * dz) ELSE 1 - (oz + {k} * dz - floor(oz + {k} * dz)) END) * (CASE WHEN c // 2 % 2 = 1 THEN oy + {k} * dy - floor(oy + {k} * dy) ELSE 1 - (oy + {k} * dy - floor(oy + {k} * dy)) END)
+        * (CASE WHEN c % 2 = 1 THEN ox + {k} * dx - floor(ox + {k} * dx) ELSE 1 - (ox + {k} * dx - floor(ox + {k} * dx)) END) AS w FROM {source} JOIN ray USING (ray_id), range(8) AS corner(c)"""
+
+
+@query(
+    "project_refined",
+    f"""{COD.replace('WITH', 'WITH RECURSIVE', 1)}, ray AS (SELECT c_custkey AS ray_id, 0.0::DOUBLE AS oz, (c_custkey * 7 % 23)::DOUBLE AS oy, (c_custkey % 61)::DOUBLE AS ox, 0.75::DOUBLE AS dz, (c_custkey % 5 - 2) / 64.0::DOUBLE AS dy, (c_custkey % 7 - 3) / 64.0::DOUBLE AS dx FROM customer),
+    k0 AS (SELECT ray_id, k FROM ray, range(25) AS steps(k) WHERE oz + k * dz BETWEEN 0 AND {DEPTH} - 1 AND oy + k * dy BETWEEN 0 AND 24 AND ox + k * dx BETWEEN 0 AND 63),
+    v0 AS (SELECT ray_id, k, sum(w * code) AS v FROM (SELECT ray_id, k, {_near('k0', 'k')}) JOIN cod USING (z, y, x) GROUP BY ray_id, k),
+    f AS (SELECT ray_id, 0 AS i, greatest(min(k) FILTER (v > 200.5) - 1, min(k))::DOUBLE AS lo, (min(k) FILTER (v > 200.5))::DOUBLE AS hi FROM v0 GROUP BY ray_id HAVING count(*) FILTER (v > 200.5) > 0
+        UNION ALL SELECT ray_id, i + 1, CASE WHEN v > 200.5 THEN lo ELSE mid END, CASE WHEN v > 200.5 THEN mid ELSE hi END FROM (
+            SELECT ray_id, i, lo, hi, mid, sum(w * code) AS v FROM (SELECT ray_id, i, lo, hi, mid, {_near('(SELECT *, (lo + hi) / 2 AS mid FROM f WHERE i < 5)', 'mid')}) JOIN cod USING (z, y, x) GROUP BY ALL))
+    SELECT ray_id, hi AS step, oz + hi * dz AS pz, oy + hi * dy AS py, ox + hi * dx AS px FROM f JOIN ray USING (ray_id) WHERE i = 5""",
+)
+def project_refined(spark, d):
+    """Oblique rays: where each first rises over a code, to a part of a voxel."""
+    n = F.col("c_custkey")
+    start = {"oz": F.lit(0.0), "oy": n * 7 % 23, "ox": n % 61, "dz": F.lit(0.75), "dy": (n % 5 - 2) / 64, "dx": (n % 7 - 3) / 64}
+    rays = table(spark, d, "customer").select(n.alias("ray_id"), F.lit(0).alias("t"), *(v.alias(c) for c, v in start.items()), F.lit(24).alias("n_steps"))
+    return sampling.first_crossing(codes(spark, d), rays, (depth(spark, d), HEIGHT, WIDTH), 200.5, value="code").drop("code")
+
+
 SHOWN = "greatest(0.0, least(1.0, (code / 255.0::DOUBLE - 0.2) / 0.6))"
 
 
