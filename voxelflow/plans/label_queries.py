@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bricks, labels, sampling
+from ..sources import tiff, tiff_export
 from ..sources.adapters import LABEL_DIMS, label_voxels, table, with_tables
 from ..sources.label_revisions import LabelRevisions
 from ..streaming.run import shared_folder
@@ -179,6 +180,17 @@ def revision_directory(spark, d):
     return _saved(spark, d).table("directory", 3)
 
 
+@query("exported_labels", f"{LAB} SELECT t - (SELECT min(t) FROM lab) AS t, z, y, x, label FROM lab WHERE label <> 0")
+def exported_labels(spark, d):
+    """Labels as stacks of 32-bit pages, a file for each year, read back."""
+    folder = shared_folder(spark, "export")
+    lab = label_voxels(spark, d)
+    low, high = lab.agg(F.min("t"), F.max("t")).first()
+    tiff_export.export_channel(lab.withColumn("t", F.col("t") - low), folder, LABEL_DIMS, high - low + 1, "labels", "uint32", "label")
+    back = tiff.voxels_of(tiff.read_pages(spark, f"{folder}/labels"))
+    return back.where("value <> 0").select("t", "z", "y", "x", F.col("value").cast("long").alias("label"))
+
+
 LOG = """op AS (SELECT event_id % 9 AS layer, event_id AS seq, CASE WHEN event_id * 7919 % 11 < 6 THEN 'stroke' WHEN event_id * 7919 % 11 < 9 THEN 'undo' ELSE 'redo' END AS op, row_number() OVER (PARTITION BY event_id % 9 ORDER BY event_id) AS k FROM events),
     f AS (SELECT DISTINCT layer, 0::BIGINT AS k, []::BIGINT[] AS strokes, 0::BIGINT AS held FROM op
         UNION ALL SELECT layer, op.k, CASE WHEN op = 'stroke' THEN list_append(strokes[1:held], seq) ELSE strokes END,

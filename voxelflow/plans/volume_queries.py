@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bricks, intensity, sampling
-from ..sources import layers
+from ..sources import layers, tiff, tiff_export
 from ..sources.adapters import HEIGHT, WIDTH, depth, table, voxels, with_tables
 from ..streaming.run import shared_folder
 from .registry import query, r6, rounded
@@ -43,6 +43,14 @@ def normalize_16_bit(spark, d):
     return intensity.normalize(voxels(spark, d), top=65535)
 
 
+@query("exported_codes", f"{COD} SELECT t, z, y, x, code FROM cod")
+def exported_codes(spark, d):
+    """The channel as one stack of 8-bit pages, read back."""
+    folder = shared_folder(spark, "export")
+    tiff_export.export_channel(codes(spark, d), folder, (depth(spark, d), HEIGHT, WIDTH), 1, "channel", value="code", piece_bytes=1 << 16)
+    return tiff.voxels_of(tiff.read_pages(spark, f"{folder}/channel.tif")).select("t", "z", "y", "x", F.col("value").cast("int").alias("code"))
+
+
 @query(
     "normalize_infinite",
     f"""{VOX}, odd AS (SELECT t, z, y, x, CASE WHEN z % 3 = 0 AND (x + y) % 11 = 0 THEN 'inf'::DOUBLE WHEN z % 4 = 1 AND (x + y) % 13 = 0 THEN '-inf'::DOUBLE ELSE value END AS value FROM vox),
