@@ -356,3 +356,12 @@ def test_first_crossings(spark, halvings):
     assert {r.step for r in below.where("ray_id < 40").collect()} == {0.0}
     odd = voxels.withColumn("value", F.lit(float("nan")))
     assert sampling.first_crossing(odd, ray_rows, volume.shape, 60.3, halvings).count() == 0
+
+
+def test_tints(spark):
+    rows = spark.createDataFrame([(0.0, "#FF8000"), (0.5, "#ff8000"), (2.0, "#000000")], "shown double, color string")
+    plain = [tuple(r) for r in rows.select(*intensity.tinted(F.col("shown"), F.col("color"))).collect()]
+    assert plain == [(1.0, 128 / 255, 0.0, 0.05), (1.0, 128 / 255, 0.0, 0.5), (0.0, 0.0, 0.0, 1.0)]
+    added = rows.select(F.lit(1).alias("pixel"), *intensity.tinted(F.col("shown"), F.col("color"), additive=True, least_alpha=0.0))
+    assert [tuple(r)[1:] for r in added.collect()] == [(0.0, 0.0, 0.0, 0.0), (0.5, 64 / 255, 0.0, 1.0), (0.0, 0.0, 0.0, 1.0)]
+    assert tuple(intensity.blended(added.unionAll(added).unionAll(added), "pixel").first()) == (1, 1.0, 192 / 255, 0.0)

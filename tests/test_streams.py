@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelflow.operators import bricks
-from voxelflow.streaming import operators, pyramid
+from voxelflow.sources import layers
+from voxelflow.streaming import layer_sink, operators, pyramid
 
 
 def volume(spark, dims):
@@ -62,3 +63,25 @@ def test_a_slice_without_partner_is_handed_on(spark, tmp_path):
 def test_tiles_that_do_not_halve(spark):
     with pytest.raises(ValueError, match="halved"):
         pyramid.pyramid(None, 4, 4)
+
+
+def test_a_layer_from_a_stream(spark, tmp_path):
+    kind = "t int, z int, y int, x int, code int"
+    source, rows = tmp_path / "in", [(0, z, y, x, 10 * z + y + x) for z in range(4) for y in range(3) for x in range(3)]
+    whole = layers.write_layer(spark.createDataFrame(rows, kind), str(tmp_path / "whole"), (2, 2, 2))
+    sink = layer_sink.LayerSink(spark, str(tmp_path / "out"), (2, 2, 2))
+    assert sink.layer().voxels().count() == 0
+    spark.createDataFrame([r for r in rows if r[1] < 2], kind).write.parquet(str(source))
+    spark.createDataFrame([(0, 3, 0, 0, 99), (0, None, 0, 0, 1)], kind).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(kind).parquet(str(source))
+    first = sink.drain(stream, str(tmp_path / "state"))
+    assert first.voxels().count() == 19 and {(r.z, r.n_voxels) for r in sink.slices().collect()} == {(0, 9), (1, 9), (3, 1)}
+    late = spark.createDataFrame([r for r in rows if r[1] >= 2], kind)
+    late.write.mode("append").parquet(str(source))  # slice 3 comes again, and is replaced whole
+    done = sink.drain(stream, str(tmp_path / "state"))
+    sink.add(late, 1)  # the batch runs again
+    for layer in (done, sink.layer()):
+        for name in ("bricks", "histogram", "columns", "hierarchy"):
+            names = whole.table(name).columns
+            assert sorted(map(str, layer.table(name).select(*names).collect())) == sorted(map(str, whole.table(name).collect()))
+        assert sorted((r.z, r.y, r.x, r.code) for r in layer.voxels().collect()) == [r[1:] for r in rows]

@@ -96,6 +96,24 @@ def windowed(value: Column, low: float, high: float, invert: bool = False) -> Co
     return 1 - out if invert else out
 
 
+def tinted(shown: Column, color: Column, additive: bool = False, least_alpha: float = 0.05) -> list[Column]:
+    """Red, green, blue (0 to 1) and alpha of a windowed intensity in a layer's colour (#rrggbb).
+
+    The colour is the same at every intensity, which is the alpha alone, at least
+    ``least_alpha``.  Additive: the colour times its alpha, opaque where there is any.
+    """
+    alpha = F.greatest(F.lit(least_alpha), F.least(F.lit(1.0), shown))
+    rgb = [F.conv(F.substring(color, 2 + 2 * k, 2), 16, 10).cast("double") / 255 for k in range(3)]
+    if additive:
+        rgb, alpha = [c * alpha for c in rgb], F.when(alpha > 0, 1.0).otherwise(0.0)
+    return [c.alias(n) for c, n in zip([*rgb, alpha], ("red", "green", "blue", "alpha"), strict=True)]
+
+
+def blended(pixels: DataFrame, *by: str) -> DataFrame:
+    """Additive layers (red, green, blue) of each pixel together: sums, at most 1."""
+    return pixels.groupBy(*by).agg(*(F.least(F.lit(1.0), F.sum(c)).alias(c) for c in ("red", "green", "blue")))
+
+
 def histogram(codes: DataFrame, top: int = 255, *by: str) -> DataFrame:
     """A dense row for each of 256 bins: bin, n."""
     counted = codes.groupBy(*by, half_up(F.col("code") * 255 / F.lit(float(top))).cast("int").alias("bin")).agg(F.count("*").alias("n"))

@@ -460,3 +460,35 @@ def project_opaque(spark, d):
 def slice_render(spark, d):
     shown = intensity.windowed(F.col("code") / 255.0, 0.2, 0.8)
     return codes(spark, d).where("z = 7").select("y", "x", r6(shown).alias("shown"), r6(F.greatest(F.lit(0.05), shown)).alias("alpha"))
+
+
+CHANNELS = """ch AS (SELECT n_regionkey AS channel, '#' || upper(lpad(to_hex(max(n_nationkey * 61 % 256)), 2, '0') || lpad(to_hex(max(n_nationkey * 37 % 256)), 2, '0') || lpad(to_hex(max(n_nationkey * 11 % 256)), 2, '0')) AS color,
+        max(n_nationkey * 61 % 256) / 255.0::DOUBLE AS r, max(n_nationkey * 37 % 256) / 255.0::DOUBLE AS g, max(n_nationkey * 11 % 256) / 255.0::DOUBLE AS b FROM nation GROUP BY 1),
+    sl AS (SELECT z % 5 AS channel, z, y, x, greatest(0.05, greatest(0.0, least(1.0, (code / 255.0::DOUBLE - 0.2) / 0.6))) AS alpha FROM cod)"""
+
+
+def _channels(spark, d):
+    """A colour for each of five channels."""
+    n = F.col("n_nationkey")
+    parts = [F.lpad(F.hex(F.max(n * k % 256)), 2, "0") for k in (61, 37, 11)]
+    return table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("channel")).agg(F.concat(F.lit("#"), *parts).alias("color"))
+
+
+def _tinted(spark, d, additive):
+    """Slice z is one of channel z % 5, in its colour."""
+    shown = intensity.windowed(F.col("code") / 255.0, 0.2, 0.8)
+    slices = codes(spark, d).select((F.col("z") % 5).cast("long").alias("channel"), "z", "y", "x", shown.alias("shown"))
+    return slices.join(_channels(spark, d), "channel").select("z", "y", "x", *intensity.tinted(F.col("shown"), F.col("color"), additive))
+
+
+@query("slice_tinted", f"{COD}, {CHANNELS} SELECT z, y, x, round(r, 6) AS red, round(g, 6) AS green, round(b, 6) AS blue, round(alpha, 6) AS alpha FROM sl JOIN ch USING (channel)")
+def slice_tinted(spark, d):
+    """Every slice in its channel's colour."""
+    return rounded(_tinted(spark, d, False), "red", "green", "blue", "alpha")
+
+
+@query("slices_blended", f"{COD}, {CHANNELS} SELECT (z // 5)::INT AS z, y, x, {', '.join(f'round(least(1.0, sum({c} * alpha)), 6) AS {n}' for c, n in (('r', 'red'), ('g', 'green'), ('b', 'blue')))} FROM sl JOIN ch USING (channel) GROUP BY 1, 2, 3")
+def slices_blended(spark, d):
+    """Five channels of each slice, one over the other, additively."""
+    pixels = _tinted(spark, d, True).withColumn("z", F.floor(F.col("z") / 5).cast("int"))
+    return rounded(intensity.blended(pixels, "z", "y", "x"), "red", "green", "blue")

@@ -19,6 +19,8 @@ from ..streaming.run import shared_folder
 BLOCK = 8
 COLUMN = ("t", "gy", "gx")
 BRICK = ("t", "gz", "gy", "gx")
+#: What is stored; stated, as a layer without voxels has no files.
+VOXELS = "z int, y int, x int, code int, gy int, gx int, t int, gz int, block string"
 
 
 def _block():
@@ -27,7 +29,8 @@ def _block():
 
 def write_layer(codes: DataFrame, path: str, size: tuple[int, int, int], top: int = 255, levels: int = 4) -> Layer:
     """``codes`` (t, z, y, x, code) as a layer of bricks of ``size`` voxels; an existing one is replaced."""
-    dealt = codes.select("t", "z", "y", "x", "code", *bricks.brick_of(size)).withColumn("block", _block())
+    placed = codes.select(*(F.col(c).cast("int") for c in ("t", "z", "y", "x", "code")))
+    dealt = placed.select("*", *bricks.brick_of(size)).withColumn("block", _block())
     dealt.repartition("t", "gz", "block").sortWithinPartitions("t", "gz", "block", "gy", "gx", "z", "y", "x").write.mode("overwrite").partitionBy("t", "gz", "block").parquet(f"{path}/voxels")
     layer = Layer(codes.sparkSession, path)
     stored = layer.voxels()
@@ -50,7 +53,7 @@ class Layer:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def voxels(self) -> DataFrame:
-        return self.table("voxels").withColumns({"t": F.col("t").cast("int"), "gz": F.col("gz").cast("int"), "block": F.col("block").cast("string")})
+        return self.spark.read.schema(VOXELS).parquet(f"{self.path}/voxels")
 
     def inside(self, some: DataFrame) -> DataFrame:
         """Voxels of some bricks; where the bricks are few, only the folders that hold them are read."""

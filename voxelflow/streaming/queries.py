@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import intensity
 from ..plans.registry import query, rounded
 from ..sources import adapters
-from . import operators, pyramid, run, statistics
+from . import layer_sink, operators, pyramid, run, statistics
 
 
 def _events(spark, d):
@@ -64,3 +64,13 @@ def stream_pyramid(spark, d):
     pyramid.tiles(intensity.normalize(adapters.voxels(spark, d)), 16).write.mode("overwrite").parquet(f"{folder}/slices.parquet")
     slices = run.table_stream(spark, folder, "slices", spark.read.parquet(f"{folder}/slices.parquet").schema)
     return pyramid.voxels(run.drained(pyramid.pyramid(slices, 4, 16, adapters.depth(spark, d)), "append", "pyramid"), 16)
+
+
+@query("stream_layer", f"{adapters.with_tables('vox', 'cod')} SELECT t, (z // 8)::INT AS gz, (y // 8)::INT AS gy, (x // 16)::INT AS gx, min(code) AS vmin, max(code) AS vmax, count(*) AS n_voxels FROM cod GROUP BY ALL")
+def stream_layer(spark, d):
+    """The volume's slices as a stream of files that becomes a layer; its brick statistics."""
+    folder = run.shared_folder(spark, "arrivals")
+    intensity.normalize(adapters.voxels(spark, d)).write.mode("overwrite").parquet(f"{folder}/slices.parquet")
+    slices = run.table_stream(spark, folder, "slices", layer_sink.VOXELS)
+    layer = layer_sink.LayerSink(spark, f"{folder}/layer", (8, 8, 16)).drain(slices, f"{folder}/state")
+    return layer.table("bricks").select("t", "gz", "gy", "gx", "vmin", "vmax", "n_voxels")
