@@ -85,3 +85,18 @@ def test_a_layer_from_a_stream(spark, tmp_path):
             names = whole.table(name).columns
             assert sorted(map(str, layer.table(name).select(*names).collect())) == sorted(map(str, whole.table(name).collect()))
         assert sorted((r.z, r.y, r.x, r.code) for r in layer.voxels().collect()) == [r[1:] for r in rows]
+
+
+@pytest.mark.parametrize("dims", [(7, 6, 9), (6, 9, 5), (3, 8, 8)])
+def test_pyramid_of_slices_with_missing_voxels(spark, tmp_path, dims):
+    """A last slice that ends early, a tile and a slice that are lost, gaps inside and a repeated voxel."""
+    codes = volume(spark, dims).where(f"(z < {dims[0] - 1} or y < 3) and not (z = 1 and y >= 4) and (x * 7 + y * 5 + z) % 11 <> 0 and not (t = 1 and z = 0)")
+    codes = codes.union(codes.where("x = 1 and y = 1").withColumn("code", F.lit(1)))
+    stream = arriving(spark, pyramid.tiles(codes, 4, dims[0]), str(tmp_path / "in"), 3)
+    out = pyramid.pyramid(stream, 3, 4, dims[0]).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+    query = out.trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress.stateOperators[0].numRowsTotal == 0
+    got = pyramid.voxels(spark.read.parquet(str(tmp_path / "out")), 4)
+    want = bricks.pyramid(codes.groupBy("t", "z", "y", "x").agg(F.max("code").alias("code")), 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))

@@ -61,9 +61,10 @@ def stream_statistics(spark, d):
 def stream_pyramid(spark, d):
     """The volume's slices as a stream of files; whole stacks leave no state."""
     folder = run.shared_folder(spark, "slices")
-    pyramid.tiles(intensity.normalize(adapters.voxels(spark, d)), 16).write.mode("overwrite").parquet(f"{folder}/slices.parquet")
+    depth = adapters.depth(spark, d)
+    pyramid.tiles(intensity.normalize(adapters.voxels(spark, d)), 16, depth).write.mode("overwrite").parquet(f"{folder}/slices.parquet")
     slices = run.table_stream(spark, folder, "slices", spark.read.parquet(f"{folder}/slices.parquet").schema)
-    return pyramid.voxels(run.drained(pyramid.pyramid(slices, 4, 16, adapters.depth(spark, d)), "append", "pyramid"), 16)
+    return pyramid.voxels(run.drained(pyramid.pyramid(slices, 4, 16, depth), "append", "pyramid"), 16)
 
 
 @query("stream_layer", f"{adapters.with_tables('vox', 'cod')} SELECT t, (z // 8)::INT AS gz, (y // 8)::INT AS gy, (x // 16)::INT AS gx, min(code) AS vmin, max(code) AS vmax, count(*) AS n_voxels FROM cod GROUP BY ALL")
