@@ -60,14 +60,14 @@ def zero_based(timepoint: Column) -> Column:
     return F.when(timepoint >= 1, timepoint - 1).otherwise(F.raise_error(F.lit("timepoints begin at 1")).cast("double"))
 
 
-def intensity_text(value: Column, is_integer: bool) -> Column:
-    """Whole for integer types; else one decimal from a thousand on, three from one on, four significant digits below."""
+def intensity_text(value: Column, is_integer: bool, zero: str = "0.000") -> Column:
+    """Whole for integer types; else one decimal from a thousand on, three from one on, four significant digits below; zero has none."""
     size = F.abs(value)
     digits = F.greatest(F.lit(0), 3 - F.floor(F.log10(F.when(size > 0, size)))).cast("int")
     small = F.lit(None).cast("string")
     for d in range(0, 12):
         small = F.when(digits == d, F.format_string(f"%.{d}f", value)).otherwise(small)
-    text = F.when(size >= 1000, F.format_string("%.1f", value)).when(size >= 1, F.format_string("%.3f", value)).otherwise(F.coalesce(small, F.lit("0.000")))
+    text = F.when(size >= 1000, F.format_string("%.1f", value)).when(size >= 1, F.format_string("%.3f", value)).when(size > 0, small).otherwise(zero)
     if is_integer:
         text = F.floor(value + 0.5).cast("string")
     return F.when(F.isnan(value) | (size == float("inf")) | value.isNull(), "N/A").otherwise(text)

@@ -110,7 +110,7 @@ def zero_based_times(spark, d):
 
 @query("intensity_texts", "SELECT event_id, CASE WHEN value >= 1000 THEN printf('%.1f', value) WHEN value >= 1 THEN printf('%.3f', value) WHEN value >= 0.1 THEN printf('%.4f', value) ELSE printf('%.5f', value) END AS shown, floor(value + 0.5)::BIGINT::VARCHAR AS whole FROM events")
 def intensity_texts(spark, d):
-    return table(spark, d, "events").select("event_id", text.intensity_text(F.col("value"), False).alias("shown"), text.intensity_text(F.col("value"), True).alias("whole"))
+    return table(spark, d, "events").select("event_id", text.intensity_text(F.col("value"), False, zero="0.00000").alias("shown"), text.intensity_text(F.col("value"), True).alias("whole"))
 
 
 @query("channel_values", "SELECT n_nationkey, [n_name || ' C1 1', n_name || ' C2 2'] AS shown FROM nation")
